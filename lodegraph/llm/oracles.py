@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 OP1 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p + 1 : p + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS p FROM i WHERE len(w) > 0)),
 ns AS (SELECT DISTINCT n FROM iw),
 dp AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM d, ns WHERE len(w) >= n),
@@ -23,7 +23,7 @@ m AS (
  UNION ALL SELECT doc_id, source, 2, 16, regexp_extract_all(t, '[0-9a-f]{16,}', 0), regexp_extract_all(t, '[0-9a-f]{16,}', 0), string_split_regex(t, '[0-9a-f]{16,}') FROM t
  UNION ALL SELECT doc_id, source, 3, 20, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}', 0), regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}', 0), string_split_regex(t, '[A-Za-z0-9+/_=-]{20,}') FROM t),
 o AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
-p AS (SELECT doc_id, source, k, least, vs[i] AS v, length(ms[i]) AS n, CAST(coalesce(list_sum(list_transform(ps[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], x -> length(x))), 0) AS BIGINT) AS s FROM o),
+p AS (SELECT doc_id, source, k, least, vs[i] AS v, length(ms[i]) AS n, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM o),
 c AS (SELECT doc_id, source, k, v, s, s + n AS e FROM p WHERE length(v) >= least AND (k < 3 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
 f AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY v),
 r AS (SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
