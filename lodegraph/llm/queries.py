@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from lodegraph.llm.common import table
 from lodegraph.llm.decontaminate import decontaminate
 from lodegraph.llm.secrets import secrets
 from lodegraph.llm.simhash import near_duplicates
+from lodegraph.llm.telephony import telephony
+from lodegraph.llm.token_store import token_store
 from lodegraph.llm.toxicity import toxicity
 
 
@@ -26,11 +29,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("cands", lambda x: x["k"] == k)).cast("long")
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_simhash, op6_toxicity, op8_secrets)}
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_simhash, op6_toxicity, op7_telephony, op8_secrets, op10_token_store)}
 ORACLES = {"op1_decontaminate": oracles.OP1, "op8_secrets": oracles.OP8}
