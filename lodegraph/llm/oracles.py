@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from lodegraph.llm.license_scan import KNOWN, SPELLINGS
+
 OP1 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -34,3 +36,40 @@ SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
 sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
 FROM t LEFT JOIN r USING (doc_id)
 """
+
+OP5 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, at, list_filter(regexp_split_to_array(regexp_replace(line, '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+'), lambda w: w <> '') AS ws
+ FROM (SELECT doc_id, unnest(range(0, len(ls))) AS at, unnest(ls) AS line FROM d)),
+n AS (SELECT doc_id, at, array_to_string(ws, ' ') AS h, len(ws) || ' ' || array_to_string(ws[1:4], ' ') AS leaf FROM l WHERE len(ws) >= 5),
+s AS (SELECT leaf, h, count(*) AS c, min(doc_id) AS a, max(doc_id) AS b, min(doc_id * 1000000 + at) AS f FROM n GROUP BY leaf, h),
+v AS (SELECT leaf, arg_max(h, c * 1000000000000 - f) AS rep FROM s GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)),
+m AS (SELECT s.leaf, s.h, v.rep FROM s JOIN v ON s.leaf = v.leaf WHERE s.h <> v.rep
+ AND len(list_filter(range(1, len(string_split(s.h, ' ')) + 1), lambda i: string_split(s.h, ' ')[i] = string_split(v.rep, ' ')[i])) >= 0.8 * len(string_split(s.h, ' '))),
+k AS (SELECT s.*, coalesce(m.rep, s.h) AS t FROM s LEFT JOIN m ON s.leaf = m.leaf AND s.h = m.h),
+r AS (SELECT leaf, t, min(a) AS keeper FROM k GROUP BY leaf, t HAVING min(a) <> max(b)),
+g AS (SELECT n.doc_id, list(DISTINCT n.at) AS gone FROM n JOIN k ON n.leaf = k.leaf AND n.h = k.h JOIN r ON k.leaf = r.leaf AND k.t = r.t WHERE n.doc_id <> r.keeper GROUP BY n.doc_id),
+o AS (SELECT d.doc_id, len(ls) AS nl, coalesce(len(gone), 0) AS nd, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: ls[i]), chr(10)) END AS t FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id, CAST(nl AS BIGINT) AS lines_total, CAST(nd AS BIGINT) AS lines_dropped, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM o
+"""
+
+
+def op2() -> str:
+    def canonical(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        bare = rf"regexp_replace({low}, '(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$', '', 'g')"
+        words = rf"' ' || regexp_replace({bare}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', '  ', 'g') || ' '"
+        for old, new in SPELLINGS:
+            words = f"replace({words}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+        return f"trim(regexp_replace({words}, ' +', ' ', 'g'))"
+
+    known = ", ".join("('" + name + "', '" + body.replace("'", "''") + "')" for name, body in KNOWN)
+    return f"""
+WITH kt(license, body) AS (VALUES {known}),
+kd AS (SELECT sha256({canonical("body")}) AS digest, min(license) AS license FROM kt GROUP BY 1),
+t AS (SELECT doc_id, {canonical("text")} AS c FROM documents),
+l AS (SELECT doc_id, {canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+p AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM l JOIN kd ON sha256(l.c) = kd.digest WHERE l.c <> '' GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS text_digest, kd.license, coalesce(notices, '') AS notices, CAST(coalesce(n, 0) AS BIGINT) AS n_notices
+FROM t LEFT JOIN kd ON sha256(t.c) = kd.digest AND t.c <> '' LEFT JOIN p ON t.doc_id = p.doc_id
+"""

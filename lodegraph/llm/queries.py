@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from lodegraph.llm import oracles
 from lodegraph.llm.common import table
 from lodegraph.llm.decontaminate import decontaminate
+from lodegraph.llm.license_scan import license_scan
+from lodegraph.llm.line_dedup import line_dedup
+from lodegraph.llm.packing import pack
 from lodegraph.llm.secrets import secrets
 from lodegraph.llm.simhash import near_duplicates
 from lodegraph.llm.telephony import telephony
@@ -21,10 +24,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "lines_total", "lines_dropped", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,9 +51,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_simhash, op6_toxicity, op7_telephony, op8_secrets, op10_token_store)}
-ORACLES = {"op1_decontaminate": oracles.OP1, "op8_secrets": oracles.OP8}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op4_simhash, op5_line_dedup, op6_toxicity, op7_telephony, op8_secrets, op9_packing, op10_token_store)}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op2_license_scan": oracles.op2(), "op5_line_dedup": oracles.OP5, "op8_secrets": oracles.OP8}
