@@ -49,7 +49,7 @@ def _positions(docs: DataFrame, k: int) -> DataFrame:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated (hit words are at least 1/share of all)."""
+    """Per document: doc_id, key (of the row: its id and text), n_words, n_hit, n_items, item_ids, contaminated (hit words are at least 1/share of all)."""
     base = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), words(F.col("text")).alias("dw")).withColumn("n", F.size("dw"))
     wins = written(_windows(benchmark, item_id, item_text, window), "decontaminate-windows")
@@ -95,4 +95,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     out = keyed.select("doc_id", "key", F.col("n").cast("long").alias("n_words")).join(per_doc, "key", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "key", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, that are not contaminated."""
+    gone = decontaminate(documents, benchmark, doc_id, text, item_id, item_text).where("contaminated").select(F.col("key").alias("_gone")).distinct()
+    return documents.join(gone, row_key(F.col(doc_id), F.col(text)) == F.col("_gone"), "left_anti")

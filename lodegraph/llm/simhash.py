@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import written
+from lodegraph.llm.common import row_key, written
 from lodegraph.llm.components import components
 
 BITS, DISTANCE, SEGMENTS, BUCKET, SHINGLE, SEED = 64, 2, 5, 32, 3, 42
@@ -87,14 +87,30 @@ def links(prints: DataFrame, distance: int = DISTANCE, n: int = SEGMENTS, bucket
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key and fp of each row, and fp, node of the fingerprints with links (node: the component's least one)."""
+    key = row_key(F.col(doc_id), F.col(text))
+    docs = written(documents.select(F.col(doc_id).alias("doc_id"), key.alias("key"), _fingerprints(F.col(text)).alias("fp")), "simhash-prints")
+    found = components(links(docs.select("fp").distinct()))
+    return docs, found.select(F.col("node").alias("fp"), F.col("component").alias("node"))
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
-    docs = written(documents.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "simhash-prints")
-    prints = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    found = components(links(prints.select("fp")))
-    linked = prints.join(found, prints.fp == found.node)
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "component").select("fp", "component_id")
-    copied = prints.where("n > 1").join(found, prints.fp == found.node, "left_anti").select("fp", F.col("least").alias("component_id"))
-    out = docs.join(linked.unionByName(copied), "fp", "left")
+    docs, nodes = _grouped(documents, doc_id, text)
+    prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(nodes, "fp", "left")
+    prints = written(prints.where("n > 1 or node is not null"), "simhash-classes")  # the others are their own component
+    least = prints.where("node is not null").groupBy("node").agg(F.min("least").alias("of_node"))
+    named = prints.join(least, "node", "left").select("fp", F.coalesce("of_node", "least").alias("component_id"))
+    out = docs.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def without_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last), then row key."""
+    docs, nodes = _grouped(documents, doc_id, text)
+    first = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    kept = first.join(nodes, "fp", "left").groupBy(F.coalesce("node", "fp").alias("node")).agg(F.min("row").alias("row")).select(F.col("row.key").alias("_kept"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    rows = rows.join(kept, rows._key == kept._kept, "left_semi").dropDuplicates(["_key"])
+    return rows.select("row.*")
