@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import oracles
 from lodegraph.llm.common import table
 from lodegraph.llm.decontaminate import decontaminate
+from lodegraph.llm.html_extract import html_extract
 from lodegraph.llm.license_scan import license_scan
 from lodegraph.llm.line_dedup import line_dedup
 from lodegraph.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op4_simhash, op5_line_dedup, op6_toxicity, op7_telephony, op8_secrets, op9_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_html_extract, op4_simhash, op5_line_dedup, op6_toxicity, op7_telephony, op8_secrets, op9_packing, op10_token_store)}
 ORACLES = {"op1_decontaminate": oracles.OP1, "op2_license_scan": oracles.op2(), "op5_line_dedup": oracles.OP5, "op8_secrets": oracles.OP8}
