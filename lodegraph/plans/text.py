@@ -82,8 +82,8 @@ def relative_import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("target", paths.relative_module(F.col("importer"), F.col("module"), F.col("level")))
 
 
-@query(r"""WITH p AS (SELECT regexp_replace(url, '^https?://', '') AS x, url FROM pages) SELECT url, regexp_matches(lower(url), '^https?://(github\.com|gitlab\.com|bitbucket\.org)([:/?#]|$)') AS allowed,
-NOT regexp_matches(x, '(^|/)(\.git|\.hg|\.svn|\.mypy_cache|\.pytest_cache|\.ruff_cache|\.tox|\.venv|__pycache__|build|dist|node_modules|site-packages|vendor|venv)(/|$)') AND regexp_matches(lower(x), '\.(py|js|jsx|mjs|cjs|ts|tsx|md)$') AND NOT regexp_matches(x, '\.(min\.js|min\.mjs|bundle\.js)$') AS indexed FROM p""")
+@query(r"""WITH p AS (SELECT regexp_replace(url, '^https?://', '') AS x, url FROM pages) SELECT url, regexp_matches(lower(url), '^https?://github\.com([:/?#]|$)') AS allowed,
+NOT regexp_matches(x, '(^|/)(\.git|node_modules|__pycache__|\.venv|venv|dist|build|\.mypy_cache|\.pytest_cache|\.ruff_cache|site-packages|\.next|\.turbo|coverage|vendor)(/|$)') AND regexp_matches(lower(x), '\.(py|js|jsx|mjs|cjs|ts|tsx|md)$') AND NOT regexp_matches(x, '\.(min\.js|min\.mjs|bundle\.js)$') AS indexed FROM p""")
 def source_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^https?://", "")
     return table(spark, sf_dir, "pages").select("url", allowed_url(F.col("url")).alias("allowed"), wanted(path).alias("indexed"))

@@ -92,7 +92,7 @@ def extract_js(path: str, content: bytes) -> dict:
     for m in FUNCTION.finditer(code):
         args = _close(code, m.end() - 1, "()")
         body = re.compile(r"[^;{]*\{").match(code, args)
-        found.append((m.start(), _close(code, body.end() - 1, "{}") if body else args, "function", m[1], squeeze(text[m.start() : args]), []))
+        found.append((m.start(), _close(code, body.end() - 1, "{}") if body else args, "function", m[1], squeeze(text[m.start() : body.end() - 1 if body else args]), []))
     for m in ARROW.finditer(code):
         at = re.compile(r"=\s*(?:async\s*)?(?:<[^(]*>\s*)?").search(code, m.start(1) + len(m[1]) + (len(m[0]) - len(m[0][m[0].rindex("=") :]) - (m.start(1) - m.start()) - len(m[1]) if m[0].count("=") == 1 else 0))
         begin = at.end() if at else m.end() - 1
@@ -171,4 +171,4 @@ def extract_js(path: str, content: bytes) -> dict:
             continue
         owner = max((x for x in scopes if x[0] <= m.start() < x[1]), default=(0, 0, module))[2]
         calls.append({"caller": owner, "callee": callee, "line": line(m.start(2))})
-    return {"path": path, "language": "typescript" if re.search(r"\.tsx?$", path) else "javascript", "symbols": symbols, "imports": sorted(imports, key=lambda x: x["line"]), "calls": calls, "had_errors": code.count("{") != code.count("}")}
+    return {"path": path, "language": "tsx" if path.endswith(".tsx") else "typescript" if path.endswith(".ts") else "javascript", "symbols": symbols, "imports": sorted(imports, key=lambda x: x["line"]), "calls": calls, "had_errors": code.count("{") != code.count("}")}

@@ -14,10 +14,11 @@ from lodegraph.sources.extract_markdown import extract_markdown
 from lodegraph.sources.extract_python import extract_python
 
 # Folders and endings that are never indexed, and what is.
-SKIPPED_FOLDERS = [".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages", "vendor", "venv"]
+SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".next", ".turbo", "coverage", "vendor"]
 SKIPPED_ENDINGS = [".min.js", ".min.mjs", ".bundle.js"]
 MAX_FILES, MAX_BYTES = 5000, 500_000_000
-HOSTS = ["github.com", "gitlab.com", "bitbucket.org"]
+HOSTS = ["github.com"]
+PRIVATE_SIGNS = ["authentication failed", "could not read username", "terminal prompts disabled", "repository not found", "fatal: could not read", "403", "404"]
 
 Extractor = Callable[[str, bytes], dict]
 EXTRACTORS: dict[str, Extractor] = {".py": extract_python, ".js": extract_js, ".jsx": extract_js, ".mjs": extract_js, ".cjs": extract_js, ".ts": extract_js, ".tsx": extract_js, ".md": extract_markdown}
@@ -37,18 +38,31 @@ def wanted(path: Column, suffixes: list[str] | None = None) -> Column:
     return ok & suffix.isin(suffixes or list(EXTRACTORS))
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """path, content, length of all files under root. Spark's reader leaves out files of no bytes, which still are
+    modules, so the file system is asked for those."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content", "length")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    empty = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), bytearray(), 0))
+    return read.unionByName(spark.createDataFrame(empty, "path string, content binary, length long"))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, size of each wanted file under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     base = root.split(":", 1)[-1].rstrip("/") + "/"
     relative = F.when(at.startswith(base), F.substring(at, len(base) + 1, 1 << 30)).otherwise(at)
-    return files.select(relative.alias("path"), "content", F.col("length").alias("size")).where(wanted(F.col("path")))
+    return _files(spark, root).select(relative.alias("path"), "content", F.col("length").alias("size")).where(wanted(F.col("path")))
 
 
 def measure(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """n_files, n_bytes, fits: of all files but those of .git."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").contains("/.git/"))
+    files = _files(spark, root).where(~F.col("path").contains("/.git/"))
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).withColumn("fits", (F.col("n_files") <= max_files) & (F.col("n_bytes") <= max_bytes))
 
 
@@ -73,4 +87,5 @@ def allowed_url(url: Column, hosts: list[str] = HOSTS) -> Column:
 
 def clone_error(stderr: Column) -> Column:
     """private if the remote asks for rights, else generic."""
-    return F.when(F.lower(stderr).rlike("authentication failed|could not read username|permission denied|repository not found|terminal prompts disabled|403|401"), "private").otherwise("generic")
+    found = [F.lower(stderr).contains(sign) for sign in PRIVATE_SIGNS]
+    return F.when(F.greatest(*found), "private").otherwise("generic")
