@@ -50,25 +50,26 @@ KNOWN = [
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The words of a text, spelled alike, without copyright lines, one space between them."""
-    low = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
-    words = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", "  "), F.lit(" "))
+def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the sha-256 of the canonical text (its words, spelled alike, without copyright lines, one space between
+    them) instead of the text; null if it has no words. In steps, so that no step is worked out twice."""
+    rows = rows.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(text, ascii_lower(F.col(text)))
+    low = F.col(text)
+    signed = low.contains("copyright") | low.contains("(c)") | low.contains("©")  # few texts need the slower pass
+    rows = rows.withColumn(text, F.when(signed, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low))
+    rows = rows.withColumn(text, F.concat(F.lit(" "), F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", " "), F.lit(" ")))
+    spelled = F.replace(F.col(text), F.lit(" "), F.lit("  "))  # so that words side by side do not share a space
     for old, new in SPELLINGS:
-        words = F.replace(words, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(words, " +", " "))
-
-
-def digest(text: Column) -> Column:
-    """sha-256 of the canonical text; null if it has no words."""
-    words = canonical(text)
-    return F.when(words != "", F.sha2(words, 256))
+        spelled = F.replace(spelled, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    odd = F.col(text).rlike(" (?:" + "|".join(old for old, _ in SPELLINGS) + ") ")
+    rows = rows.withColumn(text, F.trim(F.when(odd, F.replace(spelled, F.lit("  "), F.lit(" "))).otherwise(F.col(text))))
+    return rows.withColumn(name, F.when(F.col(text) != "", F.sha2(text, 256))).drop(text)
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest, license: one row a digest. Its size is that of the given list, so it may be broadcast."""
     rows = spark.createDataFrame(known if known is not None else KNOWN, "license string, body string")
-    return rows.select(digest(F.col("body")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    return with_digest(rows, "body", "digest").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -77,8 +78,8 @@ def license_scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     table = F.broadcast(known_digests(documents.sparkSession, known))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), row_key(F.col(doc_id), F.col(text)).alias("key"))
     lines = docs.select("key", F.posexplode(F.split("t", "\n")).alias("at", "line"))
-    found = lines.select("key", "at", digest(F.col("line")).alias("digest")).join(table, "digest").dropDuplicates(["key", "at"])
+    found = with_digest(lines, "line", "digest").join(table, "digest").dropDuplicates(["key", "at"])
     per_doc = found.groupBy("key").agg(F.array_sort(F.collect_set("license")).alias("names"), F.count(F.lit(1)).alias("n"))
-    whole = docs.select("doc_id", "key", digest(F.col("t")).alias("text_digest"))
+    whole = with_digest(docs, "t", "text_digest")
     out = whole.join(table, whole.text_digest == table.digest, "left").join(per_doc, "key", "left")
     return out.select("doc_id", "text_digest", "license", F.coalesce(F.array_join("names", ","), F.lit("")).alias("notices"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"))
