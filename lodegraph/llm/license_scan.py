@@ -78,7 +78,8 @@ def license_scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     table = F.broadcast(known_digests(documents.sparkSession, known))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), row_key(F.col(doc_id), F.col(text)).alias("key"))
     lines = docs.select("key", F.posexplode(F.split("t", "\n")).alias("at", "line"))
-    found = with_digest(lines, "line", "digest").join(table, "digest").dropDuplicates(["key", "at"])
+    # never null, so that the join adds no null test, which would work out the canonical text again below it
+    found = with_digest(lines, "line", "digest").withColumn("digest", F.coalesce("digest", F.lit(""))).join(table, "digest").dropDuplicates(["key", "at"])
     per_doc = found.groupBy("key").agg(F.array_sort(F.collect_set("license")).alias("names"), F.count(F.lit(1)).alias("n"))
     whole = with_digest(docs, "t", "text_digest")
     out = whole.join(table, whole.text_digest == table.digest, "left").join(per_doc, "key", "left")
