@@ -6,10 +6,13 @@ documents: discounted counts of the beginning, backed off to how many different
 A beginning that one class has hardly seen thus costs about as much under either class. A word's evidence is the
 difference of its log-likelihoods, and a text's are means over its words, so length does not count by itself.
 
-Counts are gathered from every document (shared) and every labelled training row (classes), into 2**TABLE_BITS hashed
-cells; that, not the corpus, bounds what the driver and the broadcast hold. A logistic curve over the length-normalised
-differences is fitted to at most FIT_ROWS labelled rows of one training fold, scored by models that have not counted
-that fold's labels; the final models count all folds.
+Counts are gathered from every document (shared) and every labelled training row (classes). Distinct words with their
+counts are one Spark table, all their beginnings, to the last byte, another; both grow with the corpus. A beginning is
+known by a 64-bit hash and stands beside that of what it extends. Each word's evidence is joined from its beginnings, in
+whole numbers, so that it does not depend on partitions, and is written as sorted shards that scoring maps from the
+shared folder; the driver holds no counts. A logistic curve over the length-normalised differences is fitted to at most
+FIT_ROWS labelled rows of one training fold, scored by models that have not counted that fold's labels; the final models
+count all folds. Scripts written without spaces are read as overlapping pairs of letters.
 
 Defined cases: null, empty and wordless texts score by the curve at no evidence; null labels and ids without a label
 train nothing; a label repeated with both values counts in both classes; without both classes every score is 0.
@@ -17,15 +20,22 @@ train nothing; a label repeated with both values counts in both classes; without
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLE_BITS, DEPTH, DISCOUNT, FIT_ROWS, CHUNK = 19, 14, 0.75, 20_000, 1 << 21
-SPLITS, BROADCAST_BYTES = 4, 64 << 20
+from lodegraph.llm.common import shared_dir, written
+
+KEY_BITS, DISCOUNT, FIT_ROWS, CHUNK, SHARD_WORDS = 64, 0.75, 20_000, 1 << 21, 1 << 20
+BROADCAST_BYTES, UNIT = 64 << 20, 1 << 32  # evidence is held in whole parts of 1 / UNIT
+COUNTS = ("n_all", "n_0", "n_1", "n_2", "n_3")
 THRESHOLD = 0.3
 FEATURES = ("mean", "top1", "top3", "share", "long")
 
@@ -40,11 +50,24 @@ def _is_letter() -> np.ndarray:
 LETTER = _is_letter()
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def _pairs(run: re.Match) -> str:
+    letters = run[0]
+    return " " + " ".join(letters[i : i + 2] for i in range(max(1, len(letters) - 1))) + " "
+
+
+def _bytes(text: str | None) -> bytes:
+    low = (text or "").lower()
+    return (low if low.isascii() else UNSPACED.sub(_pairs, low)).encode()
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Runs of texts of about CHUNK bytes: first, last (exclusive), bytes with a 0 after each text."""
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        held.append((t or "").lower().encode())
+        held.append(_bytes(t))
         size += len(held[-1])
         if size >= CHUNK or i == len(texts) - 1:
             yield at, i + 1, np.frombuffer(b"\0".join(held) + b"\0", np.uint8)
@@ -58,12 +81,12 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the words that are so long, the cells of the beginning and of what it extends, and of its last bytes."""
+    """For each depth: the words that are so long, the cells of the beginning and of what it extends, and its last bytes."""
     live = np.arange(len(starts))
     h = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
     parent = np.zeros(len(starts), np.int64)
     b1 = np.zeros(len(starts), np.uint64)
-    for depth in range(DEPTH):
+    for depth in count():
         at = starts[live] + depth
         over = at > ends[live]  # one step past the end stands for the word's end
         if over.all():
@@ -73,39 +96,137 @@ def _prefixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int)
         b = np.where(at == ends[live], 0, buf[np.minimum(at, len(buf) - 1)]).astype(np.uint64)
         h = (h ^ (b + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        cell = (h >> np.uint64(64 - bits)).astype(np.int64)
+        cell = (h >> np.uint64(64 - bits)).view(np.int64)
         yield live, cell, parent, (b1 << np.uint64(8) | b).astype(np.int64)
         parent, b1 = cell, b
 
 
-def _count(bits: int):
+def _keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each word's own cell: that of its last beginning, which takes in its end."""
+    keys = np.zeros(len(starts), np.int64)
+    for live, cell, _, _ in _prefixes(buf, starts, ends, KEY_BITS):
+        keys[live] = cell
+    return keys
+
+
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of each chunk with how often they stand in it, in all and by part."""
+    for pdf in batches:
+        texts, labels = pdf["text"].tolist(), pdf["part"].to_numpy(dtype=float, na_value=np.nan)
+        for first, last, buf in _chunks(texts):
+            starts, ends = _words(buf)
+            _, at, same = np.unique(_keys(buf, starts, ends), return_index=True, return_inverse=True)
+            part = labels[first:last][np.searchsorted(np.flatnonzero(buf == 0), starts)]
+            data = buf.tobytes()
+            words = [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            yield pd.DataFrame({"word": words, "n_all": np.bincount(same, minlength=len(at)), **{f"n_{c}": np.bincount(same[part == c], minlength=len(at)) for c in range(4)}})
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    return np.frombuffer(b"\0".join(words) + b"\0", np.uint8), ends - lengths, ends
+
+
+def _begin(bits: int):
+    """From words with counts to their beginnings with counts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = 1 << bits
-        n = np.zeros((5, cells), np.int64)
-        up, low = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
         for pdf in batches:
-            texts, labels = pdf["text"].tolist(), pdf["part"].to_numpy(dtype=float, na_value=np.nan)
-            for first, last, buf in _chunks(texts):
-                starts, ends = _words(buf)
-                of = np.searchsorted(np.flatnonzero(buf == 0), starts)
-                y = labels[first:last][of] if len(starts) else np.zeros(0)
-                cells_, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for live, cell, parent, tail in _prefixes(buf, starts, ends, bits):
-                    up[cell], low[cell] = parent, tail
-                    cells_.append(cell)
-                    owners.append(live)
-                cell, part = np.concatenate(cells_), y[np.concatenate(owners)]
-                n[0] += np.bincount(cell, minlength=cells)
-                known = part >= 0  # not where it is nan
-                n[1:] += np.bincount(part[known].astype(np.int64) * cells + cell[known], minlength=4 * cells).reshape(4, cells)
-        held = np.flatnonzero(n[0])
-        yield pd.DataFrame({"cell": held.astype(np.int32), "up": up[held].astype(np.int32), "low": low[held].astype(np.int32), "n_all": n[0][held], **{f"n_{c}": n[1 + c][held] for c in range(4)}})
+            steps = list(_prefixes(*_joined(pdf["word"].tolist()), bits)) if len(pdf) else []
+            if not steps:
+                yield pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cell", "up", "low", *COUNTS)})
+                continue
+            live, cell, up, low = (np.concatenate(x) for x in zip(*steps, strict=True))
+            held, at, same = np.unique(cell, return_index=True, return_inverse=True)
+            yield pd.DataFrame({"cell": held, "up": up[at], "low": low[at], **{c: np.bincount(same, pdf[c].to_numpy(float)[live], len(held)).astype(np.int64) for c in COUNTS}})
 
     return run
 
 
-def model(counts: pd.DataFrame, bits: int = TABLE_BITS, discount: float = DISCOUNT, folds: tuple[int, ...] = (0, 1)) -> np.ndarray:
-    """Log-likelihoods of each cell's last byte after its beginning: row 0 ordinary, row 1 toxic. Fold 1 is the rows the curve is fitted to."""
+def _count(bits: int):
+    """From texts to beginnings with counts."""
+    return lambda batches: _begin(bits)(_gather(batches))
+
+
+def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each word's key beside the cell of each of its beginnings."""
+    for pdf in batches:
+        if len(pdf):
+            words = _joined(pdf["word"].tolist())
+            keys = _keys(*words)
+            for live, cell, _, _ in _prefixes(*words, KEY_BITS):
+                yield pd.DataFrame({"key": keys[live], "cell": cell})
+
+
+def evidence(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """key, and by how much likelier a word is as a toxic one, in parts of 1 / UNIT: under the models without fold 1
+    (first) and under those of all folds (final). Words without evidence are left out. words: word and COUNTS."""
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    found = words.mapInPandas(_begin(KEY_BITS), "cell long, up long, low int, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = written(found.groupBy("cell").agg(F.min("up").alias("up"), F.min("low").alias("low"), *sums), "toxicity-beginnings")
+    # continuation counts: how many beginnings end in these two bytes, of those that end in the first of them; 2**16 rows at most
+    pair = found.groupBy("low").agg(F.count(F.lit(1)).alias("pair")).withColumn("head", F.shiftright("low", 8))
+    first = pair.groupBy("head").agg(F.sum("pair").alias("first"))
+    tails = pair.join(F.broadcast(first), "head").select("low", ((F.col("pair") + 0.5) / (F.col("first") + 128.0)).alias("p_low"))
+    beside = Window.partitionBy("up")  # the bytes after one beginning, 256 at most
+
+    def discounted(n: Column, back: Column) -> Column:
+        total, kinds = F.sum(n).over(beside), F.sum((n > 0).cast("long")).over(beside)
+        return F.when(total > 0, F.greatest(n - discount, F.lit(0.0)) / total + discount * kinds / total * back).otherwise(back)
+
+    known = found.join(F.broadcast(tails), "low").withColumn("shared", discounted(F.col("n_all"), F.col("p_low")))
+    log = lambda n: F.log(F.greatest(discounted(n, F.col("shared")), F.lit(1e-12)))
+    n = [F.col(c) for c in COUNTS[1:]]
+    differ = {"first": log(n[1]) - log(n[0]), "final": log(n[1] + n[3]) - log(n[0] + n[2])}
+    cells = known.select("cell", *[F.round(d * UNIT).cast("long").alias(k) for k, d in differ.items()]).where("first <> 0 or final <> 0")
+    of = words.select("word").mapInPandas(_steps, "key long, cell long")
+    return of.join(cells, "cell").groupBy("key").agg(F.sum("first").alias("first"), F.sum("final").alias("final")).where("first <> 0 or final <> 0")
+
+
+class Lookup:
+    """Evidence by key from sorted shards in a folder that all executors read."""
+
+    opened: dict[str, np.ndarray] = {}
+
+    def __init__(self, path: str, shards: int, column: str) -> None:
+        self.path, self.shards, self.column = path, shards, column
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, of = np.zeros(len(keys)), keys & (self.shards - 1)
+        for shard in np.unique(of).tolist():
+            name = f"{self.path}/{shard}.npy"
+            if name not in self.opened:
+                self.opened[name] = np.load(name, mmap_mode="r") if os.path.exists(name) else np.zeros((3, 0), np.int64)
+            held = self.opened[name]
+            if held.shape[1]:
+                mine = np.flatnonzero(of == shard)
+                at = np.minimum(np.searchsorted(held[0], keys[mine]), held.shape[1] - 1)
+                out[mine] = np.where(held[0][at] == keys[mine], held[1 + ("first", "final").index(self.column)][at], 0) / UNIT
+        return out
+
+
+def _sharded(found: DataFrame) -> tuple[str, int]:
+    """Folder and number (a power of two) of the shards of found, each of about SHARD_WORDS words."""
+    found = written(found, "toxicity-words")
+    shards = 1 << max(0, (found.count() - 1) // SHARD_WORDS).bit_length()
+    path = f"{shared_dir(found.sparkSession).removeprefix('file:')}/toxicity-shards-{uuid.uuid4().hex}"
+    os.makedirs(path, exist_ok=True)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, rows = int(pdf["shard"].iloc[0]), pdf.sort_values("key")
+        part = f"{path}/{uuid.uuid4().hex}.npy"
+        np.save(part, rows[["key", "first", "final"]].to_numpy(np.int64).T.copy())
+        os.replace(part, f"{path}/{shard}.npy")
+        return pd.DataFrame({"n": [len(rows)]})
+
+    found.withColumn("shard", F.col("key").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(write, "n long").agg(F.sum("n")).first()
+    return path, shards
+
+
+def model(counts: pd.DataFrame, bits: int, discount: float = DISCOUNT, folds: tuple[int, ...] = (0, 1)) -> np.ndarray:
+    """Log-likelihoods of each cell's last byte after its beginning: row 0 ordinary, row 1 toxic. Fold 1 is the rows the curve is fitted to.
+    The form of evidence() for counts that one array holds; tests hold evidence() to it."""
     cells = 1 << bits
     if counts.empty:
         return np.zeros((2, cells), np.float32)
@@ -126,7 +247,7 @@ def model(counts: pd.DataFrame, bits: int = TABLE_BITS, discount: float = DISCOU
     return out
 
 
-def features(texts: list[str], tables: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+def features(texts: list[str], look: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """FEATURES of each text: the mean difference over its words, over its most toxic one and three words, the share of
     words that are far likelier as toxic ones, and whether it has words at all."""
     out = np.zeros((len(texts), len(FEATURES)))
@@ -134,11 +255,8 @@ def features(texts: list[str], tables: np.ndarray, bits: int = TABLE_BITS) -> np
         starts, ends = _words(buf)
         if not len(starts):
             continue
-        ll = np.zeros((2, len(starts)))
-        for live, cell, _, _ in _prefixes(buf, starts, ends, bits):
-            for c in (0, 1):
-                ll[c, live] += tables[c, cell]
-        d = ll[1] - ll[0]
+        keys, same = np.unique(_keys(buf, starts, ends), return_inverse=True)
+        d = look(keys)[same]
         of = np.searchsorted(np.flatnonzero(buf == 0), starts)
         n = np.bincount(of, minlength=last - first).astype(float)
         some = n > 0
@@ -175,36 +293,33 @@ def _split(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> Callable[[Column], Column]:
+def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> Callable[[Column], Column]:
     """Learns from documents and labels; the result makes a column of texts one of scores."""
-    spark = documents.sparkSession
     held_out, fold = _split(F.col("doc_id")) == 2, (_split(F.col("doc_id")) == 3).cast("int")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out).distinct()
     n_marks = marks.agg(F.count(F.lit(1)).alias("n")).first().n
     marks = marks.select("doc_id", (F.col("toxic") + 2 * fold).cast("byte").alias("part"))
     train = docs.join(F.broadcast(marks) if n_marks * 24 <= broadcast_bytes else marks, "doc_id", "left")
-    # what a task gathers is bounded by the cells, so a task takes several splits and sends it once
-    train = train.coalesce(max(1, documents.rdd.getNumPartitions() // SPLITS))
-    parts = train.select("text", "part").mapInPandas(_count(bits), "cell int, up int, low int, n_all long, n_0 long, n_1 long, n_2 long, n_3 long")
-    sums = parts.groupBy("cell").agg(F.min("up").alias("up"), F.min("low").alias("low"), *[F.sum(c).alias(c) for c in ("n_all", "n_0", "n_1", "n_2", "n_3")])
-    counts = sums.toArrow().to_pandas(split_blocks=True, self_destruct=True)
-    first = spark.sparkContext.broadcast(model(counts, bits, folds=(0,)))
+    parts = train.select("text", "part").mapInPandas(_gather, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    words = written(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-counts")
+    path, shards = _sharded(evidence(words))
+    first, final = Lookup(path, shards, "first"), Lookup(path, shards, "final")
 
     def score_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = features(pdf["text"].tolist(), first.value, bits)
+            x = features(pdf["text"].tolist(), first)
             yield pd.DataFrame({"toxic": pdf["toxic"], **{f: x[:, i] for i, f in enumerate(FEATURES)}})
 
     chosen = marks.where("part >= 2").orderBy(F.xxhash64("doc_id"), "doc_id", "part").limit(fit_rows)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text", (F.col("part") - 2).cast("int").alias("toxic"))
     rows = sample.mapInPandas(score_features, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    rows = rows.sort_values(["toxic", *FEATURES])  # sums in one order, however the rows came
     weights = fit(rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float))
-    tables = spark.sparkContext.broadcast(model(counts, bits))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        x = features(texts.tolist(), tables.value, bits)
+        x = features(texts.tolist(), final)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -60, 60))))
 
     return score
