@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's variable fields (words with a digit) become <*>; its place in the tree, of fixed depth, is its word count and
-first LEADING words. In a leaf that several distinct lines reach, the commonest line (ties: the earliest) is the leaf's
-template; a line that agrees with it in at least SIMILARITY of its places generalises into it, any other is a template
-of its own. A template found in more than one document is recurring: its lines stay in the first document that has it
+first LEADING words. In a leaf that several distinct lines reach, the commonest line (ties: the earliest) is a template
+and takes in each line that agrees with it in at least SIMILARITY of its places; the commonest line not yet placed is
+the next template, until none is left (with one_template, as op5's SQL has it, only the first takes in others). First
+templates are met one a leaf; what then remains is paired by equal segments, of which two lines that agree enough have
+one, and settled in rounds. A template found in more than one document is recurring: its lines stay in the first document that has it
 (smallest doc_id) and are dropped from all others.
 
 Lines of fewer than MIN_WORDS words are never dropped. Only line hashes are counted over the corpus; words are
@@ -16,6 +18,8 @@ recur by that; other columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +45,57 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def dropped_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _next_templates(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leaf, h, rep of the lines that each leaf's commonest line takes in, and the lines still to be compared."""
+    tops = left.groupBy("leaf").agg(F.max("order").alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("leaf", "top")
+    models = left.join(tops, "leaf").where("order = top").select("leaf", F.col("h").alias("rep"), F.col("words").alias("model"))
+    near = _agreement(F.col("words"), F.col("model")) >= SIMILARITY * F.size("words")
+    tested = written(left.join(models, "leaf").where("h <> rep").withColumn("near", near).drop("model"), "lines-tested")
+    return tested.where("near").select("leaf", "h", "rep"), tested.where("not near").drop("near", "rep")
+
+
+def _segments(words: Column) -> Column:
+    """Hashes of one segment more, after the leading words, than two lines that agree enough can differ in places."""
+    n, body = F.floor(F.size(words) * (1 - SIMILARITY) + 1e-6) + 1, F.size(words) - LEADING
+    cut = lambda i: F.floor(body * i / n).cast("int")
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.xxhash64(i, F.slice(words, cut(i) + LEADING + 1, cut(i + 1) - cut(i))))
+
+
+def _remaining_templates(left: DataFrame) -> DataFrame:
+    """leaf, h, rep as by taking each leaf's commonest line again and again."""
+    of = left.select("leaf", "h", "order", F.explode(_segments(F.col("words"))).alias("segment"))
+    later, sooner = of, of.select("leaf", "segment", F.col("h").alias("rep"), F.col("order").alias("rep_order"))
+    met = later.join(sooner, ["leaf", "segment"]).where("order < rep_order").select("leaf", "h", "rep", "rep_order").distinct()
+    both = met.join(left.select("leaf", "h", "words"), ["leaf", "h"]).join(left.select("leaf", F.col("h").alias("rep"), F.col("words").alias("model")), ["leaf", "rep"])
+    pairs = written(both.where(_agreement(F.col("words"), F.col("model")) >= SIMILARITY * F.size("words")).select("leaf", "h", "rep", "rep_order"), "lines-pairs")
+    todo, leaders = pairs.select("leaf", "h", "rep"), []
+    while not todo.isEmpty():  # a line with no commoner one beside it is a template, those it takes in are none
+        lead = written(todo.select("leaf", "rep").distinct().join(todo.select("leaf", F.col("h").alias("rep")), ["leaf", "rep"], "left_anti"), "lines-lead")
+        gone = todo.join(lead, ["leaf", "rep"]).select("leaf", "h").distinct()
+        todo = written(todo.join(gone, ["leaf", "h"], "left_anti").join(gone.withColumnRenamed("h", "rep"), ["leaf", "rep"], "left_anti"), "lines-todo")
+        leaders.append(lead)
+    if not leaders:
+        return pairs.select("leaf", "h", "rep")
+    return pairs.join(reduce(DataFrame.unionByName, leaders), ["leaf", "rep"]).groupBy("leaf", "h").agg(F.max_by("rep", "rep_order").alias("rep"))
+
+
+def _placed(in_leaf: DataFrame) -> DataFrame:
+    """leaf, h, rep of every line that a template takes in; in_leaf: leaf, h, words, order."""
+    found, left = [], in_leaf
+    while True:
+        hits, rest = _next_templates(left)
+        n_hits, n_rest = hits.count(), rest.count()
+        found.append(hits)
+        left = rest
+        if not n_rest:
+            break
+        if 8 * n_hits < n_rest:  # few lines a template: pair what is left
+            found.append(written(_remaining_templates(left), "lines-placed"))
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def dropped_lines(documents: DataFrame, doc_id: str, text: str, one_template: bool = False) -> DataFrame:
     """key and drop: the places (from 0) of the lines that go, for each document that loses any."""
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).select("id", "t", row_key(F.col("id"), F.col("t")).alias("key"))
@@ -53,11 +107,14 @@ def dropped_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     leaves = stats.groupBy("leaf").agg(F.max(earlier).alias("top"), F.count(F.lit(1)).alias("kinds"), F.min("key_a").alias("a"), F.max("key_b").alias("b"))
     leaves = leaves.where("kinds > 1 and a <> b").select("leaf", F.col("top.h").alias("rep"))
     # the words of one line of each kind in such a leaf, read where it first stands
-    wanted = stats.join(leaves, "leaf").groupBy("first.key").agg(F.collect_list(F.struct("first.at", "leaf", "h", "rep")).alias("lines"))
+    wanted = stats.join(leaves, "leaf").groupBy("first.key").agg(F.collect_list(F.struct("first.at", "leaf", "h", "rep", earlier.alias("order"))).alias("lines"))
     texts = docs.join(wanted, "key").dropDuplicates(["key"]).select(F.split("t", "\n").alias("all"), F.explode("lines").alias("x"))
-    in_leaf = written(texts.select("x.leaf", "x.h", "x.rep", _masked(F.get("all", F.col("x.at"))).alias("words")), "lines-in-leaves")
-    reps = in_leaf.where("h = rep").select("leaf", F.col("words").alias("model"))
-    alike = in_leaf.where("h <> rep").join(reps, "leaf").where(_agreement(F.col("words"), F.col("model")) >= SIMILARITY * F.size("words")).select("leaf", "h", "rep")
+    in_leaf = written(texts.select("x.leaf", "x.h", "x.rep", "x.order", _masked(F.get("all", F.col("x.at"))).alias("words")), "lines-in-leaves")
+    if one_template:
+        reps = in_leaf.where("h = rep").select("leaf", F.col("words").alias("model"))
+        alike = in_leaf.where("h <> rep").join(reps, "leaf").where(_agreement(F.col("words"), F.col("model")) >= SIMILARITY * F.size("words")).select("leaf", "h", "rep")
+    else:
+        alike = _placed(in_leaf.drop("rep"))
     known = stats.join(alike, ["leaf", "h"], "left").withColumn("template", F.coalesce("rep", "h"))
     merged = known.groupBy("leaf", "template").agg(F.min("key_a").alias("a"), F.max("key_b").alias("b"), F.min("first").alias("first"))
     recurring = merged.where("a <> b").select("leaf", "template", F.col("first.key").alias("keeper"))
@@ -66,10 +123,10 @@ def dropped_lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return gone.groupBy("key").agg(F.collect_set("at").alias("drop"))
 
 
-def line_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", counts: bool = False) -> DataFrame:
+def line_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", counts: bool = False, one_template: bool = False) -> DataFrame:
     """documents with the recurring lines gone from text (and n_chars, if there is such a column, counted anew);
     with counts, also lines_total and lines_dropped."""
-    gone = dropped_lines(documents, doc_id, text)
+    gone = dropped_lines(documents, doc_id, text, one_template)
     key = F.when(F.col(doc_id).isNotNull() & F.col(text).isNotNull(), row_key(F.col(doc_id), F.col(text)))
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key.alias("key"))
     both = whole.join(gone, "key", "left")

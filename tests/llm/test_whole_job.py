@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from lodegraph.llm import toxicity
+from lodegraph.llm.line_dedup import line_dedup
 
 
 def toxic_table(spark, rows, parts):
@@ -54,3 +55,35 @@ def test_toxicity_reads_words_to_their_end_and_is_the_same_in_any_partitions(spa
     one, other = toxic_table(spark, rows, 1), toxic_table(spark, rows, 7)
     assert one == other
     assert sum(one[i][1] == y for i, (_, y) in enumerate(rows)) > 0.98 * len(rows)
+
+
+def test_line_dedup_has_several_templates_a_leaf(spark):
+    """Against the step taken line by line: leaves of many unlike families, each line once or twice."""
+    rng = np.random.default_rng(5)
+    letters, texts = list("abcdefghij"), []
+    for n in (5, 6, 10, 23):
+        for _ in range(12):
+            base = rng.choice(letters, n).tolist()
+            for _ in range(6):
+                at = rng.integers(0, n, max(1, n // 6))
+                line = [str(rng.choice(letters)) if i in at else w for i, w in enumerate(base)]
+                texts.append(" ".join(["w", "x", "y", "z", *line[4:]]))
+    docs = [(i, t) for i, t in enumerate(rng.permutation(texts).tolist())]
+    first, n = {}, {}
+    for i, t in docs:
+        first.setdefault(t, i)
+        n[t] = n.get(t, 0) + 1
+    templates, of = [], {}
+    for t in sorted(n, key=lambda t: (-n[t], first[t])):
+        words = t.split(" ")
+        alike = [m for m in templates if len(m) == len(words) and sum(a == b for a, b in zip(m, words, strict=True)) >= 0.8 * len(words)]
+        if not alike:
+            templates.append(words)
+        of[t] = tuple(alike[0] if alike else words)
+    assert max(sum(len(m) == k for m in templates) for k in (6, 10, 23)) > 8
+    kept, want = set(), {}
+    for i, t in docs:
+        want[i] = "" if of[t] in kept else t
+        kept.add(of[t])
+    got = line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
