@@ -39,11 +39,11 @@ def opening_size(length: int, shorter: list[int], capacities: tuple[int, ...]) -
         if size < length:
             continue
         room, at = size - length, len(shorter)
-        for _ in range(8):  # a few pieces show the fit; small ones after them change little
-            at = bisect_left(shorter, room + 1, 0, at) - 1
-            if at < 0 or not room:
-                break
-            room -= shorter[at]
+        while room and (at := bisect_left(shorter, room + 1, 0, at)):  # until no room or no piece is left
+            n = shorter[at - 1]
+            least = bisect_left(shorter, n, 0, at)  # equal lengths in one step
+            room -= n * min(room // n, at - least)
+            at = least
         if cost is None or room / size < cost:
             best, cost = size, room / size
     return best

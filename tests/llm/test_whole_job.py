@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from lodegraph.llm import toxicity
+from lodegraph.llm import packing, toxicity
 from lodegraph.llm.line_dedup import line_dedup
 
 
@@ -87,3 +87,8 @@ def test_line_dedup_has_several_templates_a_leaf(spark):
         kept.add(of[t])
     got = line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_packing_looks_ahead_to_the_last_piece():
+    assert packing.opening_size(300, [300] * 100, packing.CAPACITIES) == 4096
+    assert sum(packing.best_fit([300] * 20_000)[2]) == 6_301_696
