@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony(table(spark, sf_dir, "documents"))
+    return telephony(table(spark, sf_dir, "documents")).drop("media", "pcm")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM by numpy across blocks, resampled PCM.
 
 The stored form of a payload is a WAV file of 8-bit mu-law samples (mono, 8 kHz): each byte is one sample's code, so
-the payload comes back as it was.
+the payload comes back as it was. Beside it stands its PCM, expanded and resampled, as a WAV file of its own; both are
+columns of the result, and what is told of a document is read back from them.
 
 Defined cases: a null or empty payload is stored as one block of zero bytes; payloads are padded with zero bytes to a
 positive multiple of BLOCK; equal payloads have equal files and features whatever the batch.
@@ -12,14 +13,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK, RATE, RESAMPLED, CHUNK_BLOCKS = 64, 8000, 16000, 4096
+BLOCK, RATE, RESAMPLED, CHUNK_BLOCKS, CHUNK_BYTES = 64, 8000, 16000, 4096, 2 << 20
 MULAW, ALAW, PCM = 7, 6, 1
 
 # The step sizes and index changes of IMA ADPCM.
@@ -110,9 +113,12 @@ def pcm_wav(media: bytes) -> bytes:
     return wav(resample(pcm).astype("<i2").tobytes(), PCM, RESAMPLED, 16)
 
 
-def features(payloads: list[bytes]) -> list[str]:
+def features(payloads: list[bytes], pcms: list[bytes] | None = None) -> list[str]:
     """Per payload, all in whole numbers: mean size and sign changes of its mu-law PCM, mean size of its A-law PCM, mean
-    size of its resampled PCM, and peak and mean size of its blocks read as ADPCM."""
+    size of its resampled PCM, and peak and mean size of its blocks read as ADPCM. pcms: the samples of the stored PCM,
+    made from the payloads where they are not given."""
+    if pcms is None:
+        pcms = [unwav(pcm_wav(wav(p, MULAW)))[2] for p in payloads]
     mu, a = mulaw_table(), alaw_table()
     out: list[str] = []
     at = 0
@@ -129,10 +135,9 @@ def features(payloads: list[bytes]) -> list[str]:
         change[np.cumsum(n) - 1] = 0
         changes = np.add.reduceat(change, first)
         laws = np.add.reduceat(np.abs(a[data].astype(np.int64)), first) // n
-        between = np.abs((pcm[:-1].astype(np.int32) + pcm[1:]) >> 1).astype(np.int64)
-        between = np.concatenate((between, [0]))
-        between[np.cumsum(n) - 1] = np.abs(pcm[np.cumsum(n) - 1].astype(np.int64))
-        twice = (np.add.reduceat(np.abs(pcm.astype(np.int64)) + between, first)) // (2 * n)
+        wide = np.frombuffer(b"".join(pcms[at:to]), "<i2").astype(np.int64)
+        n_wide = np.array([len(p) // 2 for p in pcms[at:to]])
+        twice = np.add.reduceat(np.abs(wide), np.cumsum(n_wide) - n_wide) // n_wide
         rows = data.reshape(-1, BLOCK)
         peak, total = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         for i in range(0, len(rows), CHUNK_BLOCKS):
@@ -145,9 +150,6 @@ def features(payloads: list[bytes]) -> list[str]:
     return out
 
 
-PROBED = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
-
-
 @F.pandas_udf(T.BinaryType())
 def stored(payloads: pd.Series) -> pd.Series:
     return pd.Series([store(p or b"") for p in payloads], dtype=object)
@@ -158,21 +160,34 @@ def resampled(media: pd.Series) -> pd.Series:
     return pd.Series([None if m is None else pcm_wav(m) for m in media], dtype=object)
 
 
-def _probe(media: pd.Series) -> pd.DataFrame:
+def _probe(media: list[bytes], pcm: list[bytes]) -> dict[str, list]:
+    """What is read back from stored forms and stored PCM: sizes, digests and the feature string."""
     read = [unwav(m)[2] for m in media]
-    return pd.DataFrame({
+    return {
         "payload_bytes": [len(p) for p in read], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read], "tail_crc32": [zlib.crc32(p[-64:]) for p in read],
-        "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": features(read),
-    })
-
-
-def probed(media: Column) -> Column:
-    """What is read back from stored forms: sizes, digests and the feature string."""
-    return F.pandas_udf(_probe, PROBED)(media)
+        "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": features(read, [unwav(m)[2] for m in pcm]),
+    }
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its files and what they tell, CHUNK_BYTES of payloads (or one row) at once."""
+    for batch in batches:
+        payloads, at = batch.column("payload").to_pylist(), 0
+        while at < len(payloads):
+            to, size = at, 0
+            while to < len(payloads) and (to == at or size < CHUNK_BYTES):
+                size, to = size + len(payloads[to]), to + 1
+            media = [store(p) for p in payloads[at:to]]
+            pcm = [pcm_wav(m) for m in media]
+            ids = batch.slice(at, to - at)
+            made = {"doc_id": ids.column("doc_id"), "n_bytes": ids.column("n_bytes"), "media": pa.array(media, pa.binary()), "pcm": pa.array(pcm, pa.binary())}
+            yield pa.RecordBatch.from_pydict(made | {k: pa.array(v) for k, v in _probe(media, pcm).items()})
+            at = to
 
 
 def telephony(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (the stored form, recomputed where it is asked for) and what was read back from it."""
-    payload = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    media = stored(payload)
-    return documents.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), probed(media).alias("read")).select("doc_id", "n_bytes", "read.*")
+    """doc_id, n_bytes, media (the stored form), pcm (its resampled PCM) and what was read back from the two."""
+    payload = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.octet_length(payload).cast("long").alias("n_bytes"), F.encode(payload, "UTF-8").alias("payload"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, pcm binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return rows.mapInArrow(_files, schema)

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from lodegraph.llm import packing, toxicity
+from lodegraph.llm import packing, telephony, toxicity
 from lodegraph.llm.line_dedup import line_dedup
 
 
@@ -92,3 +92,15 @@ def test_line_dedup_has_several_templates_a_leaf(spark):
 def test_packing_looks_ahead_to_the_last_piece():
     assert packing.opening_size(300, [300] * 100, packing.CAPACITIES) == 4096
     assert sum(packing.best_fit([300] * 20_000)[2]) == 6_301_696
+
+
+def test_telephony_gives_its_files(spark):
+    texts = ["hello", None, "", "é😀" * 40, "y" * 10_000]
+    rows = telephony.telephony(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        media = telephony.store((texts[r.doc_id] or "").encode())
+        assert bytes(r.media) == media and bytes(r.pcm) == telephony.pcm_wav(media)
+        form, rate, pcm = telephony.unwav(bytes(r.pcm))
+        assert (form, rate) == (telephony.PCM, telephony.RESAMPLED)
+        assert f"pcm16k={np.abs(np.frombuffer(pcm, '<i2').astype(int)).sum() // (len(pcm) // 2)};" in r.feature
