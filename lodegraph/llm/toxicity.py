@@ -1,55 +1,46 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-The models read words letter by letter: the next byte of a word given its beginning. A model's probability is absolute
-discounting of its class's counts, interpolated with the shared model, and the shared model is Kneser-Ney over all
-documents: discounted counts of the beginning, backed off to how many different beginnings the last two bytes follow.
-A beginning that one class has hardly seen thus costs about as much under either class. A word's evidence is the
-difference of its log-likelihoods, and a text's are means over its words, so length does not count by itself.
-
-Counts are gathered from every document (shared) and every labelled training row (classes). Distinct words with their
-counts are one Spark table, all their beginnings, to the last byte, another; both grow with the corpus. A beginning is
-known by a 64-bit hash and stands beside that of what it extends. Each word's evidence is joined from its beginnings, in
-whole numbers, so that it does not depend on partitions, and is written as sorted shards that scoring maps from the
-shared folder; the driver holds no counts. A logistic curve over the length-normalised differences is fitted to at most
-FIT_ROWS labelled rows of one training fold, scored by models that have not counted that fold's labels; the final models
-count all folds. Scripts written without spaces are read as overlapping pairs of letters.
+The models read words letter by letter: a letter (code point) or a word's end, given the ORDER - 1 letters before it in
+its word, the word's beginning among them. A model's probability is absolute discounting of its class's counts,
+interpolated with the shared model, and the shared model is Kneser-Ney over all documents: discounted counts, backed off
+to how many different contexts a letter follows the one before it in. An expression that one class has hardly seen thus
+costs about as much under either class. A word's evidence is the difference of its log-likelihoods, and a text's are
+means over its words and over its one and three most toxic ones, so length does not count by itself.
+
+Counts are gathered from every document (shared) and every labelled training row (classes): each task merges the grams
+of its texts, and Spark sums them by gram. The tables grow with the corpus; a gram is known by a 64-bit hash beside that
+of its context. Evidence of grams is held in whole numbers, so that it does not depend on partitions, and is written as
+sorted shards in the shared folder, which scoring looks words up in; the driver holds no counts. A logistic curve over
+the length-normalised differences is fitted to at most FIT_ROWS labelled rows of one training fold, scored by models
+that have not counted that fold's labels; the final models count all folds. Scripts written without spaces are read as
+overlapping pairs of letters.
 
 Defined cases: null, empty and wordless texts score by the curve at no evidence; null labels and ids without a label
-train nothing; a label repeated with both values counts in both classes; without both classes every score is 0.
+train nothing; a label repeated with both values counts in both classes; without both classes every score is 0; very
+long texts and words are read to their end; equal texts have equal scores; rows repeated count and are scored each; among
+rows of equal hash the curve's sample takes the smaller id; other columns pass through or are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import shared_dir, written
+from lodegraph.llm.common import filesystem, shared_dir, written
 
-KEY_BITS, DISCOUNT, FIT_ROWS, CHUNK, SHARD_WORDS = 64, 0.75, 20_000, 1 << 21, 1 << 20
+ORDER, DISCOUNT, FIT_ROWS, CHUNK, HELD_GRAMS, SHARD_GRAMS = 6, 0.75, 20_000, 1 << 21, 1 << 21, 1 << 20
 BROADCAST_BYTES, UNIT = 64 << 20, 1 << 32  # evidence is held in whole parts of 1 / UNIT
-COUNTS = ("n_all", "n_0", "n_1", "n_2", "n_3")
+COUNTS = ("n_all", "n_0", "n_1", "n_2", "n_3")  # all documents; labels 0 and 1 of fold 0, then of fold 1, which the curve is fitted to
+GRAM = "gram long, context long, pair long"
 THRESHOLD = 0.3
 FEATURES = ("mean", "top1", "top3", "share", "long")
 
-
-def _is_letter() -> np.ndarray:
-    t = np.zeros(256, bool)
-    t[128:] = True
-    t[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789'", np.uint8)] = True
-    return t
-
-
-LETTER = _is_letter()
-
-
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
@@ -58,196 +49,200 @@ def _pairs(run: re.Match) -> str:
     return " " + " ".join(letters[i : i + 2] for i in range(max(1, len(letters) - 1))) + " "
 
 
-def _bytes(text: str | None) -> bytes:
+def _points(text: str | None) -> np.ndarray:
     low = (text or "").lower()
-    return (low if low.isascii() else UNSPACED.sub(_pairs, low)).encode()
+    return np.frombuffer((low if low.isascii() else UNSPACED.sub(_pairs, low)).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Runs of texts of about CHUNK bytes: first, last (exclusive), bytes with a 0 after each text."""
-    at, held, size = 0, [], 0
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of texts of about CHUNK letters: first, last (exclusive), code points with a 0 after each text."""
+    at, held, size, end = 0, [], 0, np.zeros(1, np.uint32)
     for i, t in enumerate(texts):
-        held.append(_bytes(t))
-        size += len(held[-1])
+        held += [_points(t), end]
+        size += len(held[-2])
         if size >= CHUNK or i == len(texts) - 1:
-            yield at, i + 1, np.frombuffer(b"\0".join(held) + b"\0", np.uint8)
+            yield at, i + 1, np.concatenate(held)
             at, held, size = i + 1, [], 0
 
 
+#: Letters of words: all code points from U+0080 on but the Latin-1 and general punctuation, and these.
+ASCII_LETTERS = np.zeros(128, bool)
+ASCII_LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789'", np.uint8)] = True
+
+
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    letter = np.concatenate(([False], LETTER[buf], [False]))
-    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    """Where words begin and end (exclusive)."""
+    letter = ASCII_LETTERS[np.minimum(buf, 127)]
+    high = buf > 127
+    if high.any():
+        b = buf[high]
+        letter[high] = (b >= 0xAA) & (b != 0xAB) & (b != 0xBB) & (b != 0xBF) & ((b < 0x2000) | (b > 0x206F)) & ((b < 0x3000) | (b > 0x3004))
+    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
     return edge[::2], edge[1::2]
 
 
-def _prefixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the words that are so long, the cells of the beginning and of what it extends, and its last bytes."""
-    live = np.arange(len(starts))
-    h = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
-    parent = np.zeros(len(starts), np.int64)
-    b1 = np.zeros(len(starts), np.uint64)
-    for depth in count():
-        at = starts[live] + depth
-        over = at > ends[live]  # one step past the end stands for the word's end
-        if over.all():
-            return
-        if over.any():
-            live, at, h, parent, b1 = live[~over], at[~over], h[~over], parent[~over], b1[~over]
-        b = np.where(at == ends[live], 0, buf[np.minimum(at, len(buf) - 1)]).astype(np.uint64)
-        h = (h ^ (b + np.uint64(1))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        cell = (h >> np.uint64(64 - bits)).view(np.int64)
-        yield live, cell, parent, (b1 << np.uint64(8) | b).astype(np.int64)
-        parent, b1 = cell, b
-
-
-def _keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Each word's own cell: that of its last beginning, which takes in its end."""
-    keys = np.zeros(len(starts), np.int64)
-    for live, cell, _, _ in _prefixes(buf, starts, ends, KEY_BITS):
-        keys[live] = cell
-    return keys
-
-
-def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of each chunk with how often they stand in it, in all and by part."""
-    for pdf in batches:
-        texts, labels = pdf["text"].tolist(), pdf["part"].to_numpy(dtype=float, na_value=np.nan)
-        for first, last, buf in _chunks(texts):
-            starts, ends = _words(buf)
-            _, at, same = np.unique(_keys(buf, starts, ends), return_index=True, return_inverse=True)
-            part = labels[first:last][np.searchsorted(np.flatnonzero(buf == 0), starts)]
-            data = buf.tobytes()
-            words = [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            yield pd.DataFrame({"word": words, "n_all": np.bincount(same, minlength=len(at)), **{f"n_{c}": np.bincount(same[part == c], minlength=len(at)) for c in range(4)}})
-
-
-def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    return np.frombuffer(b"\0".join(words) + b"\0", np.uint8), ends - lengths, ends
-
-
-def _begin(bits: int):
-    """From words with counts to their beginnings with counts."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each length n, end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def _distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words as 0 word 0 word 0 ..., the place of each one's first letter there, and each word's number among them."""
+    lengths = ends - starts
+    place = _within(lengths)
+    points = buf[np.repeat(starts, lengths) + place].astype(np.uint64)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    keys = _mix(np.add.reduceat(_mix(points + np.uint64(0xA5A5)) * powers[place], np.cumsum(lengths) - lengths))
+    _, at, same = np.unique(keys, return_index=True, return_inverse=True)
+    n = lengths[at]
+    begin = 1 + np.cumsum(n + 1) - (n + 1)
+    words = np.zeros(int((n + 1).sum()) + 1, np.uint64)
+    step = _within(n)
+    words[np.repeat(begin, n) + step] = buf[np.repeat(starts[at], n) + step]
+    return words, begin, same
+
+
+def _grams(words: np.ndarray, begin: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram, context and pair of each letter and each end of words laid out by _distinct, and where each word's first one is."""
+    n = np.diff(np.append(begin, len(words)))  # letters and the end
+    behind = _within(n) + 1  # how far back the word's beginning is
+    letter = words[1:]
+    h = np.full(len(letter), 0x2545F4914F6CDD1D, np.uint64)
+    for k in range(order - 1, 0, -1):
+        far = np.flatnonzero(behind >= k)
+        h[far] = _mix(h[far] ^ (words[far + 1 - k] + np.uint64(1)))
+    gram = _mix(h ^ ((letter + np.uint64(1)) << np.uint64(24)))
+    return gram.view(np.int64), h.view(np.int64), (words[:-1] << np.uint64(32) | letter).view(np.int64), np.cumsum(n) - n
+
+
+def _merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    joined = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    gram, at, same = np.unique(joined["gram"], return_index=True, return_inverse=True)
+    sums = {c: np.bincount(same, joined[c], len(gram)).astype(np.int64) for c in COUNTS}
+    return {"gram": gram, "context": joined["context"][at], "pair": joined["pair"][at], **sums}
+
+
+def _gather(order: int):
+    """From texts to grams with counts, merged as far as HELD_GRAMS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for pdf in batches:
-            steps = list(_prefixes(*_joined(pdf["word"].tolist()), bits)) if len(pdf) else []
-            if not steps:
-                yield pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cell", "up", "low", *COUNTS)})
-                continue
-            live, cell, up, low = (np.concatenate(x) for x in zip(*steps, strict=True))
-            held, at, same = np.unique(cell, return_index=True, return_inverse=True)
-            yield pd.DataFrame({"cell": held, "up": up[at], "low": low[at], **{c: np.bincount(same, pdf[c].to_numpy(float)[live], len(held)).astype(np.int64) for c in COUNTS}})
+            texts, labels = pdf["text"].tolist(), pdf["part"].to_numpy(dtype=float, na_value=np.nan)
+            for first, last, buf in _chunks(texts):
+                starts, ends = _words(buf)
+                if not len(starts):
+                    continue
+                words, begin, same = _distinct(buf, starts, ends)
+                part = labels[first:last][np.searchsorted(np.flatnonzero(buf == 0), starts)]
+                gram, context, pair, _ = _grams(words, begin, order)
+                of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
+                counts = {"n_all": np.bincount(same, minlength=len(begin)), **{f"n_{c}": np.bincount(same[part == c], minlength=len(begin)) for c in range(4)}}
+                held.append(_merged([{"gram": gram, "context": context, "pair": pair, **{c: n[of] for c, n in counts.items()}}]))
+                size += len(held[-1]["gram"])
+                if size > HELD_GRAMS:
+                    held = [_merged(held)]
+                    size = len(held[0]["gram"])
+                    if size > HELD_GRAMS // 2:
+                        yield pd.DataFrame(held.pop())
+                        size = 0
+        if held:
+            yield pd.DataFrame(_merged(held))
 
     return run
 
 
-def _count(bits: int):
-    """From texts to beginnings with counts."""
-    return lambda batches: _begin(bits)(_gather(batches))
+def counted(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, context, pair and COUNTS of all grams; texts: text, and part (label + 2 * fold, or null)."""
+    parts = texts.select("text", "part").mapInPandas(_gather(order), GRAM + ", " + ", ".join(f"{c} long" for c in COUNTS))
+    return written(parts.groupBy("gram", "context", "pair").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-grams")
 
 
-def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each word's key beside the cell of each of its beginnings."""
-    for pdf in batches:
-        if len(pdf):
-            words = _joined(pdf["word"].tolist())
-            keys = _keys(*words)
-            for live, cell, _, _ in _prefixes(*words, KEY_BITS):
-                yield pd.DataFrame({"key": keys[live], "cell": cell})
-
-
-def evidence(words: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """key, and by how much likelier a word is as a toxic one, in parts of 1 / UNIT: under the models without fold 1
-    (first) and under those of all folds (final). Words without evidence are left out. words: word and COUNTS."""
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    found = words.mapInPandas(_begin(KEY_BITS), "cell long, up long, low int, " + ", ".join(f"{c} long" for c in COUNTS))
-    found = written(found.groupBy("cell").agg(F.min("up").alias("up"), F.min("low").alias("low"), *sums), "toxicity-beginnings")
-    # continuation counts: how many beginnings end in these two bytes, of those that end in the first of them; 2**16 rows at most
-    pair = found.groupBy("low").agg(F.count(F.lit(1)).alias("pair")).withColumn("head", F.shiftright("low", 8))
-    first = pair.groupBy("head").agg(F.sum("pair").alias("first"))
-    tails = pair.join(F.broadcast(first), "head").select("low", ((F.col("pair") + 0.5) / (F.col("first") + 128.0)).alias("p_low"))
-    beside = Window.partitionBy("up")  # the bytes after one beginning, 256 at most
+def evidence(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """gram, and by how much likelier it is in a toxic text, in parts of 1 / UNIT: under the models without fold 1
+    (first) and under those of all folds (final). Grams without evidence are left out."""
+    # continuation counts: how many grams end in this pair of letters, of those that end in any pair with the same first one
+    pairs = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.shiftright("pair", 32))
+    heads = pairs.groupBy("head").agg(F.sum("n").alias("of"))
+    tails = pairs.join(heads, "head").select("pair", ((F.col("n") + 0.5) / (F.col("of") + 128.0)).alias("p_pair"))
+    marked = " + ".join(COUNTS[1:])
+    beside = Window.partitionBy("context")  # what follows one context: the letters of its script at most
 
     def discounted(n: Column, back: Column) -> Column:
         total, kinds = F.sum(n).over(beside), F.sum((n > 0).cast("long")).over(beside)
         return F.when(total > 0, F.greatest(n - discount, F.lit(0.0)) / total + discount * kinds / total * back).otherwise(back)
 
-    known = found.join(F.broadcast(tails), "low").withColumn("shared", discounted(F.col("n_all"), F.col("p_low")))
+    # a context no label has followed holds no evidence: it goes before the back-off is looked up
+    known = grams.withColumn("marked", F.sum(F.expr(marked)).over(beside)).where("marked > 0")
+    total, kinds = F.sum("n_all").over(beside), F.sum((F.col("n_all") > 0).cast("long")).over(beside)
+    known = known.withColumns({"total": total, "kinds": kinds}).join(tails, "pair")
+    known = known.withColumn("shared", F.greatest(F.col("n_all") - discount, F.lit(0.0)) / F.col("total") + discount * F.col("kinds") / F.col("total") * F.col("p_pair"))
     log = lambda n: F.log(F.greatest(discounted(n, F.col("shared")), F.lit(1e-12)))
     n = [F.col(c) for c in COUNTS[1:]]
     differ = {"first": log(n[1]) - log(n[0]), "final": log(n[1] + n[3]) - log(n[0] + n[2])}
-    cells = known.select("cell", *[F.round(d * UNIT).cast("long").alias(k) for k, d in differ.items()]).where("first <> 0 or final <> 0")
-    of = words.select("word").mapInPandas(_steps, "key long, cell long")
-    return of.join(cells, "cell").groupBy("key").agg(F.sum("first").alias("first"), F.sum("final").alias("final")).where("first <> 0 or final <> 0")
+    return known.select("gram", *[F.round(d * UNIT).cast("long").alias(k) for k, d in differ.items()]).where("first <> 0 or final <> 0")
 
 
 class Lookup:
-    """Evidence by key from sorted shards in a folder that all executors read."""
+    """Evidence by gram from sorted shards in a folder that all executors read."""
 
     opened: dict[str, np.ndarray] = {}
 
     def __init__(self, path: str, shards: int, column: str) -> None:
         self.path, self.shards, self.column = path, shards, column
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out, of = np.zeros(len(keys)), keys & (self.shards - 1)
+    def _shard(self, shard: int) -> np.ndarray:
+        name = f"{self.path}/{shard}.evidence"
+        if name not in self.opened:
+            disk, file = filesystem(name)
+            if not disk.get_file_info(file).is_file:
+                self.opened[name] = np.zeros((3, 0), np.int64)
+            elif disk.type_name == "local":
+                self.opened[name] = np.memmap(file, np.int64, "r").reshape(3, -1)
+            else:
+                with disk.open_input_file(file) as f:
+                    self.opened[name] = np.frombuffer(f.read(), np.int64).reshape(3, -1)
+        return self.opened[name]
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        out, of = np.zeros(len(grams)), grams & (self.shards - 1)
         for shard in np.unique(of).tolist():
-            name = f"{self.path}/{shard}.npy"
-            if name not in self.opened:
-                self.opened[name] = np.load(name, mmap_mode="r") if os.path.exists(name) else np.zeros((3, 0), np.int64)
-            held = self.opened[name]
+            held = self._shard(shard)
             if held.shape[1]:
                 mine = np.flatnonzero(of == shard)
-                at = np.minimum(np.searchsorted(held[0], keys[mine]), held.shape[1] - 1)
-                out[mine] = np.where(held[0][at] == keys[mine], held[1 + ("first", "final").index(self.column)][at], 0) / UNIT
+                at = np.minimum(np.searchsorted(held[0], grams[mine]), held.shape[1] - 1)
+                out[mine] = np.where(held[0][at] == grams[mine], held[1 + ("first", "final").index(self.column)][at], 0)
         return out
 
 
 def _sharded(found: DataFrame) -> tuple[str, int]:
-    """Folder and number (a power of two) of the shards of found, each of about SHARD_WORDS words."""
-    found = written(found, "toxicity-words")
-    shards = 1 << max(0, (found.count() - 1) // SHARD_WORDS).bit_length()
-    path = f"{shared_dir(found.sparkSession).removeprefix('file:')}/toxicity-shards-{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
+    """Folder and number (a power of two) of the shards of found, each of about SHARD_GRAMS grams."""
+    found = written(found, "toxicity-evidence")
+    shards = 1 << max(0, (found.count() - 1) // SHARD_GRAMS).bit_length()
+    path = f"{shared_dir(found.sparkSession)}/toxicity-shards-{uuid.uuid4().hex}"
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, rows = int(pdf["shard"].iloc[0]), pdf.sort_values("key")
-        part = f"{path}/{uuid.uuid4().hex}.npy"
-        np.save(part, rows[["key", "first", "final"]].to_numpy(np.int64).T.copy())
-        os.replace(part, f"{path}/{shard}.npy")
+        shard, rows = int(pdf["shard"].iloc[0]), pdf.sort_values("gram")
+        disk, folder = filesystem(path)
+        disk.create_dir(folder, recursive=True)
+        part = f"{folder}/_attempt-{uuid.uuid4().hex}"
+        with disk.open_output_stream(part) as out:
+            out.write(rows[["gram", "first", "final"]].to_numpy(np.int64).T.tobytes())
+        disk.move(part, f"{folder}/{shard}.evidence")
         return pd.DataFrame({"n": [len(rows)]})
 
-    found.withColumn("shard", F.col("key").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(write, "n long").agg(F.sum("n")).first()
+    found.withColumn("shard", F.col("gram").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(write, "n long").agg(F.sum("n")).first()
     return path, shards
 
 
-def model(counts: pd.DataFrame, bits: int, discount: float = DISCOUNT, folds: tuple[int, ...] = (0, 1)) -> np.ndarray:
-    """Log-likelihoods of each cell's last byte after its beginning: row 0 ordinary, row 1 toxic. Fold 1 is the rows the curve is fitted to.
-    The form of evidence() for counts that one array holds; tests hold evidence() to it."""
-    cells = 1 << bits
-    if counts.empty:
-        return np.zeros((2, cells), np.float32)
-    cell, up, low = (counts[c].to_numpy(np.int64) for c in ("cell", "up", "low"))
-    # continuation counts: how many beginnings end in these two bytes, of those that end in the first of them
-    pair, first = np.bincount(low, minlength=1 << 16), np.bincount(low >> 8, minlength=256)
-    p_low = (pair[low] + 0.5) / (first[low >> 8] + 128.0)
-
-    def discounted(n: np.ndarray, back: np.ndarray) -> np.ndarray:
-        total, kinds = np.bincount(up, n, cells)[up], np.bincount(up, n > 0, cells)[up]
-        safe = np.maximum(total, 1)
-        return np.where(total > 0, np.maximum(n - discount, 0) / safe + discount * kinds / safe * back, back)
-
-    shared = discounted(counts["n_all"].to_numpy(float), p_low)
-    out = np.zeros((2, cells), np.float32)
-    for c in (0, 1):
-        out[c, cell] = np.log(np.maximum(discounted(sum(counts[f"n_{c + 2 * f}"].to_numpy(float) for f in folds), shared), 1e-12))
-    return out
-
-
-def features(texts: list[str], look: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def features(texts: list[str | None], look: Callable[[np.ndarray], np.ndarray], order: int = ORDER) -> np.ndarray:
     """FEATURES of each text: the mean difference over its words, over its most toxic one and three words, the share of
     words that are far likelier as toxic ones, and whether it has words at all."""
     out = np.zeros((len(texts), len(FEATURES)))
@@ -255,19 +250,20 @@ def features(texts: list[str], look: Callable[[np.ndarray], np.ndarray]) -> np.n
         starts, ends = _words(buf)
         if not len(starts):
             continue
-        keys, same = np.unique(_keys(buf, starts, ends), return_inverse=True)
-        d = look(keys)[same]
+        words, begin, same = _distinct(buf, starts, ends)
+        gram, _, _, at = _grams(words, begin, order)
+        d = (np.add.reduceat(look(gram), at) / UNIT)[same]
         of = np.searchsorted(np.flatnonzero(buf == 0), starts)
         n = np.bincount(of, minlength=last - first).astype(float)
         some = n > 0
-        order = np.lexsort((-d, of))
-        rank = np.arange(len(d)) - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)[of[order]]
-        best = np.where(rank < 3, d[order], 0.0)
+        sinking = np.lexsort((-d, of))
+        rank = np.arange(len(d)) - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)[of[sinking]]
+        best = np.where(rank < 3, d[sinking], 0.0)
         mean = lambda w: np.bincount(of, w, last - first) / np.maximum(n, 1)
         part = out[first:last]
         part[:, 0] = mean(d) * 10
-        part[:, 1] = np.bincount(of[order], np.where(rank < 1, best, 0), last - first)
-        part[:, 2] = np.bincount(of[order], best, last - first) / np.clip(n, 1, 3)
+        part[:, 1] = np.bincount(of[sinking], np.where(rank < 1, best, 0), last - first)
+        part[:, 2] = np.bincount(of[sinking], best, last - first) / np.clip(n, 1, 3)
         part[:, 3] = np.log1p(100 * mean((d > 3).astype(float)))
         part[:, 4] = some
     return out
@@ -293,7 +289,7 @@ def _split(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> Callable[[Column], Column]:
+def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> Callable[[Column], Column]:
     """Learns from documents and labels; the result makes a column of texts one of scores."""
     held_out, fold = _split(F.col("doc_id")) == 2, (_split(F.col("doc_id")) == 3).cast("int")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -301,14 +297,12 @@ def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     n_marks = marks.agg(F.count(F.lit(1)).alias("n")).first().n
     marks = marks.select("doc_id", (F.col("toxic") + 2 * fold).cast("byte").alias("part"))
     train = docs.join(F.broadcast(marks) if n_marks * 24 <= broadcast_bytes else marks, "doc_id", "left")
-    parts = train.select("text", "part").mapInPandas(_gather, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
-    words = written(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "toxicity-counts")
-    path, shards = _sharded(evidence(words))
+    path, shards = _sharded(evidence(counted(train, order)))
     first, final = Lookup(path, shards, "first"), Lookup(path, shards, "final")
 
     def score_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = features(pdf["text"].tolist(), first)
+            x = features(pdf["text"].tolist(), first, order)
             yield pd.DataFrame({"toxic": pdf["toxic"], **{f: x[:, i] for i, f in enumerate(FEATURES)}})
 
     chosen = marks.where("part >= 2").orderBy(F.xxhash64("doc_id"), "doc_id", "part").limit(fit_rows)
@@ -319,7 +313,7 @@ def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        x = features(texts.tolist(), final)
+        x = features(texts.tolist(), final, order)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -60, 60))))
 
     return score

@@ -89,20 +89,6 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs(spark, []), none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    texts = ["the cat sat on the mat", "that cat ran"]
-    out = list(toxicity._count(16)(iter([pd.DataFrame({"text": texts, "part": [0.0, 1.0]})])))[0]
-    tables = toxicity.model(out, 16)
-    at = {}
-    for cell, up, n in zip(out["cell"], out["up"], out["n_0"], strict=True):
-        at.setdefault(up, []).append((n, np.exp(tables[0, cell])))
-    for rows in at.values():
-        if sum(n for n, _ in rows):
-            assert sum(p for _, p in rows) <= 1 + 1e-6
-
-
 @pytest.fixture(scope="module")
 def weights():
     return H.train(pages=300, epochs=10)

@@ -13,36 +13,74 @@ def toxic_table(spark, rows, parts):
     return {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(d, labels).collect()}
 
 
-def test_toxicity_evidence_by_brute_force(spark):
-    texts = ["the cat sat on the mat " + "x" * 40 + "a", "that cat ran " + "x" * 40 + "b", "漢字仮名 the", "cat"]
-    part = [0.0, 1.0, 3.0, np.nan]
-    words = pd.concat(toxicity._gather(iter([pd.DataFrame({"text": texts, "part": part})])))
-    assert {"漢字", "字仮", "仮名"} <= {w.decode() for w in words["word"]}
-    found = toxicity.evidence(spark.createDataFrame(words, "word binary, n_all long, n_0 long, n_1 long, n_2 long, n_3 long"))
-    look = toxicity.Lookup(*toxicity._sharded(found), "final")
+def grams_of(word, order):
+    """A word's grams in letters, "\0" for its beginning and end."""
+    s = "\0" + word + "\0"
+    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
+
+
+def class_models(texts, part, order):
+    """Log-likelihoods of a word's letters by class (labels of both folds), counted in plain dicts."""
     n = {}
-    for w, *counts in words.itertuples(index=False):
-        for i in range(len(w) + 1):
-            n.setdefault((w + b"\0")[: i + 1], np.zeros(5))
-            n[(w + b"\0")[: i + 1]] += counts
-    tails = [(b"\0" + b)[-2:] for b in n]
-
-    def spread(b, of, back):
-        beside = [of(v) for k, v in n.items() if k[:-1] == b[:-1]]
+    for t, p in zip(texts, part):
+        for w in t.split():
+            for pair in ([w] if w[0] < "一" else [w[i : i + 2] for i in range(max(1, len(w) - 1))]):
+                for g in grams_of(pair, order):
+                    n.setdefault(g, np.zeros(5))[0] += 1
+                    if p == p:
+                        n[g][1 + int(p)] += 1
+    tails = [g[-2:] for g in n]
+
+    def spread(g, of, back):
+        beside = [of(v) for k, v in n.items() if k[:-1] == g[:-1]]
         total = sum(beside)
-        return (max(of(n[b]) - 0.75, 0) + 0.75 * sum(x > 0 for x in beside) * back) / total if total else back
-
-    def slow(w):
-        d = 0.0
-        for i in range(len(w) + 1):
-            b = (w + b"\0")[: i + 1]
-            tail = (b"\0" + b)[-2:]
-            shared = spread(b, lambda v: v[0], (tails.count(tail) + 0.5) / (sum(t[0] == tail[0] for t in tails) + 128))
-            d += np.log(spread(b, lambda v: v[2] + v[4], shared)) - np.log(spread(b, lambda v: v[1] + v[3], shared))
-        return d
-
-    for w in words["word"]:
-        assert abs(look(toxicity._keys(*toxicity._joined([w])))[0] - slow(w)) < 1e-6, w
+        return (max(of(n[g]) - 0.75, 0) + 0.75 * sum(x > 0 for x in beside) * back) / total if total else back
+
+    def letter(g, label):
+        tail = g[-2:]
+        shared = spread(g, lambda v: v[0], (tails.count(tail) + 0.5) / (sum(t[0] == tail[0] for t in tails) + 128))
+        return spread(g, (lambda v: v[2] + v[4]) if label else (lambda v: v[1] + v[3]), shared)
+
+    return n, letter
+
+
+TEXTS = ["the cat sat on the mat " + "x" * 40 + "a", "that cat ran " + "x" * 40 + "b naïve", "漢字仮名 the", "cat"]
+PARTS = [0.0, 1.0, 3.0, np.nan]
+
+
+def test_toxicity_evidence_by_brute_force(spark):
+    texts = spark.createDataFrame(list(zip(TEXTS, [None if p != p else int(p) for p in PARTS])), "text string, part int").repartition(3)
+    for order in (3, 6):
+        look = toxicity.Lookup(*toxicity._sharded(toxicity.evidence(toxicity.counted(texts, order))), "final")
+        n, letter = class_models(TEXTS, PARTS, order)
+        for w in ["the", "cat", "that", "naïve", "漢字", "字仮", "x" * 40 + "b", "mat"]:
+            buf = np.array([ord(c) for c in w], np.uint32)
+            words, begin, _ = toxicity._distinct(buf, np.array([0]), np.array([len(buf)]))
+            got = look(toxicity._grams(words, begin, order)[0]).sum() / toxicity.UNIT
+            slow = sum(np.log(letter(g, 1)) - np.log(letter(g, 0)) for g in grams_of(w, order))
+            assert abs(got - slow) < 1e-6, (order, w)
+
+
+def test_kneser_ney_sums_to_one():
+    n, letter = class_models(TEXTS, PARTS, 4)
+    for context in {g[:-1] for g in n}:
+        for label in (0, 1):
+            assert sum(letter(g, label) for g in n if g[:-1] == context) <= 1 + 1e-9
+
+
+def test_toxicity_grams_do_not_depend_on_how_texts_are_held(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["dog", "doge", "İstanbul", "naïve", "x" * 3000, "漢字仮名", "a'b", "…", "9z"], 30)) for _ in range(40)]
+    pdf = pd.DataFrame({"text": [*texts, None, "", " .,"], "part": [float(i % 5) if i % 5 < 4 else np.nan for i in range(43)]})
+
+    def total():
+        out = pd.concat(toxicity._gather(6)(iter([pdf])))
+        return out.groupby(["gram", "context", "pair"]).sum().sort_index()
+
+    whole = total()
+    monkeypatch.setattr(toxicity, "CHUNK", 500)
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", 100)
+    pd.testing.assert_frame_equal(whole, total())
 
 
 def test_toxicity_reads_words_to_their_end_and_is_the_same_in_any_partitions(spark):
