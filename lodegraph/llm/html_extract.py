@@ -7,11 +7,14 @@ runs pages of like lengths together.
 
 The labeller is trained here, by back-propagation through time, on PAGES generated layouts (a fixed seed) that hold an
 article among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, under several mark-ups.
-That sample's size is its bound; no page of the table is needed for it. The weights are sent to the executors.
+That sample's size is its bound; no page of the table is needed for it. A process trains once; the weights, of fixed
+size, are sent to the executors.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text; scripts, styles, comments and
-unclosed or stray tags are tolerated; <br> is white space inside its block; rows repeated stay repeated; other columns
-are ignored, whatever their names.
+unclosed or stray tags are tolerated (see RAW and SKIPPED), and mark-up is read in one pass, however malformed or long;
+a block is read to its last word; elements more than DEPTH deep keep their text but not their own place in the path; a
+probability of exactly one half is main text; <br> is white space inside its block; rows repeated stay repeated; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,56 +37,106 @@ PAGES, EPOCHS, BATCH_BLOCKS, SEED = 600, 14, 20_000, 11
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(("script", "style", "noscript", "template", "iframe", "svg"))
+#: Elements whose content is no text of the page. Those of the first kind hold no mark-up either, so an unclosed one takes
+#: the rest of the page; of the second kind, a self-closing or unclosed tag takes nothing but itself.
+RAW, SKIPPED = frozenset(("script", "style")), frozenset(("noscript", "template", "iframe", "svg"))
 #: A tag that is opened inside one of these closes it first, back to the nearest of the second kind.
 CLOSES = {"p": (BLOCKS - {"body", "html"}, frozenset()), "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "tr": (frozenset(["tr"]), frozenset(["table"]))}
+DEPTH = 100  # elements nested deeper stand beside one another in paths; their text is read all the same
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?]|/)")
+STOP = re.compile("[>=]")
+VALUE = re.compile(r"\s*(?:([\"'])|[^\s>]*)")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def _tag_end(text: str, at: int) -> int:
+    """Past the > that ends a tag whose name ends at at. Quotes count only right after =, as in HTML; a quoted value
+    that never ends is taken to end at the next >, and a tag that never ends takes the rest."""
+    while m := STOP.search(text, at):
+        if m[0] == ">":
+            return m.end()
+        v = VALUE.match(text, m.end())
+        at = v.end()
+        if v[1]:
+            close = text.find(v[1], at)
+            if close < 0:
+                close = text.find(">", at)
+                return close + 1 if close >= 0 else len(text)
+            at = close + 1
+    return len(text)
+
+
+def tags(text: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether it closes, and attributes of each tag; comments and the like have no name. One pass."""
+    at = 0
+    while m := OPENING.search(text, at):
+        if m[2]:
+            at = _tag_end(text, m.end())
+            yield m.start(), at, m[2].lower(), bool(m[1]), text[m.end() : at]
+        else:
+            end, skip = ("-->", 3) if text.startswith("<!--", m.start()) else (">", 1)
+            found = text.find(end, m.start() + 2)
+            at = found + skip if found >= 0 else len(text)
+            yield m.start(), at, "", False, ""
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
     """Path and text of each leaf block. A path names a tag, and after it its class, id and role words, outermost first."""
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    deeper: Counter[str] = Counter()
     held: list[str] = []
-    path: tuple[str, ...] = ()
+    endless: set[str] = set()
+    path: tuple[str, ...] | None = ()
     at, text = 0, page or ""
 
     def flush() -> None:
+        nonlocal path
         if held:
             line = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if line:
+                if path is None:
+                    path = tuple(name for _, names in stack for name in names)
                 out.append((path, line))
             held.clear()
 
-    def below() -> tuple[str, ...]:
-        return tuple(name for _, names in stack for name in names)
-
     def close(name: str) -> None:
+        nonlocal path
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 del stack[i:]
+                path = None
                 return
 
-    while m := TAG.search(text, at):
-        if m.start() > at:
-            held.append(text[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def past(name: str, begin: int) -> int | None:
+        """Past the end tag of name, None if there is none."""
+        end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(text, begin)
+        if not end:
+            endless.add(name)
+            return None
+        return _tag_end(text, end.end())
+
+    for begin, end, name, closing, attributes in tags(text):
+        if begin < at:  # inside an element that is left out
             continue
-        name = m[2].lower()
+        if begin > at:
+            held.append(text[at:begin])
+        at = end
         if name == "br":
             held.append(" ")
-        elif m[1]:
+        elif closing:
             if name in BLOCKS:
                 flush()
-                close(name)
-                path = below()
+                if deeper[name]:
+                    deeper[name] -= 1
+                else:
+                    close(name)
         elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-            at = end.end() if end else len(text)
+            at = past(name, at) or len(text)
+        elif name in SKIPPED:
+            at = at if attributes.endswith("/>") else past(name, at) or at
         elif name in BLOCKS:
             flush()
             if stack and (stack[-1][0] == "p" or name in CLOSES):
@@ -93,11 +148,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
                         break
                     if stack[i][0] == name and name in inner:
                         del stack[i:]
+                        path = None
                         break
             if name not in VOID:
-                words = [w.lower() for v in NAMED.findall(m[3]) for w in re.split(r"[^A-Za-z0-9]+", "".join(v)) if w]
-                stack.append((name, (name, *("." + w for w in words))))
-            path = below()
+                if len(stack) < DEPTH:
+                    words = [w.lower() for v in NAMED.findall(attributes) for w in re.split(r"[^A-Za-z0-9]+", "".join(v)) if w]
+                    stack.append((name, (name, *("." + w for w in words))))
+                    path = None
+                else:
+                    deeper[name] += 1
     held.append(text[at:])
     flush()
     return out
@@ -124,10 +183,13 @@ def vectors(page: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
     out = np.zeros((len(page), INPUT), np.float32)
     for i, (path, text) in enumerate(page):
         out[i, :PATH_DIM] = _path_vector(path)
-        words = text.split(" ", 40)[:40]
-        for w in words:
-            a, b, s = _hashed(w, WORD_DIM)
-            out[i, PATH_DIM + a] += s / len(words)
+        words = Counter(text.lower().split(" "))
+        share = 1 / words.total()
+        v = [0.0] * WORD_DIM
+        for w, n in words.items():
+            a, _, s = _hashed(w, WORD_DIM)
+            v[a] += s * n
+        out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.array(v) * share
         out[i, -SIZES:] = np.log1p(len(text)) / 5, len(path) / 10, i / len(page), text[-1] in ".!?…"
     return out
 
@@ -147,12 +209,12 @@ def start_weights(seed: int = SEED) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _run(w: dict[str, np.ndarray], way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """One direction over (time, page, input); where the mask is 0 the state stays."""
+def _run(w: dict[str, np.ndarray], way: str, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """One direction over (time, page, input); where the mask is 0 the state stays. keep: also what training needs of each step."""
     steps, n = x.shape[:2]
     pre = x @ w[f"x{way}"] + w[f"b{way}"]
     h = c = np.zeros((n, HIDDEN), np.float32)
-    out, kept = np.zeros((steps, n, HIDDEN), np.float32), [None] * steps
+    out, kept = np.zeros((steps, n, HIDDEN), np.float32), [None] * (steps if keep else 0)
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
         z = pre[t] + h @ w[f"h{way}"]
         i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in (0, 1, 2))
@@ -160,7 +222,8 @@ def _run(w: dict[str, np.ndarray], way: str, x: np.ndarray, mask: np.ndarray) ->
         m = mask[t][:, None]
         new_c = f * c + i * g
         new_h = o * np.tanh(new_c)
-        kept[t] = (h, c, i, f, o, g, new_c)
+        if keep:
+            kept[t] = (h, c, i, f, o, g, new_c)
         c, h = m * new_c + (1 - m) * c, m * new_h + (1 - m) * h
         out[t] = h
     return out, kept
@@ -172,7 +235,7 @@ def probabilities(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) ->
 
 
 def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    (hf, kf), (hb, kb) = _run(w, "f", x, mask), _run(w, "b", x, mask)
+    (hf, kf), (hb, kb) = _run(w, "f", x, mask, True), _run(w, "b", x, mask, True)
     both = np.concatenate([hf, hb], axis=2)
     d = (_sigmoid(both @ w["o"] + w["c"]) - y) * mask / max(mask.sum(), 1)
     g = {"o": np.einsum("tn,tnh->h", d, both), "c": d.sum(keepdims=True).reshape(1)}
@@ -216,6 +279,17 @@ LEFT = {
     "comments": ['<div class="comments"><p>{}</p></div>', '<section id="comments"><article class="comment"><p>{}</p></article></section>', '<ol class="comment-list"><li>{}</li></ol>', '<div id="disqus" class="comment"><p>{}</p></div>'],
 }
 MAIN = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content"><div class="post">{}</div></div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', '<article class="post"><div class="text">{}</div></article>', '<section class="story">{}</section>']
+#: Words that some blocks of a kind begin or end with.
+SAID = {
+    "menu": "home about contact archive login help topics news sections sitemap".split(),
+    "header": "welcome daily journal blog official site tagline".split(),
+    "footer": "copyright © rights reserved privacy terms imprint powered by".split(),
+    "side": "related popular recent share follow tags trending archives also".split(),
+    "notice": "cookies accept consent we use subscribe newsletter close settings".split(),
+    "advert": "sponsored advertisement buy now offer sale deal discount free".split(),
+    "form": "search email name password submit sign up send your".split(),
+    "comments": "reply posted says comment comments agree thanks ago".split(),
+}
 MARK = "\N{SQUARE FOUR CORNERS}"
 
 
@@ -228,6 +302,9 @@ def layout(rng: np.random.Generator) -> str:
     def other(kind: str) -> str:
         form = LEFT[kind][rng.integers(len(LEFT[kind]))]
         inner = links() if kind == "menu" else words(1, 30) + (". " + words(1, 20) + "." if rng.random() < 0.6 else "")
+        if rng.random() < 0.5:
+            own = " ".join(rng.choice(SAID[kind], rng.integers(1, 5)))
+            inner = f'<li><a href="/x">{own}</a></li>{inner}' if kind == "menu" else rng.choice([f"{own} {inner}", f"{inner} {own}", own])
         return form.format(f"<ul>{inner}</ul>" if kind == "menu" and "<ul" not in form and rng.random() < 0.9 else inner)
 
     def body() -> str:
@@ -249,6 +326,7 @@ def layout(rng: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(1, 9)}</title></head><body>{top}{main}{tail}{close}"
 
 
+@lru_cache(2)
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam over generated layouts; the same weights each time."""
     rng = np.random.default_rng(seed)
