@@ -44,5 +44,6 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Rows with equal id and text are one row to the operators; never null."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+    """Rows with equal id and text are one row to the operators; never null. The id itself is part of it, so a chance
+    equality of hashes could only join rows of one id."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))

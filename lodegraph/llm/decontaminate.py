@@ -66,7 +66,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         found = _positions(keyed, k).select("h").join(near(wanted), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
         counts = found if counts is None else counts.unionByName(found)
     if counts is None:
-        hits = base.sparkSession.createDataFrame([], "key long, start int, end int, items array<bigint>")
+        hits = keyed.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit("")).alias("items"))
     else:
         rarity = written(counts, "decontaminate-rarity")
         prefix = inside.join(rarity, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "h")).alias("p"))

@@ -38,16 +38,19 @@ FROM t LEFT JOIN r USING (doc_id)
 """
 
 OP5 = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+'), lambda w: w <> '') AS ws
  FROM (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM d)),
-n AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS h, len(ws) || ' ' || array_to_string(ws[1:4], ' ') AS leaf FROM l WHERE len(ws) >= 5),
-s AS (SELECT leaf, h, count(*) AS c, min(doc_id) AS a, max(doc_id) AS b, min(doc_id * 1000000 + pos) AS f FROM n GROUP BY leaf, h),
-v AS (SELECT leaf, arg_max(h, c * 1000000000000 - f) AS rep FROM s GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)),
-m AS (SELECT s.leaf, s.h, v.rep FROM s JOIN v ON s.leaf = v.leaf WHERE s.h <> v.rep
- AND len(list_filter(range(1, len(string_split(s.h, ' ')) + 1), lambda i: string_split(s.h, ' ')[i] = string_split(v.rep, ' ')[i])) >= 0.8 * len(string_split(s.h, ' '))),
-k AS (SELECT s.*, coalesce(m.rep, s.h) AS t FROM s LEFT JOIN m ON s.leaf = m.leaf AND s.h = m.h),
-r AS (SELECT leaf, t, min(a) AS keeper FROM k GROUP BY leaf, t HAVING min(a) <> max(b)),
+n AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS h, len(ws) AS nw, len(ws) || ' ' || array_to_string(ws[1:4], ' ') AS leaf FROM l WHERE len(ws) >= 1),
+s AS (SELECT leaf, h, any_value(nw) AS nw, count(*) AS c, count(DISTINCT doc_id) AS docs, min(doc_id) AS a, max(doc_id) AS b, min(doc_id * 1000000 + pos) AS f FROM n GROUP BY leaf, h),
+v AS (SELECT leaf FROM s GROUP BY leaf HAVING count(*) > 1 AND min(a) <> max(b)),
+q(leaf, h, ws, o, rep) AS (
+ SELECT s.leaf, s.h, string_split(s.h, ' '), s.c * 1000000000000 - s.f, CAST(NULL AS VARCHAR) FROM s JOIN v ON s.leaf = v.leaf
+ UNION ALL
+ SELECT r.leaf, r.h, r.ws, r.o, CASE WHEN len(list_filter(range(1, len(r.ws) + 1), lambda i: r.ws[i] = t.ws[i])) >= 0.8 * len(r.ws) THEN t.h END
+ FROM (SELECT * FROM q WHERE rep IS NULL) r JOIN (SELECT leaf, arg_max(h, o) AS h, arg_max(ws, o) AS ws FROM q WHERE rep IS NULL GROUP BY leaf) t ON r.leaf = t.leaf),
+k AS (SELECT s.*, coalesce(q.rep, s.h) AS t FROM s LEFT JOIN q ON s.leaf = q.leaf AND s.h = q.h AND q.rep IS NOT NULL),
+r AS (SELECT leaf, t, min(a) AS keeper FROM k GROUP BY leaf, t HAVING min(a) <> max(b) AND (min(nw) >= 5 OR max(docs) >= 10)),
 g AS (SELECT n.doc_id, list(DISTINCT n.pos) AS gone FROM n JOIN k ON n.leaf = k.leaf AND n.h = k.h JOIN r ON k.leaf = r.leaf AND k.t = r.t WHERE n.doc_id <> r.keeper GROUP BY n.doc_id),
 o AS (SELECT d.doc_id, len(ls) AS nl, coalesce(len(gone), 0) AS nd, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: ls[i]), chr(10)) END AS t FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
 SELECT doc_id, CAST(nl AS BIGINT) AS lines_total, CAST(nd AS BIGINT) AS lines_dropped, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM o
