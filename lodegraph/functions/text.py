@@ -43,3 +43,21 @@ def lines(text: Column) -> Column:
 
 def approx_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
+
+
+def iso(at: Column) -> Column:
+    """A time in UTC as ISO 8601, null as empty."""
+    return F.coalesce(F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def latency_ms(began: Column, ended: Column) -> Column:
+    return F.unix_millis(ended.cast("timestamp")) - F.unix_millis(began.cast("timestamp"))
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of the UTF-8 bytes, as an unsigned number; null stays null."""
+    raw = F.hex(text.cast("binary"))
+    byte = lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    none = F.array().cast("array<long>")
+    octets = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), byte)).otherwise(none)
+    return F.when(text.isNotNull(), F.aggregate(octets, F.lit(2166136261), lambda h, b: F.pmod(h.bitwiseXOR(b) * 16777619, F.lit(1 << 32))))

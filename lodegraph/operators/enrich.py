@@ -35,11 +35,11 @@ def judged(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def write_back(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
-    """nodes with the accepted findings appended to annotations, in order; missing targets are skipped.
+    """nodes with the accepted findings appended to annotations, in order (null annotations are none); missing targets are skipped.
     accepted: target, ord and an annotation struct a."""
     new = accepted.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "a"))), lambda x: x["a"]).alias("new"))
     both = nodes.join(new, F.col("fqname") == F.col("target"), "left")
-    return both.withColumn("annotations", F.when(F.col("new").isNull(), F.col("annotations")).otherwise(F.concat("annotations", "new"))).drop("target", "new")
+    return both.withColumn("annotations", F.when(F.col("new").isNull(), F.col("annotations")).otherwise(F.concat(F.coalesce("annotations", F.array().cast(nodes.schema["annotations"].dataType)), "new"))).drop("target", "new")
 
 
 def summary_waves(nodes: DataFrame, waves: int, summarize: Callable[[Column, Column], Column]) -> DataFrame:

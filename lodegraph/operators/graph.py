@@ -1,10 +1,12 @@
-"""Symbol graph: names, edges with confidence, metrics, traversal, slices, communities."""
+"""Symbol graph: names, edges with confidence, metrics, traversal, slices, components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import last_segment
@@ -19,13 +21,16 @@ def first_symbols(symbols: DataFrame, *order: str) -> DataFrame:
     return symbols.withColumn("_n", F.row_number().over(Window.partitionBy("fqname").orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def with_ids(nodes: DataFrame, *order: str) -> DataFrame:
-    """nodes with id: 1, 2, ... in the given order, by counts of sorted ranges, so no task orders all rows."""
+def with_ids(nodes: DataFrame, *order: str | Column) -> DataFrame:
+    """nodes with id: 1, 2, ... in the given order, by counts of sorted ranges, so no task orders all rows. The ranges are
+    dealt once and kept, as both the counts and the numbers rest on them."""
     ranged = nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = checkpointed(ranged)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # one row a range, of which there are as many as shuffle partitions
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.withColumn("_in", within).join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_in")).drop("_part", "_at", "_in", "_before")
+    numbered = ranged.join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return numbered.drop("_part", "_at", "_first", "_before")
 
 
 def name_index(symbols: DataFrame, *order: str) -> DataFrame:
@@ -68,8 +73,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+MIN_NODES, MAX_NODES = 10, 1500
+
+
 def top_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 400) -> DataFrame:
-    """The nodes of the highest degree, isolated ones last, ties by id."""
+    """The nodes of the highest degree, isolated ones last, ties by id; limit is held to MIN_NODES..MAX_NODES."""
+    limit = min(max(limit, MIN_NODES), MAX_NODES)
     return nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.col("degree").desc(), "id").limit(limit)
 
 
@@ -81,11 +90,12 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """id and hops of all nodes within k edges of the seeds, either way."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))
     front = seen
     for i in range(1, k + 1):
         front = front.join(both, front.id == both.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(i))
+        front = checkpointed(front)
         seen = seen.unionByName(front)
     return seen
 
@@ -97,9 +107,9 @@ def weighted(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id and component (its least id): least labels over edges, with a jump to the label's label each round."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
     before = None
     for _ in range(rounds):
@@ -107,11 +117,11 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         least = labels.join(near, labels.id == near.src, "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("to"))
         labels = checkpointed(least.join(jump, "component").select("id", F.col("to").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
+        now = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]  # ids of any size, in any order
         if now == before:
-            break
+            return labels
         before = now
-    return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def modularity(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,64 +134,36 @@ def modularity(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return each.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("total") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def _moved(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int) -> np.ndarray:
-    """Local moves by modularity gain until none is left; labels by node."""
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    own = np.zeros(n)
-    for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-        own[i] += x
-        own[j] += x
-        if i != j:
-            near[i][j] = near[i].get(j, 0) + x
-            near[j][i] = near[j].get(i, 0) + x
-    label, total, m2 = np.arange(n), own.copy(), max(own.sum(), 1e-12)
-    order, moved = np.random.default_rng(seed).permutation(n).tolist(), True
-    while moved:
-        moved = False
-        for i in order:
-            to: dict[int, float] = {}
-            for j, x in near[i].items():
-                to[label[j]] = to.get(label[j], 0) + x
-            here = label[i]
-            total[here] -= own[i]
-            gain = lambda c: to.get(c, 0) - own[i] * total[c] / m2  # noqa: B023, E731
-            best = max(sorted(to), key=gain, default=here)
-            if best != here and gain(best) > gain(here) + 1e-12:
-                label[i], moved = best, True
-            total[label[i]] += own[i]
-    return np.unique(label, return_inverse=True)[1]
-
-
-def communities(pairs: DataFrame, seed: int = 1337) -> DataFrame:
-    """id and label by levels of local moves and merging, inside each connected component.
-
-    pairs: a, b, w and component, whose groups are worked on apart; a component is one repository's graph or less, and
-    those are of bounded size. label is the community's least id. Fewer than two pairs give no communities.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, ends = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-        a, b = ends.reshape(-1, 2).T
-        w, label = pdf["w"].to_numpy(float), np.arange(len(ids))
-        while True:
-            new = _moved(int(label.max()) + 1, label[a], label[b], w, seed)
-            if len(np.unique(new)) == len(new):
-                break
-            label = new[label]
-        least = np.full(label.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ids)
-        return pd.DataFrame({"id": ids, "label": least[label]})
-
-    return pairs.groupBy("component").applyInPandas(run, "id long, label long")
-
-
 def community_rows(labels: DataFrame) -> DataFrame:
     """key c0, c1, ... largest first (ties: least member), node_ids and size."""
     rows = labels.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("node_ids"), F.count(F.lit(1)).alias("size"))
-    at = F.row_number().over(Window.orderBy(F.col("size").desc(), "label")) - 1
-    return rows.withColumn("key", F.concat(F.lit("c"), at)).select("key", "node_ids", "size")
-
-
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest others of each id, ties by id; pairs: id, other, distance."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+    return with_ids(rows, F.col("size").desc(), F.col("label")).select(F.concat(F.lit("c"), F.col("id") - 1).alias("key"), "node_ids", "size")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """id, other, distance, rank: the k nearest vectors of each query by cosine distance (6 decimals), ties by other.
+
+    vectors and queries: id, embedding. Queries are dealt into blocks of some block rows; each batch of vectors meets
+    each block as one matrix product and keeps the block's k best, which are then merged by query: exact, and what is
+    held at once is one batch and one block."""
+    n = queries.count()
+    dealt = queries.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, n // block))))
+    blocks = dealt.groupBy("block").agg(F.collect_list("id").alias("q_ids"), F.collect_list("embedding").alias("q_vectors"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, rows in pdf.groupby("block", sort=False):
+                q, v = np.stack(rows["q_vectors"].iloc[0]).astype(float), np.stack(rows["embedding"].to_list()).astype(float)
+                ids, other = np.asarray(rows["q_ids"].iloc[0], np.int64), rows["id"].to_numpy(np.int64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = np.round(1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]), 6)
+                d[~np.isfinite(d) | (ids[:, None] == other[None])] = np.inf
+                at = np.lexsort((np.broadcast_to(other, d.shape), d))[:, :k]
+                kept = np.take_along_axis(d, at, 1)
+                ok = np.isfinite(kept)
+                yield pd.DataFrame({"id": np.broadcast_to(ids[:, None], at.shape)[ok], "other": other[at][ok], "distance": kept[ok]})
+
+    # each row of vectors meets each block of queries, not each query
+    met = vectors.where("embedding is not null").select("id", "embedding").crossJoin(blocks)
+    found = met.mapInPandas(best, "id long, other long, distance double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)

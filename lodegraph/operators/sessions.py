@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIRS = 5
+PAIRS, LATEST = 5, 50
 
 
 def rollup(questions: DataFrame, session: str, order: str, text: str) -> DataFrame:
@@ -39,3 +39,13 @@ def visible(rows: DataFrame, owner: str, user: str | None) -> DataFrame:
 
 def status_rank(status: Column, first: str, second: str) -> Column:
     return F.when(status == first, 0).when(status == second, 1).otherwise(2)
+
+
+def latest(rows: DataFrame, at: str, *ties: str, limit: int = LATEST) -> DataFrame:
+    """The rows with the greatest at, ties by the given columns."""
+    return rows.orderBy(F.col(at).desc(), *ties).limit(limit)
+
+
+def belonging(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """Rows whose key one of the owners has."""
+    return rows.join(owners.select(key), key, "left_semi")

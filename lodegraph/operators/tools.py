@@ -56,3 +56,10 @@ def central(nodes: DataFrame, kinds: list[str], limit: int = 40) -> DataFrame:
     """The nodes of these kinds with the largest fan_in + fan_out (columns of their metrics, null as 0)."""
     fan = F.coalesce("metrics.fan_in", F.lit(0)) + F.coalesce("metrics.fan_out", F.lit(0))
     return nodes.where(F.col("kind").isin(kinds)).withColumn("fan", fan).orderBy(F.col("fan").desc(), "fqname").limit(limit)
+
+
+def skeleton(files: DataFrame, symbols: DataFrame, docs: DataFrame, n_files: int = 80, n_symbols: int = 40, n_docs: int = 20) -> DataFrame:
+    """part, name, n: the first files and documents by name and the symbols of the greatest n. All have name and n."""
+    part = lambda df, what: df.select(F.lit(what).alias("part"), "name", "n")
+    top = symbols.orderBy(F.col("n").desc(), "name").limit(n_symbols)
+    return part(files.orderBy("name").limit(n_files), "file").unionByName(part(top, "symbol")).unionByName(part(docs.orderBy("name").limit(n_docs), "doc"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import last_segment, parent_name
-from lodegraph.functions.vectors import cosine_distance
-from lodegraph.operators import enrich, graph
+from lodegraph.operators import communities, enrich, graph
 from lodegraph.operators.tools import central, edges_by_kind
 from lodegraph.plans.registry import query
+from lodegraph.session import checkpointed
 from lodegraph.sources.tables import dimension_nodes, order_edges, table
 
 NODES = """rg AS (SELECT r_regionkey, lower(r_name) AS r FROM region), na AS (SELECT n_nationkey, r, r || '.' || lower(replace(n_name, ' ', '_')) AS n FROM nation JOIN rg ON n_regionkey = r_regionkey),
@@ -110,19 +110,15 @@ def central_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return central(measured, ["class", "function", "method"]).select("fqname", "kind", "fan")
 
 
-#: Embeddings link to the nearest of their label and of the same block of eight ids.
+#: Embeddings whose id is divisible by 100 are queries, against all others.
 PAIRS = """pr AS (SELECT a.vec_id AS id, b.vec_id AS other, round(1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS distance
- FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 64 = b.vec_id // 64 AND a.vec_id <> b.vec_id),
+ FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 kn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM pr QUALIFY rank <= 2)"""
 
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within a label and block of 64 ids, so that a bucket has at most 64 rows."""
-    e = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 64))
-    a = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("ea"), "label", "block")
-    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("eb"), "label", "block")
-    pairs = a.join(b, ["label", "block"]).where("id <> other").select("id", "other", F.round(cosine_distance(F.col("ea"), F.col("eb")), 6).alias("distance"))
-    return graph.nearest(pairs, 2)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return graph.nearest(e, e.where("id % 100 = 0"), 2)
 
 
 @query(f"WITH {PAIRS} SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM kn")
@@ -143,10 +139,8 @@ def communities_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = _knn_edges(spark, sf_dir)
-    pairs = graph.weighted(e)
-    found = graph.components(e)
-    return pairs, graph.communities(pairs.join(found, pairs.a == found.id).select("a", "b", "w", "component"))
+    pairs = checkpointed(graph.weighted(_knn_edges(spark, sf_dir)))
+    return pairs, checkpointed(communities.communities(pairs))
 
 
 @query()

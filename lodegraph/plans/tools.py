@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.functions.text import fnv1a, iso, latency_ms
 from lodegraph.operators import evals, sessions, tools
+from lodegraph.operators.graph import with_ids
 from lodegraph.plans.registry import query
+from lodegraph.sources.files import capped
 from lodegraph.sources.tables import doc_chunks, doc_lines, table
 
 
@@ -27,9 +30,9 @@ def latest_child_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.latest_child(c, table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey")
 
 
-@query("SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS INTEGER) AS status_rank FROM orders ORDER BY 2, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS INTEGER) AS status_rank FROM orders")
 def status_rank_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", sessions.status_rank(F.col("o_orderstatus"), "F", "O").alias("status_rank")).orderBy("status_rank", "o_orderkey").limit(50)
+    return table(spark, sf_dir, "orders").select("o_orderkey", sessions.status_rank(F.col("o_orderstatus"), "F", "O").alias("status_rank")).orderBy("status_rank", "o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING'")
@@ -104,8 +107,64 @@ def eval_macro_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.macro(evals.score(_cases(spark, sf_dir)))
 
 
-@query("SELECT source || '/' || doc_id AS path, count(*) AS n, max(strlen(text)) AS bytes FROM documents GROUP BY ALL HAVING max(strlen(text)) > 100000")
+@query("SELECT source AS workspace, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, count(*) <= 5000 AND sum(strlen(text)) <= 100000 AS fits FROM documents GROUP BY source")
 def workspace_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files over a size cap."""
-    d = table(spark, sf_dir, "documents").groupBy(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes"))
-    return d.where("bytes > 100000")
+    """Each source as a workspace, against the cap of files and one of bytes that some of them pass."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("workspace"), F.octet_length("text").alias("length"))
+    return capped(d, ["workspace"], max_bytes=100_000)
+
+
+@query("SELECT conv_id, turn, text, strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 100 + turn), '%Y-%m-%dT%H:%M:%SZ') AS asked_at FROM conversations WHERE role = 'user' ORDER BY conv_id * 100 + turn DESC, conv_id, turn LIMIT 50")
+def latest_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("conv_id") * 100 + F.col("turn"))
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("at", at)
+    return sessions.latest(q, "at", "conv_id", "turn").select("conv_id", "turn", "text", iso(F.col("at")).alias("asked_at"))
+
+
+@query("WITH s AS (SELECT conv_id, max(turn) AS last_at, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT * FROM s ORDER BY last_at DESC, conv_id LIMIT 50")
+def latest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sessions.rollup(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn", "text")
+    return sessions.latest(r, "last_at", "conv_id").select("conv_id", "last_at", "n")
+
+
+@query("SELECT c_custkey, m AS latest, row_number() OVER (ORDER BY m DESC NULLS LAST, c_custkey DESC) AS at FROM (SELECT c_custkey, max(o_orderdate) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def repos_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by their latest order, those without one last, then the newest customer."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    last = sessions.latest_child(c, table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "o_orderdate", "o_orderdate", "o_orderkey")
+    return with_ids(last, F.col("latest").desc_nulls_last(), F.col("c_custkey").desc()).select("c_custkey", "latest", F.col("id").alias("at"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def run_belongs_to_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return sessions.belonging(table(spark, sf_dir, "events"), own, "user_id").select("event_id", "user_id")
+
+
+@query("""WITH RECURSIVE b AS (SELECT doc_id, encode(source || '/' || doc_id) AS s FROM documents), f(doc_id, s, i, h) AS (SELECT doc_id, s, 0, CAST(2166136261 AS BIGINT) FROM b
+ UNION ALL SELECT doc_id, s, i + 1, (xor(h, CAST(('0x' || substr(hex(s), 2 * i + 1, 2)) AS BIGINT)) * CAST(16777619 AS HUGEINT)) % 4294967296 FROM f WHERE i < octet_length(s))
+SELECT doc_id, CAST(h AS BIGINT) AS placed FROM f WHERE i = octet_length(s)""")
+def fnv1a_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path's 32-bit FNV-1a."""
+    return table(spark, sf_dir, "documents").select("doc_id", fnv1a(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("placed"))
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderdate, min(l_shipdate) AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY ALL) SELECT o_orderkey, coalesce(strftime(s, '%Y-%m-%dT%H:%M:%SZ'), '') AS shipped_at, CAST(coalesce(epoch_ms(s) - epoch_ms(o_orderdate), 0) AS BIGINT) AS latency_ms FROM o")
+def latency_and_iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When an order's first large item was shipped, empty and 0 if none was, and how long that took."""
+    first = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("s"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(first, "o_orderkey", "left")
+    return o.select("o_orderkey", iso(F.col("s")).alias("shipped_at"), F.coalesce(latency_ms(F.col("o_orderdate"), F.col("s")), F.lit(0)).alias("latency_ms"))
+
+
+@query("""WITH t AS (SELECT source || '/' || doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS loc, lang FROM documents), f AS (SELECT 'file' AS part, path AS name, loc AS n FROM t ORDER BY path LIMIT 80),
+dg AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT 'symbol', p_name, coalesce(n, 0) FROM part LEFT JOIN dg ON l_partkey = p_partkey ORDER BY 3 DESC, 2 LIMIT 40), d AS (SELECT 'doc', path, loc FROM t WHERE lang = 'de' ORDER BY path LIMIT 20)
+SELECT * FROM f UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""")
+def repo_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a planner sees: files with their lines, central symbols, documents."""
+    files = doc_lines(spark, sf_dir).groupBy("path", "doc_id").agg(F.max("line").cast("long").alias("n"))
+    kinds = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "de", "doc").otherwise("file").alias("kind"))
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    symbols = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")).join(n, "p_partkey", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    docs = files.join(kinds.where("kind = 'doc'"), "doc_id")
+    return tools.skeleton(files.select(F.col("path").alias("name"), "n"), symbols, docs.select(F.col("path").alias("name"), "n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,13 @@ def build(app: str = "lodegraph", master: str | None = None, **conf: str) -> Spa
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the session's checkpoint folder; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodegraph-"))
-    return df.checkpoint()
+    """df as a table in the folder that spark.checkpoint.dir names, where its lineage ends: it is worked out once, and any
+    executor can read it again. A folder of this session's own only where none is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = getattr(checkpointed, "own", None) or tempfile.mkdtemp(prefix="lodegraph-")
+        checkpointed.own = folder
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from lodegraph.sources.extract_js import extract_js
 from lodegraph.sources.extract_markdown import extract_markdown
 from lodegraph.sources.extract_python import extract_python
 
-# Folders and endings that are never indexed, and what is.
+# Folders and endings that are never indexed, caps, hosts, and what a remote says of a private repository.
 SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".next", ".turbo", "coverage", "vendor"]
 SKIPPED_ENDINGS = [".min.js", ".min.mjs", ".bundle.js"]
 MAX_FILES, MAX_BYTES = 5000, 500_000_000
@@ -60,10 +60,15 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select(relative.alias("path"), "content", F.col("length").alias("size")).where(wanted(F.col("path")))
 
 
+def capped(files: DataFrame, keys: list[str], max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """keys, n_files, n_bytes, fits: whether each workspace keeps to the caps. files: keys and length."""
+    sizes = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sizes.withColumn("fits", (F.col("n_files") <= max_files) & (F.col("n_bytes") <= max_bytes))
+
+
 def measure(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """n_files, n_bytes, fits: of all files but those of .git."""
-    files = _files(spark, root).where(~F.col("path").contains("/.git/"))
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).withColumn("fits", (F.col("n_files") <= max_files) & (F.col("n_bytes") <= max_bytes))
+    return capped(_files(spark, root).where(~F.col("path").contains("/.git/")), [], max_files, max_bytes)
 
 
 def extract(files: DataFrame) -> DataFrame:

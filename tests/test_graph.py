@@ -1,8 +1,13 @@
 """Graph resolution, metrics, traversal and communities (FIXTURES.md A4, A8, A9)."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import graph
+from lodegraph.operators.communities import communities
 from lodegraph.sources.files import extract
 
 FILES = {
@@ -60,7 +65,7 @@ def test_communities_of_two_pairs(spark):
     edges = spark.createDataFrame([(1, 2, "calls", 1.0), (2, 1, "imports", 1.0), (3, 4, "calls", 1.0), (4, 3, "imports", 1.0), (1, 3, "contains", 1.0)], "src long, dst long, kind string, confidence double")
     pairs = graph.weighted(edges)
     assert {(r.a, r.b, r.w) for r in pairs.collect()} == {(1, 2, 1.6), (3, 4, 1.6)}
-    labels = graph.communities(pairs.withColumn("component", F.lit(0)))
+    labels = communities(pairs)
     rows = {r.key: r.node_ids for r in graph.community_rows(labels).collect()}
     assert rows == {"c0": [1, 2], "c1": [3, 4]}
     assert abs(graph.modularity(pairs, labels).first()[0] - 0.5) < 1e-9
@@ -68,8 +73,8 @@ def test_communities_of_two_pairs(spark):
 
 def test_communities_split_a_barbell(spark):
     ring = [(i, j) for base in (0, 10) for i in range(base, base + 5) for j in range(i + 1, base + 5)] + [(4, 10)]
-    pairs = spark.createDataFrame([(a, b, 1.0, 0) for a, b in ring], "a long, b long, w double, component long")
-    labels = graph.communities(pairs)
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in ring], "a long, b long, w double")
+    labels = communities(pairs)
     assert {tuple(r.node_ids) for r in graph.community_rows(labels).collect()} == {tuple(range(5)), tuple(range(10, 15))}
     whole = labels.withColumn("label", F.lit(0))
     assert graph.modularity(pairs, labels).first()[0] > graph.modularity(pairs, whole).first()[0]
@@ -79,7 +84,57 @@ def test_slice_and_hops(spark):
     edges = spark.createDataFrame([(1, 2, "calls", 1.0), (2, 3, "calls", 1.0), (3, 4, "calls", 1.0)], "src long, dst long, kind string, confidence double")
     nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
     top = graph.top_nodes(nodes, edges, 3)
-    assert [r.id for r in top.collect()] == [2, 3, 1]
+    assert [r.id for r in top.collect()] == [2, 3, 1, 4, 5]
+    top = top.limit(3)
     assert {(r.src, r.dst) for r in graph.induced(edges, top).collect()} == {(1, 2), (2, 3)}
     assert {(r.id, r.hops) for r in graph.hops(edges, nodes.where("id = 1"), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
     assert {(r.id, r.component) for r in graph.components(edges).collect()} == {(i, 1) for i in range(1, 5)}
+
+
+def test_components_of_large_ids_and_long_chains(spark):
+    top = 9_223_372_036_854_775_807
+    edges = spark.createDataFrame([(top - i, top - i - 1) for i in range(60)] + [(1, 2)], "src long, dst long")
+    got = {r.id: r.component for r in graph.components(edges).collect()}
+    assert got == {**{top - i: top - 60 for i in range(61)}, 1: 1, 2: 1}
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=2)
+
+
+def test_communities_are_connected_and_as_good_in_rounds_of_joins(spark):
+    rng = random.Random(1)
+    pairs = {}
+    for _ in range(240):
+        a = rng.randrange(40)
+        b = a // 10 * 10 + rng.randrange(10) if rng.random() < 0.9 else rng.randrange(40)
+        if a != b:
+            pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0) + 1.0
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a long, b long, w double")
+    scores = []
+    for local_pairs in (10_000, 0):
+        labels = communities(df, local_pairs=local_pairs)
+        label = {r.id: r.label for r in labels.collect()}
+        scores.append(graph.modularity(df, labels).first()[0])
+        for c in set(label.values()):
+            members = {i for i in label if label[i] == c}
+            reached, front = set(), {c}
+            while front:
+                reached |= front
+                front = {y for x in front for p in pairs if x in p for y in p if y in members} - reached
+            assert reached == members
+    assert min(scores) > 0.5 and scores[1] > 0.85 * scores[0]
+
+
+def test_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8)).round(1)
+    v[7] = v[9]
+    v[11] = 0
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(500, None)]
+    e = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in graph.nearest(e, e.where("id % 7 = 0"), 3, block=10).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    f = v.astype(np.float32).astype(float)
+    for i in range(0, 300, 7):
+        d = [(round(float(1 - f[i] @ f[j] / (np.linalg.norm(f[i]) * np.linalg.norm(f[j]))), 6), j) for j in range(300) if j != i and f[j].any()]
+        assert got[i] == [j for _, j in sorted(d)[:3]]
