@@ -27,11 +27,11 @@ m AS (
 o AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
 p AS (SELECT doc_id, source, k, least, vs[i] AS v, length(ms[i]) AS n, CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s FROM o),
 c AS (SELECT doc_id, source, k, v, s, s + n AS e FROM p WHERE length(v) >= least AND (k < 3 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
-f AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM c GROUP BY v),
+f AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT doc_id) AS repos FROM c GROUP BY v),
 r AS (SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex,
  string_agg(['assign', 'access', 'hex', 'token'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
- string_agg(['assign', 'access', 'hex', 'token'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3 OR owners = 1) AS spans,
- count_if(owners = 1) AS n_live, count_if(owners >= 3) AS n_example FROM c JOIN f USING (v) GROUP BY doc_id)
+ string_agg(['assign', 'access', 'hex', 'token'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3 OR (owners = 1 AND repos < 10)) AS spans,
+ count_if(owners = 1 AND repos < 10) AS n_live, count_if(owners >= 3 OR repos >= 10) AS n_example FROM c JOIN f USING (v) GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
 sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
 FROM t LEFT JOIN r USING (doc_id)

@@ -2,15 +2,17 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns, kept if long enough. The scan then adds "token"
 candidates (long runs that mix capitals, small letters and digits). Every candidate value is hashed, and hashes are
-aggregated over the corpus by distinct repositories and owners: a value found with one owner alone is owner-specific
-and looks live, one with many owners is a widely copied example. Token candidates become spans only if owner-specific;
-base spans always stay.
+aggregated over the corpus by distinct repositories and owners: a value found with one owner alone, and not in as many
+as MANY_REPOSITORIES of its repositories, is owner-specific and looks live; one with MANY_OWNERS owners or in
+MANY_REPOSITORIES repositories is a widely copied example. Token candidates become spans only if owner-specific; base
+spans always stay.
 
 Places: splitting a text at a pattern gives the pieces between its matches, so lengths of pieces and matches, summed,
 are offsets in code points.
 
 Defined cases: a null text is empty; a null owner or repository counts as one of its own; rows repeated with the same id
-and text count once in the statistics and get the same result; other columns are ignored, whatever their names.
+and text count once in the statistics and get the same result; texts of any length are scanned in time that grows in
+proportion; ties of place go by kind; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,25 +27,39 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # the same as AKIA[A-Z0-9]+ of 18 or more: either
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
-MANY_OWNERS = 3
+MANY_OWNERS, MANY_REPOSITORIES, BLOCK = 3, 10, 64
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, in blocks, so that the work grows in proportion to its size and not to its square."""
+    add = lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + x))
+    none = F.array().cast("array<int>")
+    sums = lambda xs: F.aggregate(xs, none, lambda a, x: F.when(F.size(a) > 0, add(a, x)).otherwise(F.array(x)))
+    within = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(BLOCK)), lambda i: sums(F.slice(xs, i + 1, F.lit(BLOCK))))
+
+    def shifted(blocks: Column) -> Column:
+        before = F.transform(F.array(sums(F.transform(blocks, lambda b: F.element_at(b, -1)))), lambda t: F.concat(F.array(F.lit(0)), F.slice(t, 1, F.size(t) - 1)))[0]
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b, lambda x: x + at)))
+
+    return F.transform(F.array(within(lengths)), shifted)[0]
 
 
 def _matches(text: Column, pattern: str, value_group: int, least: int) -> Column:
     """array<struct<s, e, v>> of the matches whose value is long enough."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    steps = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"), values.alias("v"))
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+    def spans(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["pieces"], 1, F.size(x["m"])), x["m"], lambda p, m: F.length(p) + F.length(m))
+        ends = F.transform(F.array(lengths), _running)[0]
+        sized = F.zip_with(x["m"], x["v"], lambda m, v: F.struct(F.length(m).alias("n"), v.alias("v")))
+        return F.zip_with(sized, ends, lambda y, e: F.struct((e - y["n"]).alias("s"), e.alias("e"), y["v"].alias("v")))
 
-    spans = F.aggregate(steps, begin, step, lambda a: F.filter(a["out"], lambda x: F.length(x["v"]) >= least))
-    return F.when(F.size(found) > 0, spans).otherwise(none)
+    # bound to a variable, so that the text is matched and split once
+    once = F.array(F.struct(found.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("pieces")))
+    all_spans = F.transform(once, lambda x: F.when(F.size(x["m"]) > 0, spans(x)).otherwise(none))[0]
+    return F.filter(all_spans, lambda x: F.length(x["v"]) >= least)
 
 
 def scan(documents: DataFrame, doc_id: str, text: str, repository: str, owner: str) -> DataFrame:
@@ -65,7 +81,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kind, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", many: int = MANY_OWNERS) -> DataFrame:
+def secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", many: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:
     """Per row: doc_id, cands (the base candidates), base_spans and spans (kind:start:end lists), and counts of values
     that are owner-specific (n_live) or copied by many owners (n_example)."""
     seen = written(scan(documents, doc_id, text, repository, owner), "secrets-scan")
@@ -76,7 +92,8 @@ def secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     owners = each.select("h", mark("owner").alias("o")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"))
     freq = written(owners.join(repos, "h"), "secrets-owners")
     judged = each.dropDuplicates(["key", "s", "k"]).join(freq, "h")
-    live, example = F.col("n_owners") == 1, F.col("n_owners") >= many
+    copied = F.col("n_repositories") >= many_repositories
+    live, example = (F.col("n_owners") == 1) & ~copied, (F.col("n_owners") >= many) | copied
     per_doc = judged.groupBy("key").agg(
         F.array_sort(F.collect_list(F.when((F.col("k") < 3) | live, F.struct("s", "k", "e")))).alias("kept"),
         F.count_if(live).alias("n_live"), F.count_if(example).alias("n_example"), F.max("n_repositories").alias("most_repositories"),

@@ -49,6 +49,29 @@ def test_secret_owners(spark):
     assert secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_repositories(spark):
+    token = "Ab3" + "xyzXYZ789" * 3
+    rows = [(i, f"see {token} here") for i in range(12)] + [(100, "see " + token.replace("x", "q") + " here")]
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secrets(docs(spark, rows)).collect()}
+    assert all(got[i] == ("", 0, 1) for i in range(12)) and got[100] == (f"token:4:{4 + len(token)}", 1, 0)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 129, 5000])
+def test_secrets_in_long_texts(spark, n):
+    text = "é " + " ".join(f"{i:016x}" for i in range(n))
+    got = secrets(docs(spark, [(1, text)])).first()
+    assert got.base_spans == ",".join(f"hex:{2 + 17 * i}:{18 + 17 * i}" for i in range(n))
+
+
+def test_secrets_take_time_in_proportion(spark):
+    import time
+
+    text = "\n".join(f"token = {i:032x}" for i in range(100_000))
+    began = time.time()
+    got = secrets(docs(spark, [(1, text)])).select(F.size("cands").alias("n")).first()
+    assert got.n == 200_000 and time.time() - began < 60
+
+
 def test_licenses(spark):
     mit = dict(KNOWN[:1])["MIT"]
     altered = "Copyright (c) 2020 Someone\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ,")
