@@ -2,23 +2,25 @@
 
 A shard file is a header, the ids of its documents end to end (little-endian, 2 or 4 bytes each), the keys in file
 order, the levels of the hash, and per hash slot a fingerprint, an offset, a length and how many rows have that key.
-Documents are dealt by ranges of doc_id and sorted, so the files, in order of their names, hold ascending ids; a file
-is written under an attempt's own name and then renamed, so a task may run again. Each task closes a shard at
-SHARD_BYTES, so no file or read grows with the table.
+Texts are encoded where they are read, and their ids, not they, are shuffled: dealt by ranges of doc_id, then of the ids
+themselves and of a row number, so that rows of one id spread too. The files, in order of their names, hold ascending
+doc_ids; a file is written under an attempt's own name and then renamed, so a task may run again. Each task closes a
+shard at SHARD_BYTES, so no file or read grows with the table; a key may have rows in several shards.
 
 Texts are encoded piece by piece where that is exact: a lone space or line feed between two characters that are not
 white space always ends a pre-token of a byte-level vocabulary, so pieces between them have ids of their own, which are
-kept for later texts. Any text with other white space, or with an added token's string, is encoded whole.
+kept for later texts, up to CACHE_BYTES a worker; pieces over PIECE_CHARS are not kept. Any text with other white space,
+or with an added token's string, is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and has a key of its own; rows with
-the same doc_id stand side by side, by text, and a lookup gives them all; other columns are ignored.
+the same doc_id stand side by side, in order of their ids, and lookups give them all; rows repeated are written each;
+very long texts and lines without spaces are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -28,16 +30,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm import perfect_hash
-from lodegraph.llm.common import shared_dir
+from lodegraph.llm.common import filesystem, shared_dir, written
 
 MAGIC, HEADER = b"LGIDS001", struct.Struct("<8sIIQQI")
-SHARD_BYTES, CACHED, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 1_000_000, 1 << 20, 0, 0x5EED0F0A11
+SHARD_BYTES, CACHE_BYTES, PIECE_CHARS, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 256 << 20, 100, 1 << 20, 0, 0x5EED0F0A11
+PIECE_COST = 190  # bytes that a piece takes in a table besides its own and its ids
 
 
 class Encoder:
@@ -58,6 +60,7 @@ class Encoder:
             self.sizes[i] = len(piece)  # one letter stands for one byte
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,8 +68,6 @@ class Encoder:
     def _learn(self, known: dict[str, bytes], pieces: set[str], mark: str, own: bool) -> None:
         """Encodes the new pieces in runs, a mark before each; the bytes that each id stands for tell the piece it is of.
         own: the mark is part of the piece, else it is an id by itself."""
-        if len(known) > CACHED:
-            known.clear()
         new = [p for p in pieces if p not in known]
         for at in range(0, len(new), 2000):
             run = new[at : at + 2000]
@@ -75,6 +76,17 @@ class Encoder:
             begins = np.concatenate(([0], cuts[:-1])) + (not own)
             data, w = ids.tobytes(), self.width
             known.update(zip(run, [data[i:j] for i, j in zip((begins * w).tolist(), (cuts * w).tolist(), strict=True)], strict=True))
+            self.held += len(data) + sum(map(len, run)) + PIECE_COST * len(run)
+
+    def _forget(self, long: set[str]) -> None:
+        """Drops long pieces, and all once the tables are full."""
+        if self.held > CACHE_BYTES:
+            self.first.clear()
+            self.later.clear()
+            self.held = 0
+        for p in long:
+            self.first.pop(p, None)
+            self.later.pop(p, None)
 
     def _pieces(self, text: str | None) -> list[list[str]] | None:
         """Words by line, or None if the text has to be encoded whole."""
@@ -96,10 +108,12 @@ class Encoder:
         rest = iter(self._ids(whole) if whole else [])
         feed = self._ids(["\n"])[0]
         head, tail = self.first.__getitem__, self.later.__getitem__
-        return [
+        out = [
             (next(rest) if t else b"") if parts is None else feed.join([head(ws[0]) + b"".join(map(tail, ws[1:])) for ws in parts])
             for t, parts in zip(texts, lines, strict=True)
         ]
+        self._forget({p for p in chain(first, later) if len(p) > PIECE_CHARS})
+        return out
 
 
 @lru_cache(2)
@@ -178,60 +192,69 @@ class Shard:
         return [self.row(i) for i in range(first, first + int(self.table["rows"][slot]))]
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if re.match(r"\w+:", uri) else (fs.LocalFileSystem(), uri)
+def encoded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (bytes, the end id last) of each row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of(tokenizer)
+        end = np.array([END_ID], f"<u{encoder.width}").tobytes()
+        for pdf in batches:
+            texts, at = pdf["text"].tolist(), 0
+            while at < len(texts):
+                to, chars = at, 0
+                while to < len(texts) and (to == at or chars < BATCH_CHARS):
+                    chars, to = chars + len(texts[to] or ""), to + 1
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:to].astype("Int64"), "ids": [part + end for part in encoder.encode(texts[at:to])]})
+                at = to
+
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return docs.mapInPandas(run, "doc_id long, ids binary")
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards under path (a URI all executors reach) and returns shard, n_docs, n_tokens of each."""
+    """Writes the shards under path (a URI all executors reach) and returns part, shard, n_docs, n_tokens of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
-        encoder, made = encoder_of(tokenizer), []
-        end = np.array([END_ID], f"<u{encoder.width}").tobytes()
-        ids, parts, size = [], [], 0
-        disk, folder = _open(path)
+        context, width = TaskContext.get(), encoder_of(tokenizer).width
+        made, ids, parts, size = [], [], [], 0
+        disk, folder = filesystem(path)
         disk.create_dir(folder, recursive=True)
 
         def close() -> None:
             name = f"shard-{context.partitionId():06d}-{len(made):06d}.ids"
             own = f"{folder}/_attempt-{context.taskAttemptId()}-{name}"
             with disk.open_output_stream(own) as out:
-                out.write(pack(ids, parts, encoder.width))
+                out.write(pack(ids, parts, width))
             disk.move(own, f"{folder}/{name}")
-            made.append((name, len(ids), sum(map(len, parts)) // encoder.width))
+            made.append((context.partitionId(), name, len(ids), sum(map(len, parts)) // width))
 
         for pdf in batches:
-            keys = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            texts = pdf["text"].tolist()
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < BATCH_CHARS):
-                    chars, to = chars + len(texts[to] or ""), to + 1
-                for key, part in zip(keys[at:to], encoder.encode(texts[at:to]), strict=True):
-                    if size >= shard_bytes and key != ids[-1]:
-                        close()
-                        ids, parts, size = [], [], 0
-                    ids.append(key)
-                    parts.append(part + end)
-                    size += len(parts[-1])
-                at = to
+            for key, part in zip(pdf["doc_id"], pdf["ids"], strict=True):
+                if size >= shard_bytes:
+                    close()
+                    ids, parts, size = [], [], 0
+                ids.append(None if pd.isna(key) else int(key))
+                parts.append(bytes(part))
+                size += len(part)
         if ids:
             close()
-        yield pd.DataFrame(made, columns=["shard", "n_docs", "n_tokens"])
+        yield pd.DataFrame(made, columns=["part", "shard", "n_docs", "n_tokens"])
 
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, "shard string, n_docs long, n_tokens long")
+    rows = written(encoded(documents, tokenizer, doc_id, text).withColumn("at", F.monotonically_increasing_id()), "token-ids")
+    ordered = rows.repartitionByRange("doc_id", "ids", "at").sortWithinPartitions("doc_id", "ids", "at")
+    return ordered.select("doc_id", "ids").mapInPandas(run, "part int, shard string, n_docs long, n_tokens long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """shard, ordinal, doc_id, n_tokens, ids_crc32, found: each row of the files, and whether the index leads to it."""
+    """shard, ordinal, doc_id, n_tokens, ids_crc32, found: each row of the files, and whether the index leads to it.
+    Tasks open the files themselves, one at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                shard = Shard(content)
+            for name in pdf["path"]:
+                disk, file = filesystem(name)
+                with disk.open_input_file(file) as f:
+                    shard = Shard(f.read())
                 ids = [None if null else int(x) for x, null in zip(shard.docs["id"], shard.docs["null"], strict=True)]
                 first = shard.find(ids)
                 same = lambda i: first[i] >= 0 and ids[first[i]] == ids[i]  # noqa: E731, B023
@@ -240,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     "ids_crc32": [zlib.crc32(shard.row(i).astype("<u4").tobytes()) for i in range(len(ids))], "found": [bool(same(i)) for i in range(len(ids))],
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.ids").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.ids").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path")
     return files.mapInPandas(run, "shard string, ordinal long, doc_id long, n_tokens long, ids_crc32 long, found boolean")
 
 
@@ -248,16 +271,13 @@ def token_store(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     """Writes and reads back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, found."""
     spark = documents.sparkSession
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    made = write(documents, path, tokenizer, doc_id, text).toPandas().sort_values("shard")  # one row a shard, not a document
-    if made.empty:
+    made = written(write(documents, path, tokenizer, doc_id, text), "token-shards")
+    totals = made.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a task of the writing stage
+    if not totals:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean")
-    before = spark.createDataFrame(pd.DataFrame({"shard": made["shard"], "before": made["n_tokens"].cumsum() - made["n_tokens"]}), "shard string, before long")
-    rows = read(spark, path)
-    within = F.sum("n_tokens").over(_in_shard())
-    return rows.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + within - F.col("n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32", "found")
-
-
-def _in_shard():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    ends = np.cumsum([r.n for r in totals]).tolist()
+    parts = spark.createDataFrame([(r.part, end - r.n) for r, end in zip(totals, ends, strict=True)], "part int, part_start long")
+    ahead = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = made.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))).join(parts, "part").select("shard", (F.col("part_start") + F.col("ahead")).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))
+    return read(spark, path).join(before, "shard").withColumn("start", F.col("before") + within - F.col("n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32", "found")

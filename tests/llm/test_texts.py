@@ -259,14 +259,37 @@ def test_token_store(spark):
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, "no id"), (100, "hello world"), (-3, "minus")]
     got = token_store.token_store(docs(spark, rows), path).collect()
     want, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+    coded = [(i, [*plain.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
+    for i, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
         at += len(ids)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.found) for r in got), key=lambda r: r[1]) == want
     assert token_store.token_store(docs(spark, []), path).count() == 0
 
 
+def test_token_store_spreads_rows_of_one_id(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"text {i % 700}") for i in range(3000)] + [(5, "word " * i) for i in range(30)]
+    made = token_store.write(docs(spark, rows).repartition(6), f"file://{tmp_path}/store", path, shard_bytes=2000).collect()
+    assert sum(r.n_docs for r in made) == len(rows) and len(made) > 4 and max(r.n_docs for r in made) < 1500
+    back = token_store.read(spark, f"file://{tmp_path}/store").collect()
+    assert len(back) == len(rows) and all(r.found for r in back) and sum(r.n_tokens for r in back) == sum(r.n_tokens for r in made)
+
+
+def test_encoder_holds_bounded_tables(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), token_store.Encoder(path)
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 100_000)
+    line = "".join(f"{i:x}" for i in range(20_000))
+    for texts in ([f"w{i} x{i}" for i in range(k, k + 200)] for k in range(0, 2000, 200)):
+        assert [np.frombuffer(o, "<u2").tolist() for o in encoder.encode([*texts, line])] == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, line]]
+        assert encoder.held < 200_000 + 4 * len(line) and max(map(len, [*encoder.first, *encoder.later]), default=0) <= token_store.PIECE_CHARS
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
