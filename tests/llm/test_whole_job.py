@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from lodegraph.llm import packing, telephony, toxicity
 from lodegraph.llm.line_dedup import line_dedup
@@ -142,3 +143,56 @@ def test_telephony_gives_its_files(spark):
         form, rate, pcm = telephony.unwav(bytes(r.pcm))
         assert (form, rate) == (telephony.PCM, telephony.RESAMPLED)
         assert f"pcm16k={np.abs(np.frombuffer(pcm, '<i2').astype(int)).sum() // (len(pcm) // 2)};" in r.feature
+
+
+def slow_best_fit(lengths, capacities):
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    rooms, where, used = [], {}, []
+    for k, i in enumerate(order):
+        n = lengths[i]
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for size in capacities:
+                if size >= n:
+                    room = size - n
+                    for m in (lengths[j] for j in order[k + 1 :]):  # longest first
+                        if m <= room:
+                            room -= m
+                    costs.append((room / size, size))
+            b = len(rooms)
+            rooms.append(min(costs)[1])
+            used.append(0)
+        where[i] = (b, used[b])
+        rooms[b] -= n
+        used[b] += n
+    return [where[i][0] for i in range(len(lengths))], [where[i][1] for i in range(len(lengths))], [min(c for c in capacities if c >= u) for u in used]
+
+
+def test_best_fit_by_brute_force():
+    rng = np.random.default_rng(8)
+    for n, top in ((1, 64), (60, 64), (200, 30), (300, 64), (80, 9)):
+        lengths = rng.integers(1, top + 1, n).tolist()
+        assert packing.best_fit(lengths, (16, 32, 64)) == slow_best_fit(lengths, (16, 32, 64))
+
+
+def test_bins_hold_the_token_ids(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "naïve", "42"], int(rng.integers(0, 60))))) for i in range(50)] + [(50, None), (51, "word " * 200), (3, "twice"), (None, "none")]
+    d = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, bin_id int")
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows]
+    out = packing.bins(d, path, capacities=(32, 64)).collect()
+    assert sorted(x for r in out for x in r.ids) == sorted(x for ids in want for x in ids)
+    assert all(r.n_tokens == len(r.ids) <= r.bin_length and (r.bin_length == 32 or r.n_tokens > 32) for r in out)
+    short = {tuple(ids) for ids in want if len(ids) <= 64}
+    held = "|".join(",".join(map(str, r.ids)) for r in out)
+    assert all(",".join(map(str, ids)) in held for ids in short)
+    counted = packing.pack(d, tokenizer=path, capacities=(32, 64)).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in counted} == {i: sum(len(w) for (j, _), w in zip(rows, want) if j == i) for i, _ in rows}
