@@ -5,12 +5,16 @@ is a segment from which on every chain of l segments differs in at most floor(l
 budget is 0 (CHAIN segments long) must be equal, which makes an equi-join; longer chains are tested in the join, and
 only pairs that pass all of them reach the full Hamming check.
 
+The more fingerprints there are, the more segments are cut (segments_for): chains of budget 0 are then longer, up to
+31 of 64 bits, so that few fingerprints meet by chance.
+
 A chain value shared by more than BUCKET fingerprints (a large group of near copies) is not paired out: each of its
 fingerprints is dealt to itself and its 64 one-bit neighbours instead. Two fingerprints link at two bits or fewer
 exactly if they meet at such a neighbour, and at most 65 distinct fingerprints can meet there. Both ways are exact.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; equal fingerprints are one
-node, so copies are never paired; a null doc_id never names a component unless all ids in it are null.
+node, so copies are never paired; a null doc_id never names a component unless all ids in it are null; very long texts
+are read to their end; ties go to the smaller id, then row key; rows repeated get the same result and count as copies.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 from lodegraph.llm.common import row_key, written
 from lodegraph.llm.components import components
 
-BITS, DISTANCE, SEGMENTS, BUCKET, SHINGLE, SEED = 64, 2, 5, 32, 3, 42
+BITS, DISTANCE, SEGMENTS, BUCKET, SHINGLE, SEED = 64, 2, 5, 64, 3, 42
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -64,8 +68,18 @@ def _chain_mask(first: int, length: int, n: int) -> int:
     return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, n: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def segments_for(prints: int, distance: int = DISTANCE) -> int:
+    """The least odd number of segments, from SEGMENTS on, at which a chain's value is shared by four of so many
+    fingerprints at most, if they are spread evenly; 31 at most."""
+    n = SEGMENTS
+    while n < 31 and prints > 4 << BITS * ((n - 1) // distance) // n:
+        n += 2
+    return n
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, n: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """a, b: fingerprints whose links reach the same components as all pairs within distance; prints: distinct fp."""
+    n = n or segments_for(prints.count(), distance)
     length = max(l for l in range(1, n + 1) if l * distance // n == 0)
     chains = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_chain_mask(i, length, n))) for i in range(n)])).alias("chain", "part"))
     sizes = written(chains.groupBy("chain", "part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-chains")

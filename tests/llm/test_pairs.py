@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.components import components
 from lodegraph.llm.decontaminate import decontaminate, without_contaminated
 from lodegraph.llm.line_dedup import line_dedup
-from lodegraph.llm.simhash import SEGMENTS, _chain_mask, fingerprint, links, near_duplicates, without_near_duplicates
+from lodegraph.llm.simhash import SEGMENTS, _chain_mask, fingerprint, links, near_duplicates, segments_for, without_near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, fp long, drop string"
 
@@ -63,15 +63,20 @@ def test_chains_reach_every_near_pair():
     assert length == max(n for n in range(1, SEGMENTS + 1) if n * 2 // SEGMENTS == 0)
 
 
-@pytest.mark.parametrize("bucket", [0, 3, 1000])
-def test_links_by_brute_force(spark, bucket):
+def test_more_segments_for_more_fingerprints():
+    assert [segments_for(10**k) for k in (0, 6, 8, 9, 10, 12)] == [5, 5, 5, 9, 31, 31]
+    assert all(64 * ((n - 1) // 2) // n >= 25 for n in range(5, 33, 2))
+
+
+@pytest.mark.parametrize(("bucket", "n"), [(0, 5), (3, 5), (1000, 5), (1000, 7), (5, 19)])
+def test_links_by_brute_force(spark, bucket, n):
     rng = random.Random(3)
     prints = {0, (1 << 63) | 5}
     for centre in [rng.getrandbits(64) for _ in range(4)]:
         prints |= {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))) for _ in range(25)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     near = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) % (1 << 64)).count("1") <= 2]
-    got = links(spark.createDataFrame([(p,) for p in signed], "fp long"), bucket=bucket).collect()
+    got = links(spark.createDataFrame([(p,) for p in signed], "fp long"), n=n, bucket=bucket).collect()
     assert all(bin((r.a ^ r.b) % (1 << 64)).count("1") <= 2 for r in got)
     assert union_find(signed, [(r.a, r.b) for r in got]) == union_find(signed, near)
 
