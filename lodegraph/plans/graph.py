@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import last_segment, parent_name
-from lodegraph.operators import communities, enrich, graph
+from lodegraph.operators import communities, enrich, graph, views
+from lodegraph.operators.build import build_graph
 from lodegraph.operators.tools import central, edges_by_kind
 from lodegraph.plans.registry import query
+from lodegraph.plans.text import sample_files
 from lodegraph.session import checkpointed
+from lodegraph.sources.files import extract
 from lodegraph.sources.tables import dimension_nodes, order_edges, table
 
 NODES = """rg AS (SELECT r_regionkey, lower(r_name) AS r FROM region), na AS (SELECT n_nationkey, r, r || '.' || lower(replace(n_name, ' ', '_')) AS n FROM nation JOIN rg ON n_regionkey = r_regionkey),
@@ -232,3 +235,40 @@ def parent_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(n.withColumnRenamed("parent", "p"), F.col("parent").eqNullSafe(F.col("p"))).select("fqname", "parent", "siblings")
 
 
+
+
+@query(f"""WITH {TOP}, vs AS (SELECT c_custkey AS id, c_name AS fqname, 'class' AS kind, 'n' || c_nationkey AS key FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name, 'function', 'n' || s_nationkey FROM supplier)
+SELECT id, fqname, kind, degree, key AS community, CAST(id % 3 AS INTEGER) AS n_annotations FROM tp JOIN vs USING (id)""")
+def graph_slice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top of the trade graph, nations as communities, with counts of verified annotations."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("fqname"), F.lit("class").alias("kind"), F.col("c_nationkey").alias("n")).unionByName(s.select((F.col("s_suppkey") + 1_000_000_000).alias("id"), F.col("s_name").alias("fqname"), F.lit("function").alias("kind"), F.col("s_nationkey").alias("n")))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _annotation(F.lit("role"), F.lit("x"), i < F.col("id") % 3))
+    found = nodes.groupBy(F.concat(F.lit("n"), F.col("n").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("size"), F.collect_list("id").alias("node_ids"))
+    return views.graph_slice(nodes.withColumn("annotations", marks), order_edges(spark, sf_dir), found)[0]
+
+
+@query("SELECT c_custkey AS id, c_name AS fqname, 'class' AS kind FROM customer WHERE c_name = 'Customer#000000042'")
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.get_node(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("fqname"), F.lit("class").alias("kind")), "Customer#000000042")
+
+
+@query("""WITH m AS (SELECT r_regionkey, r_name, list(n_name ORDER BY n_nationkey) AS ns, list(n_nationkey ORDER BY n_nationkey) AS ks FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT r_regionkey, r_name || chr(10) || chr(10) || 'Subsystems:' || chr(10) || array_to_string(list_transform(ns[1:8], lambda x: '- ' || x || ': nation'), chr(10)) || chr(10) || chr(10) || 'Flows:' || chr(10) || array_to_string(list_transform(ks[1:5], lambda x: '- to ' || x), chr(10)) AS block FROM m""")
+def enrichment_block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    each = n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    model = each.select("r_regionkey", F.col("r_name").alias("summary"), F.transform("ns", lambda x: F.struct(x["n_name"].alias("name"), F.lit("nation").alias("purpose"))).alias("subsystems"), F.transform("ns", lambda x: F.concat(F.lit("to "), x["n_nationkey"].cast("string"))).alias("flows"))
+    return views.enrichment_block(model).select("r_regionkey", "block")
+
+
+@query("""SELECT * FROM (VALUES ('app.base', 'file', 4, 0, 0), ('app.base.Base', 'class', 3, 0, 0), ('app.base.Base.describe', 'method', 2, 0, 0), ('app.service', 'file', 11, 0, 0), ('app.service.Service', 'class', 3, 0, 0), ('app.service.Service.run', 'method', 2, 0, 1), ('app.service.compute', 'function', 2, 1, 0)) v(fqname, kind, loc, fan_in, fan_out)""")
+def build_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build over two Python files: nodes with their metrics."""
+    python = sample_files(spark).where("path like '%.py'")
+    return build_graph(extract(python)).nodes.select("fqname", "kind", "metrics.loc", "metrics.fan_in", "metrics.fan_out")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS n_files, CAST(7 AS BIGINT) AS n_nodes, CAST(8 AS BIGINT) AS n_edges, CAST(7 AS BIGINT) AS n_chunks")
+def build_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_graph(extract(sample_files(spark).where("path like '%.py'"))).stats

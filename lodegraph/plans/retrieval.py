@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import words
+from lodegraph.functions.text import STEMS, query_terms, words
 from lodegraph.operators import questions as Q
 from lodegraph.operators import retrieval as R
 from lodegraph.operators.enrich import context_block
 from lodegraph.operators.verify import verify
+from lodegraph.operators.views import search_graph
 from lodegraph.plans.registry import query
 from lodegraph.sources.tables import doc_chunks, doc_lines, table
 
@@ -183,3 +184,52 @@ def context_block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = R.hydrate(top, nodes, chunks, "doc_id").join(chunks.where("start_line = 1").select("doc_id", "end_line"), "doc_id")
     rank = F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")) - 1  # ten rows
     return context_block(items.select(rank.alias("rank"), F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("fqname"), F.lit("doc").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), "end_line", "snippet", F.lit(None).cast("string").alias("summary")))
+
+
+def _sql_stem(word: str) -> str:
+    for pattern, to in STEMS:
+        word = f"regexp_replace({word}, '{pattern}', '{to.replace('$', chr(92))}')"
+    return word
+
+
+QUESTION = "Which works are licensed under the public versions?"
+_TERMS = ", ".join(f"'{t}'" for t in query_terms(QUESTION))
+STEMMED = f"""w AS (SELECT doc_id, {WORDS} AS ws FROM documents), tw AS (SELECT doc_id, unnest(ws) AS w FROM w), sx AS (SELECT doc_id, {_sql_stem("w")} AS term FROM tw)"""
+
+
+@query(f"WITH {STEMMED} SELECT doc_id FROM sx WHERE term IN ('licens', 'version') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
+def keyword_stemmed_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with every word of the question, stop words left out, by stem."""
+    return R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", query_terms("What is licensing by versions?"), all_terms=True, stemmed=True).select("doc_id")
+
+
+RETRIEVED = f"""
+ch0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), ch AS (SELECT doc_id, doc_id * 1000000 + b + 1 AS chunk_id, array_to_string(ls[b + 1 : b + 5], chr(10)) AS text FROM (SELECT doc_id, ls, unnest(range(0, len(ls), 5)) AS b FROM ch0)),
+cw AS (SELECT doc_id, chunk_id, {WORDS} AS ws FROM ch), cz AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM cw),
+cs AS (SELECT doc_id, chunk_id, nw, {_sql_stem("w")} AS term FROM (SELECT doc_id, chunk_id, len(ws) AS nw, unnest(ws) AS w FROM cw)), ctf AS (SELECT doc_id, chunk_id, nw, term, count(*) AS tf FROM cs WHERE term IN ({_TERMS}) GROUP BY ALL),
+cdf AS (SELECT term, count(*) AS df FROM ctf GROUP BY term), cbm AS (SELECT doc_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * nw / mean))), 6) AS score FROM ctf JOIN cdf USING (term), cz GROUP BY ALL),
+ctop AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank0 FROM cbm ORDER BY score DESC, chunk_id LIMIT 20), own AS (SELECT doc_id, min(rank0) AS best FROM ctop GROUP BY doc_id), kw AS (SELECT doc_id, row_number() OVER (ORDER BY best, doc_id) - 1 AS rank0 FROM own),
+{DENSE.strip()}, dnn AS (SELECT doc_id, distance FROM dn JOIN documents ON vec_id = doc_id ORDER BY distance, doc_id LIMIT 20), dnr AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) - 1 AS rank0 FROM dnn),
+u AS (SELECT doc_id, 0 AS at_, 'bm25' AS signal, 1 / (60 + rank0 + 1) AS part FROM kw UNION ALL SELECT doc_id, 1, 'dense', 1 / (60 + rank0 + 1) FROM dnr), fu AS (SELECT doc_id, round(sum(part), 9) AS score, array_to_string(list(signal ORDER BY at_), ',') AS signals FROM u GROUP BY doc_id),
+{EDGES}, seeds AS (SELECT doc_id FROM fu ORDER BY score DESC, doc_id LIMIT 45), nb AS (SELECT dst AS doc_id FROM e WHERE src IN (SELECT doc_id FROM seeds) AND dst IS NOT NULL UNION SELECT src FROM e WHERE dst IN (SELECT doc_id FROM seeds)),
+al AS (SELECT * FROM fu UNION ALL SELECT doc_id, round(1.0::DOUBLE / 240, 9), 'graph' FROM nb WHERE doc_id NOT IN (SELECT doc_id FROM fu)), tp AS (SELECT * FROM al ORDER BY score DESC, doc_id LIMIT 45),
+rt AS (SELECT tp.doc_id, source, score, signals, text AS snippet FROM tp JOIN documents d ON d.doc_id = tp.doc_id LEFT JOIN (SELECT doc_id AS id, text FROM ch WHERE chunk_id % 1000000 = 1) c ON c.id = tp.doc_id)"""
+RETRIEVED = RETRIEVED.replace("SELECT tp.doc_id, source, score, signals, text AS snippet", "SELECT tp.doc_id, source, score, signals, c.text AS snippet")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    nodes = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    chunks = doc_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("start_line"))
+    found = R.retrieve(query_terms(QUESTION), _query_vector(spark, sf_dir), nodes, chunks, _reading_edges(spark, sf_dir), "doc_id", "embedding", top_k=45)
+    return found.select("doc_id", "source", "score", F.array_join("signals", ",").alias("signals"), "snippet")
+
+
+@query(f"WITH {RETRIEVED} SELECT * FROM rt")
+def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir)
+
+
+@query(f"WITH {RETRIEVED} SELECT doc_id, source, score, signals, substr(coalesce(snippet, ''), 1, 600) AS snippet FROM rt ORDER BY score DESC, doc_id LIMIT 12")
+def search_graph_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_graph(_retrieved(spark, sf_dir))
