@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,23 @@ def scoreboard(scored: DataFrame) -> str:
     pct = lambda x: f"{100 * x:.0f}%"
     rows = scored.orderBy("id").select("id", "precision", "recall", "coverage").collect()
     return "\n".join(["| case | precision | recall | coverage |", "|---|---|---|---|", *[f"| {r.id} | {pct(r.precision)} | {pct(r.recall)} | {pct(r.coverage)} |" for r in rows]])
+
+
+def run_eval(cases: DataFrame, answer: Callable[[str], dict]) -> DataFrame:
+    """cases with what answer gave for their question, scored; a case that raises is a row with its error, scored as no
+    answer. cases: id, question, expected, optional, keywords. answer gives {"text", "citations": [(path, verified)]}."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for case, question in zip(pdf["id"], pdf["question"], strict=True):
+                try:
+                    got = answer(question)
+                    rows.append((case, got["text"], [{"path": p, "verified": v} for p, v in got["citations"]], None))
+                except Exception as error:  # one case does not end the run
+                    rows.append((case, "", [], f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["id", "answer", "citations", "error"])
+
+    kind = cases.schema["id"].dataType.simpleString()
+    answered = cases.select("id", "question").mapInPandas(run, f"id {kind}, answer string, citations array<struct<path:string,verified:boolean>>, error string")
+    return score(cases.join(answered, "id"))

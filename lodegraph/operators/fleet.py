@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.enrich import write_back
+from lodegraph.session import checkpointed
 
 MAX_SUBSYSTEMS, MAX_STEPS, MAX_CALLS, RESULT_CHARS, SOURCE_CHARS = 8, 8, 10, 1500, 3500
+EMBED_BATCH, EMBED_CHARS, MAX_SECONDS = 100, 4000, 900
 FINDINGS = "subsystem string, target string, kind string, text string, evidence array<string>"
 Step = Callable[[dict, list[str]], dict]
 
@@ -84,24 +87,111 @@ def structured(replies: DataFrame, reply: str, schema: str) -> DataFrame:
     return rows.withColumn("is_valid", valid).withColumn("parsed", F.when(F.col("is_valid"), F.col("_parsed").dropFields("_bad"))).drop("_parsed")
 
 
-def supervise(communities: DataFrame, nodes: DataFrame, chunks: DataFrame, step: Step, judge: Callable[[str, str], bool], run_id: str, token_budget: int | None = None, spent: Callable[[], int] = lambda: 0) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The phases in order, a budget check between them: nodes with annotations, verdicts, and the phases that ran.
-    Rejected findings of known targets are judged once more."""
-    phases = ["planning"]
-    over = lambda: token_budget is not None and spent() >= token_budget
-    materials = tool_results(plan(communities), nodes, chunks)
-    spark = nodes.sparkSession
-    verdicts = spark.createDataFrame([], "target string, subsystem string, kind string, text string, evidence array<string>, verdict string, reason string")
+def dispatch(tools: dict[str, Callable[[str], object]], action: str, argument: str) -> dict:
+    """One tool call; a tool that is unknown or raises gives an error row."""
+    if action not in tools:
+        return {"tool": action, "ok": False, "result": f"error: unknown tool {action}"}
+    try:
+        return {"tool": action, "ok": True, "result": str(tools[action](argument))[:RESULT_CHARS]}
+    except Exception as error:
+        return {"tool": action, "ok": False, "result": f"error: {error}"}
+
+
+def reports(subsystems: DataFrame, findings: DataFrame) -> DataFrame:
+    """subsystem and report: what the synthesizer reads, each subsystem's findings as lines; none says so."""
+    line = F.format_string("- [%s] %s: %s", "kind", "target", "text")
+    each = findings.groupBy("subsystem").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    rows = subsystems.select("subsystem").join(each, "subsystem", "left")
+    return rows.select("subsystem", F.concat(F.lit("## "), "subsystem", F.lit("\n"), F.coalesce("lines", F.lit("(no findings)"))).alias("report"))
+
+
+def synthesise(reports: DataFrame, complete: Callable[[str], dict]) -> DataFrame:
+    """One row: summary, subsystems, flows of the model made of all reports, of which there are MAX_SUBSYSTEMS at most."""
+    text = "\n\n".join(r.report for r in reports.orderBy("subsystem").limit(MAX_SUBSYSTEMS).collect())
+    model = complete(text)
+    row = (model.get("summary", ""), [(s["name"], s.get("purpose")) for s in model.get("subsystems", [])], list(model.get("flows", [])))
+    return reports.sparkSession.createDataFrame([row], "summary string, subsystems array<struct<name:string,purpose:string>>, flows array<string>")
+
+
+def embed(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], name: str = "embedding", batch: int = EMBED_BATCH, chars: int = EMBED_CHARS) -> DataFrame:
+    """rows with a vector of their text, whose first chars count, asked for in batches; a null text has none."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        known = [(i, t[:chars]) for i, t in enumerate(texts) if t is not None]
+        out: list[list[float] | None] = [None] * len(texts)
+        for at in range(0, len(known), batch):
+            part = known[at : at + batch]
+            for (i, _), v in zip(part, model([t for _, t in part]), strict=True):
+                out[i] = v
+        return pd.Series(out)
+
+    return rows.withColumn(name, vectors(F.col(text)))
+
+
+def summarise_communities(communities: DataFrame, nodes: DataFrame, complete: Callable[[str], str], limit: int = 20, members: int = 25) -> DataFrame:
+    """key and summary of the largest communities, from their first members' names; the first failure ends it."""
+    top = communities.orderBy(F.col("size").desc(), "key").limit(limit)
+    named = top.select("key", "size", F.explode(F.slice("node_ids", 1, members)).alias("id")).join(nodes.select("id", "fqname"), "id")
+    prompts = named.groupBy("key", "size").agg(F.array_join(F.array_sort(F.collect_list("fqname")), "\n").alias("prompt")).orderBy(F.col("size").desc(), "key").collect()  # limit rows
+    done = []
+    for r in prompts:
+        try:
+            done.append((r.key, complete(r.prompt)))
+        except Exception:
+            break
+    return nodes.sparkSession.createDataFrame(done, "key string, summary string")
+
+
+def escalate(question: str, retrieved: DataFrame, nodes: DataFrame, chunks: DataFrame, step: Step, judge: Callable[[str, str], bool], run_id: str, seeds: int = 6) -> tuple[DataFrame, int]:
+    """nodes with what one explorer found around the best seeds and a critic let pass, and how many findings were
+    written; any failure leaves nodes as they were. retrieved: id, score."""
+    try:
+        top = retrieved.orderBy(F.col("score").desc(), "id").limit(seeds)
+        subsystem = top.agg(F.collect_list("id").alias("node_ids")).select(F.lit(question).alias("subsystem"), "node_ids")
+        materials = tool_results(subsystem, nodes, chunks)
+        verdicts = checkpointed(criticise(explore(materials, step), nodes, materials.groupBy("fqname").agg(F.min("source").alias("source")), judge))
+        return persist(nodes, verdicts, run_id), verdicts.where("verdict = 'accepted'").count()
+    except Exception:  # an escalation never fails its question
+        return nodes, 0
+
+
+def supervise(communities: DataFrame, nodes: DataFrame, chunks: DataFrame, step: Step, judge: Callable[[str, str], bool], run_id: str, token_budget: int | None = None, spent: Callable[[], int] = lambda: 0, complete: Callable[[str], dict] | None = None, seconds: float = MAX_SECONDS, emit: Callable[[str, str], None] = lambda agent, phase: None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The phases in order, checks of budget and time between them: nodes with annotations, verdicts, and the phases that
+    ran, each of which emit hears of. Rejected findings of known targets are judged once more. With complete, a model
+    of the whole is made of the reports and written to the repository's node."""
+    began, phases = time.monotonic(), []
+
+    def enter(phase: str) -> None:
+        phases.append(phase)
+        emit("supervisor", phase)
+
+    over = lambda: (token_budget is not None and spent() >= token_budget) or time.monotonic() - began > seconds
+    enter("planning")
+    subsystems = checkpointed(plan(communities))
+    materials = checkpointed(tool_results(subsystems, nodes, chunks))
+    verdicts = nodes.sparkSession.createDataFrame([], "target string, subsystem string, kind string, text string, evidence array<string>, verdict string, reason string")
     if over():
         return nodes, verdicts, phases
-    phases.append("exploring")
-    findings = explore(materials, step)
+    enter("exploring")
+    findings = checkpointed(explore(materials, step))
     if over():
         return nodes, verdicts, phases
-    phases.append("critique")
+    model = None
+    if complete:
+        enter("synthesis")
+        model = synthesise(reports(subsystems, findings), complete)
+        if over():
+            return nodes, verdicts, phases
+    enter("critique")
     sources = materials.groupBy("fqname").agg(F.min("source").alias("source"))
-    first = criticise(findings, nodes, sources, judge)
+    first = checkpointed(criticise(findings, nodes, sources, judge))
     again = criticise(first.where("verdict = 'rejected' and reason = 'judged'").select("subsystem", "target", "kind", "text", "evidence"), nodes, sources, judge)
-    verdicts = first.where("not (verdict = 'rejected' and reason = 'judged')").unionByName(again)
-    phases.append("writing")
-    return persist(nodes, verdicts, run_id), verdicts, phases
+    verdicts = checkpointed(first.where("not (verdict = 'rejected' and reason = 'judged')").unionByName(again))
+    enter("writing")
+    out = persist(nodes, verdicts, run_id)
+    if model is not None:
+        a = F.struct(F.col("summary").alias("text"), F.lit("repo_model").alias("kind"), F.array().cast("array<string>").alias("evidence"), F.lit("synthesizer").alias("source"), F.lit(True).alias("verified"), F.lit(run_id).alias("run_id"), F.lit(None).cast("timestamp").alias("created_at"))
+        repo = nodes.where("kind = 'repo'").select(F.col("fqname").alias("target"))
+        out = write_back(out, repo.crossJoin(F.broadcast(model.select(a.alias("a")))).select("target", F.lit(0).alias("ord"), "a"))  # one model, one node
+    return out, verdicts, phases

@@ -20,11 +20,12 @@ def verify(citations: DataFrame, chunks: DataFrame, key: str = "cid", tolerance:
     near = (F.col("start_line") <= F.col("e") + tolerance) & (F.col("end_line") >= F.col("s") - tolerance)
     over = (F.col("start_line") <= F.col("e")) & (F.col("end_line") >= F.col("s"))
     has_quote = collapsed(F.col("quote")) != ""
-    both = c.join(chunks.select("path", "start_line", "end_line", "text"), "path", "left")
-    found = both.groupBy(key, "path", "s", "e", "quote").agg(
-        F.count("start_line").alias("n_path"), F.count_if(over).alias("n_overlap"),
-        F.array_sort(F.collect_list(F.when(near & has_quote, F.struct("start_line", "end_line", "text")))).alias("near"),
-    )
+    parts = chunks.select("path", "start_line", "end_line", "text")
+    in_path = parts.join(c.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n_path"))
+    # only chunks near the cited lines meet a citation, whatever else the path has
+    close = c.join(parts, "path").where(near).groupBy(key).agg(F.count_if(over).alias("n_overlap"), F.array_sort(F.collect_list(F.when(has_quote, F.struct("start_line", "end_line", "text")))).alias("near"))
+    zero = F.lit(0).cast("long")
+    found = c.join(in_path, "path", "left").join(close, key, "left").withColumns({"n_path": F.coalesce("n_path", zero), "n_overlap": F.coalesce("n_overlap", zero), "near": F.coalesce("near", F.array().cast("array<struct<start_line:int,end_line:int,text:string>>"))})
     hay = collapsed(F.array_join(F.transform("near", lambda x: x["text"]), "\n"))
     inside = ~has_quote | hay.contains(collapsed(F.col("quote")))
     reason = (

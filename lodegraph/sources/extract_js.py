@@ -112,7 +112,7 @@ def extract_js(path: str, content: bytes) -> dict:
             for m in pattern.finditer(code, brace, last):
                 at = m.start(2)
                 depth = code.count("{", brace, at) - code.count("}", brace, at)
-                if depth != 1 or m[2] in NOT_CALLED - {"constructor"} or any(x[0] <= at < x[1] for x in inner):
+                if depth != 1 or m[2] in NOT_CALLED - {"constructor", "of"} or any(x[0] <= at < x[1] for x in inner):
                     continue
                 if kind == "call":
                     args = _close(code, m.end(1) - 1, "()")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,19 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lodegraph.operators.events import PHASES
+
+SEEN_MS = 24 * 3_600_000
 STATE = "seq long, total double, last_type string"
+RUN_STATE = "run_id string, phase string, finished boolean, error string, findings long, accepted long, rejected long, touched array<string>, verified array<string>, last_seq long"
 OUT = "run_id long, seq long, event_id long, type string, total double"
 
 
 class RunFold(StatefulProcessor):
     """Gives each event of a run its sequence number and the run's running total, in order of (ts, event_id) inside a
-    batch; the state of a run is one row. An event whose id was seen in the same batch is dropped."""
+    batch; the state of a run is one row, and the ids of events of the last SEEN_MS before its newest, so that an event
+    that comes again, in the same batch or a later one, is dropped."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", STATE)
+        self.seen = handle.getMapState("seen", "event_id long", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(rows).drop_duplicates("event_id").sort_values(["ts", "event_id"])
+        pdf = pdf[[not self.seen.containsKey((int(x),)) for x in pdf["event_id"]]]
+        if pdf.empty:
+            return
+        at = pdf["ts"].astype("datetime64[ms]").astype("int64")
+        for x, ms in zip(pdf["event_id"], at, strict=True):
+            self.seen.updateValue((int(x),), (int(ms),))
+        for old in [k for k, v in self.seen.iterator() if v[0] < int(at.max()) - SEEN_MS]:
+            self.seen.removeKey(old)
         seq, total, _ = self.state.get() if self.state.exists() else (0, 0.0, "")
         out = pd.DataFrame({"run_id": key[0], "seq": range(seq + 1, seq + 1 + len(pdf)), "event_id": pdf["event_id"].to_numpy(), "type": pdf["type"].to_numpy(), "total": total + pdf["value"].cumsum().to_numpy()})
         self.state.update((int(seq + len(pdf)), float(out["total"].iloc[-1]), str(out["type"].iloc[-1])))
@@ -31,6 +46,50 @@ class RunFold(StatefulProcessor):
         pass
 
 
+class RunState(StatefulProcessor):
+    """The state of each run after each batch, as operators.events.fold gives it for the whole log: events at or before
+    the last sequence number are repeats and change nothing. A run's state is one row, and holds its targets."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "json string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(rows).drop_duplicates("seq").sort_values("seq").astype(object)
+        pdf = pdf.where(pdf.notna(), None)
+        start = {"phase": None, "finished": False, "error": None, "findings": 0, "accepted": 0, "rejected": 0, "touched": [], "verified": [], "last_seq": 0}
+        now = json.loads(self.state.get()[0]) if self.state.exists() else start
+        touched, verified = set(now["touched"]), set(now["verified"])
+        for e in pdf[pdf["seq"] > now["last_seq"]].to_dict("records"):
+            kind, boss = e["type"], e["agent"] == "supervisor"
+            if boss and kind in ("done", "error") and e["terminal"]:
+                now["finished"], now["phase"] = True, kind
+            elif kind == "phase" and e["phase"] in PHASES:
+                now["phase"] = e["phase"]
+            if boss and kind == "error" and now["error"] is None:
+                now["error"] = e["message"]
+            hit = kind == "verdict" and e["verdict"] == "accepted"
+            now["findings"] += kind == "finding"
+            now["accepted"] += hit
+            now["rejected"] += kind == "verdict" and not hit
+            if e["target"] is not None and kind in ("tool_call", "finding"):
+                touched.add(e["target"])
+            if e["target"] is not None and hit:
+                verified.add(e["target"])
+            now["last_seq"] = int(e["seq"])
+        now["touched"], now["verified"] = sorted(touched), sorted(verified)
+        self.state.update((json.dumps(now),))
+        yield pd.DataFrame([{"run_id": key[0], **now}])
+
+    def close(self) -> None:
+        pass
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """A stream of run states; the row with the greatest last_seq is a run's present one. events: run_id (string), seq,
+    agent, type, phase, target, verdict, terminal, message. Needs the RocksDB state provider."""
+    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunState(), outputStructType=RUN_STATE, outputMode="Append", timeMode="None")
+
+
 def run_fold(events: DataFrame) -> DataFrame:
     """events: run_id, event_id, ts, type, value; a stream. Needs the RocksDB state provider."""
     return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
@@ -41,6 +100,7 @@ def tumbling(events: DataFrame, ts: str, late: str = "10 minutes", width: str =
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "type", "n")
 
 
-def live(log: DataFrame, run: str = "run_id") -> DataFrame:
-    """A stream of the event log without repeats: backfill and live rows may overlap."""
-    return log.dropDuplicates([run, "seq"])
+def live(log: DataFrame, ts: str, run: str = "run_id", late: str = "1 hour") -> DataFrame:
+    """A stream of the event log without repeats: backfill and live rows may overlap by up to the watermark, beyond which
+    keys are forgotten, so that state is bounded."""
+    return log.withWatermark(ts, late).dropDuplicatesWithinWatermark([run, "seq"])

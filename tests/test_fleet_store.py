@@ -37,6 +37,46 @@ def test_fleet(spark):
     assert fleet.supervise(*graph(spark), steps(), lambda t, s: True, "r", token_budget=1, spent=lambda: 2)[2] == ["planning"]
 
 
+def test_fleet_with_synthesis_and_limits(spark):
+    communities, nodes, chunks = graph(spark)
+    nodes = nodes.withColumn("kind", F.lit("function")).unionByName(spark.createDataFrame([(9, "repo", None, "repo")], f"id long, fqname string, annotations {ANN}, kind string"))
+    heard, prompts = [], []
+
+    def complete(text):
+        prompts.append(text)
+        return {"summary": "adds numbers", "subsystems": [{"name": "core", "purpose": "sums"}], "flows": ["in to out"]}
+
+    out, _, phases = fleet.supervise(communities, nodes, chunks, steps(), lambda text, source: text.startswith("read"), "run1", complete=complete, emit=lambda agent, phase: heard.append(phase))
+    assert phases == heard == ["planning", "exploring", "synthesis", "critique", "writing"]
+    assert "- [role] core.add: read def add" in prompts[0] and "## c1\n(no findings)" in prompts[0]
+    assert {r.fqname: [(a.kind, a.text) for a in r.annotations or []] for r in out.collect()}["repo"] == [("repo_model", "adds numbers")]
+    assert fleet.supervise(communities, nodes, chunks, steps(), lambda t, s: True, "r", seconds=-1)[2] == ["planning"]
+
+
+def test_tools_embedding_and_summaries(spark):
+    tools = {"echo": lambda x: x * 2000, "bad": lambda x: 1 / 0}
+    assert fleet.dispatch(tools, "echo", "a")["result"] == "a" * 1500 and not fleet.dispatch(tools, "bad", "")["ok"] and "unknown tool" in fleet.dispatch(tools, "x", "")["result"]
+    rows = spark.createDataFrame([(i, "t" * i * 50 if i != 3 else None) for i in range(1, 140)], "id long, text string").coalesce(1)
+
+    def model(texts):
+        assert len(texts) <= 100
+        return [[float(len(t))] for t in texts]
+
+    got = {r.id: r.embedding for r in fleet.embed(rows, "text", model).collect()}
+    assert got[2] == [100.0] and got[3] is None and got[139] == [4000.0]
+    communities, nodes, _ = graph(spark)
+    assert [tuple(r) for r in fleet.summarise_communities(communities, nodes, lambda p: p.replace("\n", "+")).collect()] == [("c0", "core.add+core.mul"), ("c1", "api.handle")]
+    assert fleet.summarise_communities(communities, nodes, lambda p: 1 / 0).count() == 0
+
+
+def test_escalation(spark):
+    _, nodes, chunks = graph(spark)
+    found = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id long, score double")
+    out, n = fleet.escalate("what adds?", found, nodes, chunks, steps(), lambda text, source: text.startswith("read"), "e1")
+    assert n == 1 and {r.fqname: len(r.annotations) for r in out.collect()} == {"core.add": 1, "core.mul": 0, "api.handle": 0}
+    assert fleet.escalate("q", found.drop("score"), nodes, chunks, steps(), lambda t, s: True, "e2")[1] == 0
+
+
 def test_structured_replies(spark):
     rows = spark.createDataFrame([('{"a": 1}',), ("not json",), (None,)], "reply string")
     assert [(r.is_valid, r.parsed.a if r.parsed else None) for r in fleet.structured(rows, "reply", "a int").collect()] == [(True, 1), (False, None), (False, None)]

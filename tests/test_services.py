@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import enrich, evals, events, questions, sessions, tools
 from lodegraph.operators.markdown import sections
-from lodegraph.streaming.fold import run_fold
+from lodegraph.streaming.fold import live, run_fold, run_states, tumbling
 
 
 @pytest.mark.parametrize(
@@ -60,6 +60,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.run_id, r.n, r.total) for r in got.groupBy("run_id").agg(F.max("seq").alias("n"), F.max("total").alias("total")).collect()} == {(k, 20, float(sum(range(k, 60, 3)))) for k in range(3)}
 
 
+def _streamed(spark, rows, tmp_path, plan, mode="append"):
+    """What plan makes of rows, batch by batch."""
+    schema = rows[0].schema
+    for i, part in enumerate(rows):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    plan(stream).writeStream.outputMode(mode).format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_stream_drops_events_that_come_again(spark, tmp_path):
+    at = lambda i: (F.lit(1_700_000_000) + F.col("id") * 7).cast("timestamp").alias("ts")
+    rows = spark.range(30).select((F.col("id") % 2).alias("run_id"), F.col("id").alias("event_id"), at(0), F.lit("t").alias("type"), F.col("id").cast("double").alias("value"))
+    got = _streamed(spark, [rows.where("event_id < 20"), rows.where("event_id >= 10")], tmp_path, run_fold)
+    assert got.count() == 30 and {(r.run_id, r.n) for r in got.groupBy("run_id").agg(F.max("seq").alias("n")).collect()} == {(0, 15), (1, 15)}
+
+
+def test_stream_of_run_states_equals_the_fold(spark, tmp_path):
+    schema = "run_id string, seq long, agent string, type string, label string, phase string, target string, verdict string, terminal boolean, message string"
+    log = [("r", 1, "planner", "phase", None, "planning", None, None, None, None), ("r", 2, "explorer", "tool_call", "a", None, "x", None, None, None), ("r", 3, "explorer", "finding", "a", None, "x", None, None, None),
+           ("r", 4, "critic", "verdict", None, None, "x", "accepted", None, None), ("r", 5, "critic", "verdict", None, None, "y", "rejected", None, None), ("r", 6, "supervisor", "error", None, None, None, None, False, "slow"), ("r", 7, "supervisor", "done", None, None, None, None, True, None), ("q", 1, "planner", "phase", None, "nonsense", None, None, None, None)]
+    whole = spark.createDataFrame(log, schema)
+    got = _streamed(spark, [spark.createDataFrame(log[:4], schema), spark.createDataFrame(log[2:], schema)], tmp_path, run_states)
+    last = {r.run_id: r.asDict() for r in got.orderBy("last_seq").collect()}
+    want = {r.run_id: r.asDict() for r in events.fold(whole).collect()}
+    assert last == want and want["r"]["verified"] == ["x"] and want["r"]["error"] == "slow" and want["q"]["phase"] is None
+
+
+def test_tumbling_and_live_streams(spark, tmp_path):
+    ts = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    rows = spark.range(40).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), ts(F.col("id") * 600).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("type"))
+    (tmp_path / "one").mkdir()
+    once = _streamed(spark, [rows.where("seq < 30"), rows.where("seq >= 29")], tmp_path / "one", lambda s: live(s, "ts"))
+    assert sorted(r.seq for r in once.collect()) == list(range(40))
+    (tmp_path / "two").mkdir()
+    counts = _streamed(spark, [rows.where("seq < 30"), rows.where("seq >= 30")], tmp_path / "two", lambda s: tumbling(s, "ts"))
+    whole = {(r.w.start, r.type): r.n for r in rows.groupBy(F.window("ts", "1 hour").alias("w"), "type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r.window_start, r.type): r.n for r in counts.collect()}
+    assert got.items() <= whole.items() and len(got) >= len(whole) - 4  # the last windows are still open
+
+
+def test_annotations_of_null_take_findings(spark):
+    ann = "array<struct<text:string,kind:string>>"
+    nodes = spark.createDataFrame([("a", None), ("b", [("old", "k")])], f"fqname string, annotations {ann}")
+    new = spark.createDataFrame([("a", 0, ("x", "k")), ("b", 0, ("y", "k")), ("zz", 0, ("z", "k"))], "target string, ord int, a struct<text:string,kind:string>")
+    assert {r.fqname: [a.text for a in r.annotations] for r in enrich.write_back(nodes, new).collect()} == {"a": ["x"], "b": ["old", "y"]}
+
+
+def test_eval_run_keeps_going(spark):
+    cases = spark.createDataFrame([("one", "q1", ["src/f.py"], [], ["adds"]), ("two", "boom", ["src/f.py"], [], [])], "id string, question string, expected array<string>, optional array<string>, keywords array<string>")
+
+    def answer(question):
+        if question == "boom":
+            raise ValueError("no")
+        return {"text": "It adds.", "citations": [("src/f.py", True)]}
+
+    out = evals.run_eval(cases, answer)
+    got = {r.id: (r.precision, r.recall, r.coverage, r.error) for r in out.collect()}
+    assert got == {"one": (1.0, 1.0, 1.0, None), "two": (0.0, 0.0, 1.0, "ValueError: no")}
+    assert evals.macro(out).first().n_errors == 1
+
+
 def test_sessions(spark):
     m = spark.createDataFrame([("s", i, "user" if i % 2 == 0 else "assistant", f"m{i:02d}") for i in range(14)], "sid string, turn long, role string, text string")
     text = sessions.context(m, "sid", "turn", "role", "text").first().context
