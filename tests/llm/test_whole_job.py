@@ -145,6 +145,59 @@ def test_telephony_gives_its_files(spark):
         assert f"pcm16k={np.abs(np.frombuffer(pcm, '<i2').astype(int)).sum() // (len(pcm) // 2)};" in r.feature
 
 
+def slow_features(payload):
+    """The feature string, one sample at a time."""
+
+    def mu(code):
+        code = ~code & 0xFF
+        size = (((code & 15) << 3) + 132 << (code >> 4 & 7)) - 132
+        return -size if code & 128 else size
+
+    def a(code):
+        code ^= 0x55
+        part, low = code >> 4 & 7, (code & 15) << 4
+        size = low + 8 if part == 0 else low + 264 << part - 1
+        return size if code & 128 else -size
+
+    pcm = [mu(c) for c in payload]
+    wide = []
+    for k, x in enumerate(pcm):
+        wide += [x, (x + (pcm[k + 1] if k + 1 < len(pcm) else x)) >> 1]
+    peaks, total, count = [], 0, 0
+    for at in range(0, len(payload), 64):
+        block = payload[at : at + 64]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for byte in block[4:]:
+            for nibble in (byte & 15, byte >> 4):
+                step = telephony.STEPS[index]
+                size = step * (2 * (nibble & 7) + 1) >> 3
+                value = max(-32768, min(32767, value - size if nibble & 8 else value + size))
+                index = max(0, min(88, index + telephony.MOVES[nibble & 7]))
+                out.append(value)
+        peaks.append(max(map(abs, out)))
+        total, count = total + sum(map(abs, out)), count + len(out)
+    n = len(payload)
+    changes = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+    return f"mulaw={sum(map(abs, pcm)) // n};changes={changes};alaw={sum(abs(a(c)) for c in payload) // n};pcm16k={sum(map(abs, wide)) // len(wide)};adpcm_peak={max(peaks)};adpcm={total // count}"
+
+
+def test_telephony_features_by_brute_force():
+    rng = np.random.default_rng(12)
+    payloads = [bytes(64), "plain text, é😀 ".encode() * 64, *[rng.integers(0, 256, 64 * int(k), dtype=np.uint8).tobytes() for k in rng.integers(1, 90, 12)]]
+    payloads = [p + bytes(-len(p) % 64) for p in payloads]
+    assert telephony.features(payloads) == [slow_features(p) for p in payloads] == [telephony.features([p])[0] for p in payloads]
+    pcm = np.array([0, 3, -32768, 32767, 5], np.int16)
+    assert telephony.resample(pcm).tolist() == [0, 1, 3, -16383, -32768, -1, 32767, 16386, 5, 5]
+
+
+def test_telephony_of_repeated_rows_and_clashing_names(spark):
+    rows = [(None, "same", b"m", "p"), (None, "same", b"x", "q"), (1, "same", None, None), (2, None, None, None)]
+    out = telephony.telephony(spark.createDataFrame(rows, "doc_id long, text string, media binary, pcm string")).collect()
+    assert len(out) == 4 and len({r.media_sha256 for r in out if r.doc_id != 2}) == 1
+    assert sorted((r.doc_id is None, r.n_bytes) for r in out) == [(False, 0), (False, 4), (True, 4), (True, 4)]
+
+
 def slow_best_fit(lengths, capacities):
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     rooms, where, used = [], {}, []
