@@ -74,7 +74,7 @@ def test_escalation(spark):
     found = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id long, score double")
     out, n = fleet.escalate("what adds?", found, nodes, chunks, steps(), lambda text, source: text.startswith("read"), "e1")
     assert n == 1 and {r.fqname: len(r.annotations) for r in out.collect()} == {"core.add": 1, "core.mul": 0, "api.handle": 0}
-    assert fleet.escalate("q", found.drop("score"), nodes, chunks, steps(), lambda t, s: True, "e2")[1] == 0
+    assert fleet.escalate("q", spark.createDataFrame([(1,)], "id long"), nodes, chunks, steps(), lambda t, s: True, "e2")[1] == 0
 
 
 def test_structured_replies(spark):
