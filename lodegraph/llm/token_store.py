@@ -2,8 +2,8 @@
 
 A shard file is a header, the ids of its documents end to end (little-endian, 2 or 4 bytes each), the keys in file
 order, the levels of the hash, and per hash slot a fingerprint, an offset, a length and how many rows have that key.
-Texts are encoded where they are read, and their ids, not they, are shuffled: dealt by ranges of doc_id, then of the ids
-themselves and of a row number, so that rows of one id spread too. The files, in order of their names, hold ascending
+Texts are encoded where they are read, and their ids, not they, are shuffled: dealt by ranges of doc_id, whose bounds are
+quantiles; the rows of an id, or of null, that fills several ranges spread over them by a hash of their ids. The files, in order of their names, hold ascending
 doc_ids; a file is written under an attempt's own name and then renamed, so a task may run again. Each task closes a
 shard at SHARD_BYTES, so no file or read grows with the table; a key may have rows in several shards.
 
@@ -13,7 +13,7 @@ kept for later texts, up to CACHE_BYTES a worker; pieces over PIECE_CHARS are no
 or with an added token's string, is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and has a key of its own; rows with
-the same doc_id stand side by side, in order of their ids, and lookups give them all; rows repeated are written each;
+the same doc_id stand side by side, in order of a hash of their ids, and lookups give them all; rows repeated are written each;
 very long texts and lines without spaces are encoded whole; other columns are ignored.
 """
 
@@ -24,12 +24,13 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -192,8 +193,8 @@ class Shard:
         return [self.row(i) for i in range(first, first + int(self.table["rows"][slot]))]
 
 
-def encoded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (bytes, the end id last) of each row."""
+def encoded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", also: Callable[[pd.DataFrame], pd.DataFrame] | None = None, columns: str = "") -> DataFrame:
+    """doc_id and ids (bytes, the end id last) of each row, and what also adds to a batch of them (columns: its schema)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(tokenizer)
@@ -204,45 +205,67 @@ def encoded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 to, chars = at, 0
                 while to < len(texts) and (to == at or chars < BATCH_CHARS):
                     chars, to = chars + len(texts[to] or ""), to + 1
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:to].astype("Int64"), "ids": [part + end for part in encoder.encode(texts[at:to])]})
+                rows = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:to].astype("Int64"), "ids": [part + end for part in encoder.encode(texts[at:to])]})
+                yield also(rows) if also else rows
                 at = to
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, ids binary")
+    return docs.mapInPandas(run, "doc_id long, ids binary" + columns)
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards under path (a URI all executors reach) and returns part, shard, n_docs, n_tokens of each."""
 
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.array([xxhash.xxh64_intdigest(x) for x in pdf["ids"]], np.uint64)
+        return pdf.assign(part=_parts(pdf["doc_id"], h, bounds, null_parts), h=h.view(np.int64))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, width = TaskContext.get(), encoder_of(tokenizer).width
-        made, ids, parts, size = [], [], [], 0
+        attempt, width = TaskContext.get().taskAttemptId(), encoder_of(tokenizer).width
+        made, ids, parts, size, now, k = [], [], [], 0, None, 0
         disk, folder = filesystem(path)
         disk.create_dir(folder, recursive=True)
 
         def close() -> None:
-            name = f"shard-{context.partitionId():06d}-{len(made):06d}.ids"
-            own = f"{folder}/_attempt-{context.taskAttemptId()}-{name}"
+            name = f"shard-{now:06d}-{k:06d}.ids"
+            own = f"{folder}/_attempt-{attempt}-{name}"
             with disk.open_output_stream(own) as out:
                 out.write(pack(ids, parts, width))
             disk.move(own, f"{folder}/{name}")
-            made.append((context.partitionId(), name, len(ids), sum(map(len, parts)) // width))
+            made.append((now, name, len(ids), sum(map(len, parts)) // width))
 
         for pdf in batches:
-            for key, part in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                if size >= shard_bytes:
+            for part, key, data in zip(pdf["part"], pdf["doc_id"], pdf["ids"], strict=True):
+                if ids and (size >= shard_bytes or part != now):
                     close()
-                    ids, parts, size = [], [], 0
+                    ids, parts, size, k = [], [], 0, k + 1 if part == now else 0
+                now = int(part)
                 ids.append(None if pd.isna(key) else int(key))
-                parts.append(bytes(part))
-                size += len(part)
+                parts.append(bytes(data))
+                size += len(data)
         if ids:
             close()
         yield pd.DataFrame(made, columns=["part", "shard", "n_docs", "n_tokens"])
 
-    rows = written(encoded(documents, tokenizer, doc_id, text).withColumn("at", F.monotonically_increasing_id()), "token-ids")
-    ordered = rows.repartitionByRange("doc_id", "ids", "at").sortWithinPartitions("doc_id", "ids", "at")
-    return ordered.select("doc_id", "ids").mapInPandas(run, "part int, shard string, n_docs long, n_tokens long")
+    spark = documents.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(doc_id).cast("long")
+    probe = documents.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"), F.percentile_approx(key, [i / n_parts for i in range(1, n_parts)] or [1.0]).alias("bounds")).first()
+    bounds = np.array(probe.bounds or [], np.int64)
+    null_parts = -(-n_parts * (probe.n - probe.known) // max(probe.n, 1))
+    dealt = encoded(documents, tokenizer, doc_id, text, deal, ", part int, h long")
+    ordered = dealt.repartitionById(null_parts + len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "h")
+    return ordered.select("part", "doc_id", "ids").mapInPandas(run, "part int, shard string, n_docs long, n_tokens long")
+
+
+def _parts(doc_ids: pd.Series, h: np.ndarray, bounds: np.ndarray, null_parts: int) -> np.ndarray:
+    """The part of each row: null ids by hash over the first null_parts, others by bounds; an id that is several bounds,
+    as it has so many rows, spreads over the parts between them by hash. Parts in order hold ascending ids."""
+    null = doc_ids.isna().to_numpy()
+    x = doc_ids.fillna(0).to_numpy(np.int64)
+    low, high = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+    spread = (h % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
+    return np.where(null, (h % np.uint64(max(null_parts, 1))).astype(np.int64), null_parts + low + spread).astype(np.int32)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import lodegraph.llm.html_extract as H
@@ -260,7 +261,7 @@ def test_token_store(spark):
     got = token_store.token_store(docs(spark, rows), path).collect()
     want, at = [], 0
     coded = [(i, [*plain.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
-    for i, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
+    for i, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(np.array(r[1], "<u2").tobytes())).view(np.int64)))):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
         at += len(ids)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.found) for r in got), key=lambda r: r[1]) == want
@@ -273,10 +274,23 @@ def test_token_store_spreads_rows_of_one_id(spark, tmp_path):
     rows = [(None, f"text {i % 700}") for i in range(3000)] + [(5, "word " * i) for i in range(30)]
     made = token_store.write(docs(spark, rows).repartition(6), f"file://{tmp_path}/store", path, shard_bytes=2000).collect()
     assert sum(r.n_docs for r in made) == len(rows) and len(made) > 4 and max(r.n_docs for r in made) < 1500
+    assert len({r.part for r in made}) > 2
     back = token_store.read(spark, f"file://{tmp_path}/store").collect()
     assert len(back) == len(rows) and all(r.found for r in back) and sum(r.n_tokens for r in back) == sum(r.n_tokens for r in made)
 
 
+def test_parts_of_hot_ids_keep_their_order():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    ids = pd.Series([None if x < 100 else 7 if x < 500 else int(x) for x in rng.integers(0, 1000, 5000)], dtype="Int64")
+    bounds = np.array(sorted([7, 7, 7, 7, 600, 700, 800]), np.int64)
+    part = token_store._parts(ids, rng.integers(0, 1 << 63, 5000).astype(np.uint64), bounds, 2)
+    assert len(set(part[ids.isna()])) == 2 and len(set(part[(ids == 7).fillna(False).to_numpy(bool)])) == 4
+    order = sorted(zip(part.tolist(), ids.fillna(-1).tolist()))
+    assert [x for _, x in order] == sorted(x for _, x in order)
+
+
 def test_encoder_holds_bounded_tables(monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
