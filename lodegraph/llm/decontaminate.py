@@ -9,7 +9,8 @@ The windows are broadcast only if their measured size is within BROADCAST_BYTES;
 and the windows are compared after joins on the row key and the window id.
 
 Defined cases: a null or empty text has no words and no hits; a null or empty item has no window; equal windows of
-several items count for each of them; rows repeated with the same id and text give the same result once per row;
+several items count for each of them; windows that overlap hit their words once; very long texts are read to their
+end; rows repeated with the same id and text give the same result once per row;
 other columns of the tables are ignored, whatever their names.
 """
 
@@ -34,13 +35,11 @@ def _shingle(ws: Column, at: Column, k: int) -> Column:
 
 
 def _windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """wid, ws, len, k and items of each distinct window."""
+    """wid, ws, len, k and item of each window of each item."""
     items = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("iw")).where((F.size("iw") > 0) & F.col("item").isNotNull())
     last = F.greatest(F.size("iw") - window, F.lit(0))
     each = items.select("item", "iw", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", F.slice("iw", F.col("at") + 1, F.lit(window)).alias("ws"))
-    return each.groupBy("ws").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64(F.array_join("ws", " ")).alias("wid"), "ws", F.size("ws").alias("len"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("k"), "items"
-    )
+    return each.select(F.xxhash64(F.array_join("ws", " ")).alias("wid"), "ws", F.size("ws").alias("len"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("k"), F.col("item").cast("string").alias("item"))
 
 
 def _positions(docs: DataFrame, k: int) -> DataFrame:
@@ -52,8 +51,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     """Per document: doc_id, key (of the row: its id and text), n_words, n_hit, n_items, item_ids, contaminated (hit words are at least 1/share of all)."""
     base = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = base.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), words(F.col("text")).alias("dw")).withColumn("n", F.size("dw"))
-    wins = written(_windows(benchmark, item_id, item_text, window), "decontaminate-windows")
-    sized = wins.agg(F.sum(F.octet_length(F.array_join("ws", " ")) + 64 + 16 * F.size("items")).alias("b"), F.collect_set("k").alias("ks")).first()
+    each = written(_windows(benchmark, item_id, item_text, window), "decontaminate-windows")
+    wins = each.select("wid", "ws", "len", "k").distinct()
+    sized = wins.agg(F.sum(F.octet_length(F.array_join("ws", " ")) + 64).alias("b"), F.collect_set("k").alias("ks")).first()
     small = (sized.b or 0) <= broadcast_bytes
     near = F.broadcast if small else (lambda df: df)
     ks = sorted(sized.ks or [])
@@ -66,7 +66,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         found = _positions(keyed, k).select("h").join(near(wanted), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
         counts = found if counts is None else counts.unionByName(found)
     if counts is None:
-        hits = keyed.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit("")).alias("items"))
+        hits = keyed.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).cast("long").alias("wid"))
     else:
         rarity = written(counts, "decontaminate-rarity")
         prefix = inside.join(rarity, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "h")).alias("p"))
@@ -77,21 +77,23 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             probes, own = _positions(keyed, k), prefix.where(F.col("k") == k)
             if small:
                 same = (probes.h == own.h) & (start >= 0) & (start + F.col("len") <= F.col("n")) & F.expr("slice(dw, at - off + 1, len) = ws")
-                part = probes.join(F.broadcast(own), same).select("key", start.alias("start"), F.col("len"), "items")
+                part = probes.join(F.broadcast(own), same).select("key", start.alias("start"), F.col("len"), "wid")
             else:
                 places = probes.select("key", "n", "at", "h").join(own.select("h", "wid", "off", "len"), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("key", "wid", "len", start.alias("start"))
                 part = places.join(keyed.select("key", "dw").dropDuplicates(["key"]), "key").select("key", "wid", "len", "start", F.slice("dw", begin + 1, F.col("len")).alias("seen"))
-                part = part.join(own.select("wid", "ws", "items"), "wid").where("seen = ws").select("key", "start", "len", "items")
+                part = part.join(own.select("wid", "ws"), "wid").where("seen = ws").select("key", "start", "len", "wid")
             hits = part if hits is None else hits.unionByName(part)
-        hits = hits.select("key", "start", (begin + F.col("len")).alias("end"), "items")
+        hits = written(hits.select("key", "start", (begin + F.col("len")).alias("end"), "wid"), "decontaminate-hits")
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["to"]))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")),
         lambda a: a["n"],
     )
-    per_doc = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("items").alias("lists"))
-    per_doc = per_doc.select("key", covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform(F.flatten("lists"), lambda x: x.cast("string")))).alias("item_ids"))
+    spans = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("key", covered.cast("long").alias("n_hit"))
+    # items by window are joined and not carried, so that a window of many items is not one long row for each hit
+    found = hits.select("key", "wid").distinct().join(each.select("wid", "item").distinct(), "wid").select("key", "item").distinct()
+    per_doc = spans.join(found.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids")), "key")
     out = keyed.select("doc_id", "key", F.col("n").cast("long").alias("n_words")).join(per_doc, "key", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))

@@ -138,6 +138,13 @@ def test_decontamination_by_brute_force(spark, broadcast_bytes):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in got) == slow_contamination(rows, [x for x in items if x[0] is not None])
 
 
+def test_a_window_that_many_items_share(spark):
+    text = " ".join(f"w{i}" for i in range(13))
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs(spark, [(1, f"a {text} b"), (2, f"{text} {text}"), (3, "clean")]), items).collect()}
+    assert got == {1: (13, 10_000, True), 2: (26, 10_000, True), 3: (0, 0, False)}
+
+
 def test_decontamination_without_items_or_documents(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in decontaminate(docs(spark, [(1, "a b c")]), bench).collect()] == [(0, False)]
