@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import events as E
 from lodegraph.plans.registry import query
-from lodegraph.session import STATE_PROVIDER
+from lodegraph.session import STATE_PROVIDER, shared_folder
 from lodegraph.sources.tables import table
 from lodegraph.streaming.fold import run_fold
 
@@ -118,8 +118,7 @@ def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream, through keyed state, into a Parquet sink; the sink is what is read."""
     schema = table(spark, sf_dir, "events").schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    out = f"{base}/stream-run-fold-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-run-fold-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     try:

@@ -20,14 +20,20 @@ def build(app: str = "lodegraph", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names, where its lineage ends: it is worked out once, and any
-    executor can read it again. A folder of this session's own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this session's own only in local mode, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = getattr(checkpointed, "own", None) or tempfile.mkdtemp(prefix="lodegraph-")
-        checkpointed.own = folder
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="lodegraph-")
+        shared_folder.own = folder
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, where its lineage ends: it is worked out once, and any executor can read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
