@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this session's own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of this session's own only in local mode, where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lodegraph-")
         shared_dir.own = path
     return path.rstrip("/")
