@@ -143,8 +143,11 @@ def dropped_lines(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFra
     wanted = stats.join(leaves, "leaf").groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("first.at", "leaf", "h", order)).alias("lines"))
     wanted = written(wanted, "lines-wanted")
     n_bytes = wanted.agg(F.sum(F.size("lines") * 80 + 40)).first()[0] or 0
-    texts = _beside(docs, wanted, n_bytes).dropDuplicates(["key"]).select(F.split("t", "\n").alias("all"), F.explode("lines").alias("x"))
-    in_leaf = written(texts.select("x.leaf", "x.h", "x.order", _masked(F.get("all", F.col("x.at"))).alias("words")), "lines-in-leaves")
+    # a text is split once, and its lines taken out of it before they become rows
+    once = F.array(F.struct(F.split("t", "\n").alias("all"), "lines"))
+    taken = F.transform(once, lambda d: F.transform(d["lines"], lambda x: F.struct(x["leaf"].alias("leaf"), x["h"].alias("h"), x["order"].alias("order"), F.get(d["all"], x["at"]).alias("line"))))[0]
+    texts = _beside(docs, wanted, n_bytes).dropDuplicates(["key"]).select(F.explode(taken).alias("x"))
+    in_leaf = written(texts.select("x.leaf", "x.h", "x.order", _masked(F.col("x.line")).alias("words")), "lines-in-leaves")
     known = stats.join(_placed(in_leaf), ["leaf", "h"], "left").withColumn("template", F.coalesce("rep", "h"))
     merged = known.groupBy("leaf", "template").agg(F.max("n").alias("n"), F.min("key_a").alias("a"), F.max("key_b").alias("b")).where("a <> b")
     short = lines.where(F.col("n") < SHORT_WORDS).select("leaf", "h", "key").distinct().groupBy("leaf", F.col("h").alias("template")).agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= SHORT_DOCUMENTS)

@@ -249,3 +249,14 @@ def test_bins_hold_the_token_ids(spark):
     assert all(",".join(map(str, ids)) in held for ids in short)
     counted = packing.pack(d, tokenizer=path, capacities=(32, 64)).groupBy("doc_id").sum("n_tokens").collect()
     assert {r[0]: r[1] for r in counted} == {i: sum(len(w) for (j, _), w in zip(rows, want) if j == i) for i, _ in rows}
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    line = lambda i: F.concat(F.lit("alpha beta gamma delta epsilon "), F.translate(F.hex(i), "0123456789", "ghijklmnop"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(line(i), F.lit("\nkeep "), F.col("id").cast("string"))), "\n")
+    d = spark.range(2).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = {r.doc_id: (r.n, r.lines_dropped) for r in line_dedup(d, counts=True).select("doc_id", F.size(F.split("text", "\n")).alias("n"), "lines_dropped").collect()}
+    assert got == {0: (2 * n, 0), 1: (n, n)}
