@@ -39,7 +39,7 @@ from lodegraph.llm import perfect_hash
 from lodegraph.llm.common import filesystem, shared_dir, written
 
 MAGIC, HEADER = b"LGIDS001", struct.Struct("<8sIIQQI")
-SHARD_BYTES, CACHE_BYTES, PIECE_CHARS, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 256 << 20, 100, 1 << 20, 0, 0x5EED0F0A11
+SHARD_BYTES, CACHE_BYTES, PIECE_CHARS, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 128 << 20, 100, 1 << 20, 0, 0x5EED0F0A11
 PIECE_COST = 190  # bytes that a piece takes in a table besides its own and its ids
 
 
