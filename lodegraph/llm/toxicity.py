@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import filesystem, shared_dir, written
 
-ORDER, DISCOUNT, FIT_ROWS, CHUNK, HELD_GRAMS, SHARD_GRAMS = 6, 0.75, 20_000, 1 << 20, 1 << 20, 1 << 20
+ORDER, DISCOUNT, FIT_ROWS, CHUNK, HELD_GRAMS, SHARD_GRAMS = 6, 0.75, 20_000, 1 << 19, 1 << 20, 1 << 20
 BROADCAST_BYTES, UNIT = 64 << 20, 1 << 32  # evidence is held in whole parts of 1 / UNIT
 COUNTS = ("n_all", "n_0", "n_1", "n_2", "n_3")  # all documents; labels 0 and 1 of fold 0, then of fold 1, which the curve is fitted to
 GRAM = "gram long, context long, pair long"
