@@ -57,6 +57,43 @@ SELECT doc_id, CAST(nl AS BIGINT) AS lines_total, CAST(nd AS BIGINT) AS lines_dr
 """
 
 
+MEASURED = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '\P{Lu}', '', 'g')) AS BIGINT) AS n_capitals,
+ CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, CAST((n_words < 10)::INT | 2 * (100 * n_repeat_words > 20 * n_words)::INT | 4 * (10 * n_symbols > n_words)::INT | 8 * (10 * n_capitals > 3 * word_chars)::INT
+ | 16 * (2 * n_dup_lines > n_lines)::INT | 32 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS BIGINT) AS failed FROM m)
+"""
+OP11 = MEASURED + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept, n_capitals, n_lines, failed FROM f"
+ABLATIONS = MEASURED + """,
+p(policy, mask) AS (VALUES ('base', 3), ('standard', 31), ('strict', 63)),
+b(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('capitals', 8), ('repeated_lines', 16), ('word_length', 32))
+SELECT policy, CAST(1 AS INTEGER) AS version, rule, count(*) AS n_rows, CAST(count_if(failed & bit <> 0) AS BIGINT) AS n_failed, CAST(count_if(failed & mask = bit) AS BIGINT) AS n_only,
+CAST(count_if(failed & mask = 0) AS BIGINT) AS n_kept, CAST(count_if(failed & mask & ~bit = 0) AS BIGINT) AS n_kept_without FROM f, p, b WHERE mask & bit <> 0 GROUP BY policy, rule
+"""
+
+OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 100),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.k, u.a, u.cut, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * u.a * t.n) // (l.a::HUGEINT * r.a) AS score FROM u
+ JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1 : cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[cut + 1 :], ' ') JOIN t ON t.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN h ON b.lang = h.lang AND b.phrase = h.phrase WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""
+
+
 def op2() -> str:
     def canonical(text: str) -> str:
         low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import oracles
+from lodegraph.llm.collocations import collocations
 from lodegraph.llm.common import table
 from lodegraph.llm.decontaminate import decontaminate
 from lodegraph.llm.html_extract import html_extract
 from lodegraph.llm.license_scan import license_scan
 from lodegraph.llm.line_dedup import line_dedup
 from lodegraph.llm.packing import pack
+from lodegraph.llm.quality_rules import ablations, ledger, quality_rules
 from lodegraph.llm.secrets import secrets
 from lodegraph.llm.simhash import near_duplicates
 from lodegraph.llm.telephony import telephony
+from lodegraph.llm.token_alignment import token_alignment
 from lodegraph.llm.token_store import token_store
 from lodegraph.llm.toxicity import toxicity
 
@@ -64,5 +67,22 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_html_extract, op4_simhash, op5_line_dedup, op6_toxicity, op7_telephony, op8_secrets, op9_packing, op10_token_store)}
-ORACLES = {"op1_decontaminate": oracles.OP1, "op2_license_scan": oracles.op2(), "op5_line_dedup": oracles.OP5, "op8_secrets": oracles.OP8}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_capitals", "n_lines", "failed")
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_html_extract, op4_simhash, op5_line_dedup, op6_toxicity, op7_telephony, op8_secrets, op9_packing, op10_token_store, op11_quality_rules, op12_collocations, op13_token_alignment, quality_rule_ablations)}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op2_license_scan": oracles.op2(), "op5_line_dedup": oracles.OP5, "op8_secrets": oracles.OP8, "op11_quality_rules": oracles.OP11, "op12_collocations": oracles.OP12, "quality_rule_ablations": oracles.ABLATIONS}
