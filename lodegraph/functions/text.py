@@ -13,27 +13,6 @@ STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself you
 themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as
 until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then
 once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
-#: A light English stemmer: each rule, a pattern and what it becomes, is tried in turn. Only endings change, never the first three letters.
-STEMS = [("(...)sses$", "$1ss"), ("(...+)ies$", "$1y"), ("(..[^su])s$", "$1"), ("(...+)(?:ing|ed|edly|ingly)$", "$1"), ("(..+)(?:bb)$", "$1b"), ("(..+)(?:dd)$", "$1d"), ("(..+)(?:gg)$", "$1g"), ("(..+)(?:mm)$", "$1m"), ("(..+)(?:nn)$", "$1n"), ("(..+)(?:pp)$", "$1p"), ("(..+)(?:rr)$", "$1r"), ("(..+)(?:tt)$", "$1t"), ("(...)ly$", "$1"), ("(..[^aeiou])y$", "$1i"), ("(...)e$", "$1")]
-
-
-def stem(word: Column) -> Column:
-    for pattern, to in STEMS:
-        word = F.regexp_replace(word, pattern, to)
-    return word
-
-
-def query_terms(question: str) -> list[str]:
-    """The words of a question as keyword search takes them: lower case, no stop words, stemmed, each once."""
-    import re
-
-    out: list[str] = []
-    for word in re.findall(r"[^\W_]+", question.lower()):
-        if word not in STOP_WORDS:
-            for pattern, to in STEMS:
-                word = re.sub(pattern, to.replace("$", "\\"), word)
-            out += [] if word in out else [word]
-    return out
 
 
 def words(text: Column) -> Column:

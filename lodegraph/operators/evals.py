@@ -67,3 +67,15 @@ def run_eval(cases: DataFrame, answer: Callable[[str], dict]) -> DataFrame:
     kind = cases.schema["id"].dataType.simpleString()
     answered = cases.select("id", "question").mapInPandas(run, f"id {kind}, answer string, citations array<struct<path:string,verified:boolean>>, error string")
     return score(cases.join(answered, "id"))
+
+
+def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """cases scored by what retrieval found for all of them: the paths cited are those of its hits, and the answer is their
+    snippets in order of rank. A case without hits is scored as no answer. cases: id, expected, optional, keywords; hits:
+    id, rank0, path, verified, snippet, some of each id."""
+    each = hits.groupBy("id").agg(
+        F.collect_list(F.struct("path", "verified")).alias("citations"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank0", "snippet"))), lambda x: x["snippet"]), " ").alias("answer"),
+    )
+    none = F.array().cast("array<struct<path:string,verified:boolean>>")
+    return score(cases.join(each, "id", "left").withColumns({"citations": F.coalesce("citations", none), "answer": F.coalesce("answer", F.lit(""))}))

@@ -5,30 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import stem, words
+from lodegraph.functions.stemming import stemmed
+from lodegraph.functions.text import words
 from lodegraph.functions.vectors import cosine_distance
 
 K1, B, RRF_K, PER_SIGNAL, EXPANDED = 1.2, 0.75, 60, 20, 1 / 240
 
 
-def postings(chunks: DataFrame, key: str, text: str, terms: list[str] | None = None, stemmed: bool = False) -> DataFrame:
-    """key, n_words, term, tf. With terms, only those are exploded, inside each row; stemmed terms meet the words whose
-    stem they are, which begin alike, so that few words are stemmed."""
+def postings(chunks: DataFrame, key: str, text: str, terms: list[str], english: bool = False) -> DataFrame:
+    """key, n_words, term, tf of the given terms, picked inside each row; english: terms are stems."""
     found = words(F.col(text))
-    if terms is None:
-        each = F.transform(found, stem) if stemmed else found
-    elif stemmed:
-        alike = F.filter(found, lambda w: F.left(w, F.lit(3)).isin([t[:3] for t in terms]))
-        each = F.filter(F.transform(alike, stem), lambda w: w.isin(terms))
-    else:
-        each = F.filter(found, lambda w: w.isin(terms))
+    each = F.filter(stemmed(found) if english else found, lambda w: w.isin(terms))
     return chunks.select(F.col(key), F.size(found).alias("n_words"), F.explode(each).alias("term")).groupBy(key, "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, key: str, text: str, terms: list[str], all_terms: bool = False, stemmed: bool = False) -> DataFrame:
-    """key and score of each chunk that has any (or all) of the terms."""
+def bm25(chunks: DataFrame, key: str, text: str, terms: list[str], all_terms: bool = False, english: bool = False) -> DataFrame:
+    """key and score of each chunk that has any (or all) of the terms, by a scan of all; index.py searches without one."""
     sizes = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col(text)))).alias("mean"))
-    tf = postings(chunks, key, text, terms, stemmed)
+    tf = postings(chunks, key, text, terms, english)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
@@ -86,13 +80,14 @@ def best_rank(ranked_chunks: DataFrame, owner: str) -> DataFrame:
     return ranked_chunks.groupBy(owner).agg(F.min("rank0").cast("long").alias("best_rank"), F.count(F.lit(1)).alias("hits"))
 
 
-def retrieve(question_terms: list[str], vector: list[float], nodes: DataFrame, chunks: DataFrame, edges: DataFrame, key: str, embedding: str, top_k: int = 10, per_signal: int = PER_SIGNAL, expand_graph: bool = True) -> DataFrame:
+def retrieve(found: DataFrame, vector: list[float], nodes: DataFrame, chunks: DataFrame, edges: DataFrame, key: str, embedding: str, top_k: int = 10, per_signal: int = PER_SIGNAL, expand_graph: bool = True) -> DataFrame:
     """Hybrid retrieval in one plan: the per_signal best chunks by keyword, as nodes by their best chunk, and the
     per_signal nearest nodes by vector; fused, filled up by neighbours, and given node and first chunk.
 
-    nodes: key, the embedding, and what shall come out; chunks: chunk_id, key, start_line, end_line, text."""
-    hits = ranked(bm25(chunks, "chunk_id", "text", question_terms, stemmed=True), "chunk_id", "score", per_signal)
-    owners = best_rank(hits.join(chunks.select("chunk_id", key), "chunk_id"), key)
+    found: chunk_id and score, as an index or bm25 gives them; nodes: key, the embedding, and what shall come out;
+    chunks: chunk_id, key, start_line, end_line, text."""
+    hits = ranked(found, "chunk_id", "score", per_signal)
+    owners = best_rank(chunks.select("chunk_id", key).join(F.broadcast(hits), "chunk_id"), key)
     keyword = ranked(owners, key, "best_rank", per_signal, ascending=True)
     near = ranked(dense(nodes, key, embedding, vector), key, "distance", per_signal, ascending=True)
     fused = fuse({"bm25": keyword, "dense": near}, key)

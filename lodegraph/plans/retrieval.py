@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import STEMS, query_terms, words
+from lodegraph.functions.text import words
+from lodegraph.operators import index
 from lodegraph.operators import questions as Q
 from lodegraph.operators import retrieval as R
 from lodegraph.operators.enrich import context_block
+from lodegraph.operators.evals import evaluate
 from lodegraph.operators.verify import verify
 from lodegraph.operators.views import search_graph
 from lodegraph.plans.registry import query
+from lodegraph.session import shared_folder
 from lodegraph.sources.tables import doc_chunks, doc_lines, table
 
 TERMS = ["licensed", "version", "idiot", "public"]
@@ -186,27 +191,93 @@ def context_block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_block(items.select(rank.alias("rank"), F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("fqname"), F.lit("doc").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), "end_line", "snippet", F.lit(None).cast("string").alias("summary")))
 
 
-def _sql_stem(word: str) -> str:
-    for pattern, to in STEMS:
-        word = f"regexp_replace({word}, '{pattern}', '{to.replace('$', chr(92))}')"
-    return word
+def _index(spark: SparkSession, sf_dir: str, of: str, english: bool = True) -> index.TextIndex:
+    """The stored index of the documents or their chunks: written once for the files that the table has now, then read."""
+    t = table(spark, sf_dir, "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    files = "\n".join([f"{at.getPath()} {at.getModificationTime()} {at.getLen()}", *sorted(t.inputFiles())])
+    kept = index.TextIndex(spark, f"{shared_folder(spark)}/index-{of}-{english}-{hashlib.sha256(files.encode()).hexdigest()[:16]}", english)
+    if kept.segments == 0:
+        kept.add(t if of == "documents" else _chunks(spark, sf_dir), "doc_id" if of == "documents" else "chunk_id", "text")
+    return kept
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("start_line"))
 
 
 QUESTION = "Which works are licensed under the public versions?"
-_TERMS = ", ".join(f"'{t}'" for t in query_terms(QUESTION))
-STEMMED = f"""w AS (SELECT doc_id, {WORDS} AS ws FROM documents), tw AS (SELECT doc_id, unnest(ws) AS w FROM w), sx AS (SELECT doc_id, {_sql_stem("w")} AS term FROM tw)"""
+# the forms of the question's words, written out by hand
+FORMS = {"licens": "licens(e|es|ed|ing)", "version": "versions?", "work": "work(s|ed|ing|ings)?", "public": "public(s|ly)?"}
+
+
+def _forms(word: str, *terms: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_full_match({word}, '{FORMS[t]}') THEN '{t}'" for t in terms or FORMS) + " END"
+
+
+STEMMED = f"""w AS (SELECT doc_id, {WORDS} AS ws FROM documents), tw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM w), sx AS (SELECT doc_id, p, {_forms("w")} AS term FROM tw)"""
 
 
 @query(f"WITH {STEMMED} SELECT doc_id FROM sx WHERE term IN ('licens', 'version') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
 def keyword_stemmed_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with every word of the question, stop words left out, by stem."""
-    return R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", query_terms("What is licensing by versions?"), all_terms=True, stemmed=True).select("doc_id")
+    return _index(spark, sf_dir, "documents").search(index.terms_of("What is licensing by versions?"), all_terms=True).select(F.col("key").alias("doc_id"))
+
+
+@query(f"""WITH {STEMMED}, x AS (SELECT * FROM sx WHERE term IN ('licens', 'version')), ok AS (SELECT doc_id FROM x GROUP BY doc_id HAVING count(DISTINCT term) = 2),
+pr AS (SELECT a.doc_id, abs(a.p - b.p) AS d FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.term < b.term AND abs(a.p - b.p) <= 100),
+s AS (SELECT doc_id, 1 - exp(sum(ln(1 - 0.1 / sqrt(1.005 + 0.05 * exp(d / 1.5::DOUBLE - 2))))) AS rank FROM pr GROUP BY doc_id)
+SELECT doc_id, round(coalesce(rank, 0), 6) AS rank FROM ok LEFT JOIN s USING (doc_id)""")
+def keyword_proximity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents by how near the words stand to each other."""
+    return _index(spark, sf_dir, "documents").proximity(index.terms_of("What is licensing by versions?")).withColumnRenamed("key", "doc_id")
+
+
+ASKED = f"""w AS (SELECT doc_id, {WORDS} AS ws FROM documents), z AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+tf AS (SELECT doc_id, nw, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS nw, unnest(ws) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT conv_id, turn, unnest(list_distinct({WORDS})) AS term FROM conversations WHERE role = 'user'),
+sc AS (SELECT conv_id, turn, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * nw / mean))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), z GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id) - 1 AS rank0 FROM sc QUALIFY rank0 < 20)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every turn of a user, all in one plan."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = turns.select(F.struct("conv_id", "turn").alias("question"), index.question_terms(F.col("text"), english=False).alias("terms"))
+    found = _index(spark, sf_dir, "documents", english=False).search_many(asked, 20)
+    return found.select("question.conv_id", "question.turn", F.col("key").alias("doc_id"), "score", "rank0")
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, doc_id, score, CAST(rank0 AS INTEGER) AS rank0 FROM top")
+def questions_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir)
+
+
+@query(f"""WITH {ASKED}, cs AS (SELECT q.conv_id, q.turn, q.text, list_distinct([d.source || '/' || d.doc_id]) AS expected FROM conversations q LEFT JOIN documents d ON d.doc_id = q.conv_id WHERE role = 'user'),
+got AS (SELECT t.conv_id, t.turn, list(d.source || '/' || d.doc_id) AS cited, string_agg(string_split(d.text, chr(10))[1], ' ' ORDER BY rank0) AS answer FROM top t JOIN documents d USING (doc_id) WHERE rank0 < 5 GROUP BY ALL),
+kw AS (SELECT conv_id, turn, list_sort(list_distinct({WORDS}))[1:3] AS keywords FROM conversations WHERE role = 'user'),
+r AS (SELECT cs.conv_id, cs.turn, list_filter(expected, lambda x: x IS NOT NULL) AS expected, coalesce(cited, []) AS cited, keywords, coalesce(answer, '') AS answer FROM cs LEFT JOIN got USING (conv_id, turn) JOIN kw USING (conv_id, turn)),
+m AS (SELECT conv_id, turn, CASE WHEN len(cited) = 0 THEN 0 ELSE len(list_filter(cited, lambda c: list_contains(expected, lower(c)))) / len(cited) END AS p,
+ CASE WHEN len(expected) = 0 THEN 1 ELSE len(list_filter(expected, lambda e: list_contains(cited, e))) / len(expected) END AS r,
+ CASE WHEN len(keywords) = 0 THEN 1 ELSE len(list_filter(keywords, lambda k: contains(lower(answer), k))) / len(keywords) END AS k FROM r)
+SELECT conv_id, turn, round(CAST(p AS DOUBLE), 6) AS "precision", round(CAST(r AS DOUBLE), 6) AS recall, round(CAST(k AS DOUBLE), 6) AS coverage FROM m""")
+def questions_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation run over all turns of users in one plan: what is expected is the document of the conversation's number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.element_at(F.split("text", "\n"), 1).alias("head"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    id_ = F.struct("conv_id", "turn").alias("id")
+    expected = turns.join(d.select("doc_id", "path"), F.col("conv_id") == F.col("doc_id"), "left")
+    cases = expected.select(id_, F.array_compact(F.array("path")).alias("expected"), F.array().cast("array<string>").alias("optional"), F.slice(F.sort_array(F.array_distinct(words(F.col("text")))), 1, 3).alias("keywords"))
+    hits = _asked(spark, sf_dir).where("rank0 < 5").join(d, "doc_id").select(id_, "rank0", "path", F.lit(True).alias("verified"), F.col("head").alias("snippet"))
+    return evaluate(cases, hits).select("id.conv_id", "id.turn", "precision", "recall", "coverage")
 
 
 RETRIEVED = f"""
 ch0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), ch AS (SELECT doc_id, doc_id * 1000000 + b + 1 AS chunk_id, array_to_string(ls[b + 1 : b + 5], chr(10)) AS text FROM (SELECT doc_id, ls, unnest(range(0, len(ls), 5)) AS b FROM ch0)),
 cw AS (SELECT doc_id, chunk_id, {WORDS} AS ws FROM ch), cz AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM cw),
-cs AS (SELECT doc_id, chunk_id, nw, {_sql_stem("w")} AS term FROM (SELECT doc_id, chunk_id, len(ws) AS nw, unnest(ws) AS w FROM cw)), ctf AS (SELECT doc_id, chunk_id, nw, term, count(*) AS tf FROM cs WHERE term IN ({_TERMS}) GROUP BY ALL),
+cs AS (SELECT doc_id, chunk_id, nw, {_forms("w")} AS term FROM (SELECT doc_id, chunk_id, len(ws) AS nw, unnest(ws) AS w FROM cw)), ctf AS (SELECT doc_id, chunk_id, nw, term, count(*) AS tf FROM cs WHERE term IS NOT NULL GROUP BY ALL),
 cdf AS (SELECT term, count(*) AS df FROM ctf GROUP BY term), cbm AS (SELECT doc_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * nw / mean))), 6) AS score FROM ctf JOIN cdf USING (term), cz GROUP BY ALL),
 ctop AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank0 FROM cbm ORDER BY score DESC, chunk_id LIMIT 20), own AS (SELECT doc_id, min(rank0) AS best FROM ctop GROUP BY doc_id), kw AS (SELECT doc_id, row_number() OVER (ORDER BY best, doc_id) - 1 AS rank0 FROM own),
 {DENSE.strip()}, dnn AS (SELECT doc_id, distance FROM dn JOIN documents ON vec_id = doc_id ORDER BY distance, doc_id LIMIT 20), dnr AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) - 1 AS rank0 FROM dnn),
@@ -220,8 +291,9 @@ RETRIEVED = RETRIEVED.replace("SELECT tp.doc_id, source, score, signals, text AS
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     nodes = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    chunks = doc_chunks(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("start_line"))
-    found = R.retrieve(query_terms(QUESTION), _query_vector(spark, sf_dir), nodes, chunks, _reading_edges(spark, sf_dir), "doc_id", "embedding", top_k=45)
+    chunks = _chunks(spark, sf_dir)
+    hits = _index(spark, sf_dir, "chunks").search(index.terms_of(QUESTION)).withColumnRenamed("key", "chunk_id")
+    found = R.retrieve(hits, _query_vector(spark, sf_dir), nodes, chunks, _reading_edges(spark, sf_dir), "doc_id", "embedding", top_k=45)
     return found.select("doc_id", "source", "score", F.array_join("signals", ",").alias("signals"), "snippet")
 
 

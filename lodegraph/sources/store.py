@@ -1,27 +1,33 @@
-"""Stored tables of the graph: append, replace, update by key, get-or-create, golden sets, health."""
+"""Stored tables of the graph: append, replace, update by key (all three by manifest), get-or-create, golden sets, health."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegraph.functions.stemming import stem
+from lodegraph.sources.manifest import ManifestTable
+
 GOLDEN = "repo_url string, cases array<struct<id:string,question:string,expected_paths:array<string>,optional_paths:array<string>,expected_keywords:array<string>,notes:string>>"
 
 
 def append(rows: DataFrame, path: str, partition: str = "repo_id") -> None:
-    rows.write.mode("append").partitionBy(partition).parquet(path)
+    ManifestTable(rows.sparkSession, path, partition).append(rows)
 
 
 def replace(rows: DataFrame, path: str, partition: str = "repo_id") -> None:
-    """Rows instead of all that their partitions hold; others stay. Running it twice changes nothing."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Rows instead of all that their partitions hold; others stay. Running it twice changes nothing, and a run that
+    fails leaves what was there."""
+    ManifestTable(rows.sparkSession, path, partition).replace(rows)
+
+
+def update(changes: DataFrame, path: str, key: str, partition: str = "repo_id") -> None:
+    """Columns of changes that are not null, into the rows of equal key; only partitions that have such rows are written."""
+    ManifestTable(changes.sparkSession, path, partition).update(changes, key)
 
 
-def updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of changes that are not null put in by key; keys that rows lack are skipped."""
-    new = [c for c in changes.columns if c != key]
-    put = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in new])
-    return rows.join(put, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in new else F.col(c) for c in rows.columns])
+def read(spark: SparkSession, path: str, partition: str = "repo_id", values: list | None = None) -> DataFrame:
+    return ManifestTable(spark, path, partition).read(values=values)
 
 
 def get_or_create(repos: DataFrame, urls: DataFrame) -> DataFrame:
@@ -38,4 +44,4 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def health(spark: SparkSession) -> dict[str, object]:
-    return {"version": spark.version, "vectors": spark.catalog.functionExists("zip_with"), "stemming": False}
+    return {"version": spark.version, "vectors": spark.catalog.functionExists("zip_with"), "stemming": stem("relational") == stem("relate")}

@@ -88,12 +88,13 @@ def test_store(spark, tmp_path):
     store.append(rows, path)
     for _ in range(2):
         store.replace(rows.where("repo_id = 'r1'").withColumn("summary", F.lit("new")), path)
-    assert {(r.id, r.summary) for r in spark.read.parquet(path).collect()} == {(1, "new"), (2, "b")}
-    out = store.updated(rows, spark.createDataFrame([(2, "z"), (9, "y")], "id long, summary string"), "id")
-    assert {(r.id, r.summary) for r in out.collect()} == {(1, "a"), (2, "z")} and out.columns == rows.columns
+    assert {(r.id, r.summary) for r in store.read(spark, path).collect()} == {(1, "new"), (2, "b")}
+    store.update(spark.createDataFrame([(2, "z"), (9, "y")], "id long, summary string"), path, "id")
+    assert {(r.id, r.summary) for r in store.read(spark, path).collect()} == {(1, "new"), (2, "z")}
+    assert [r.id for r in store.read(spark, path, values=["r2"]).collect()] == [2]
     repos = spark.createDataFrame([("x", "u", "indexed", None), ("y", "u", "failed", None)], "id string, url string, status string, created_at timestamp").withColumn("created_at", F.when(F.col("id") == "x", F.lit("2024-01-02").cast("timestamp")).otherwise(F.lit("2024-01-01").cast("timestamp")))
     got = {(r.url, r.status) for r in store.get_or_create(repos, spark.createDataFrame([("u",), ("v",)], "url string")).collect()}
     assert got == {("u", "indexed"), ("v", "pending")}
     (tmp_path / "g.json").write_text(json.dumps({"repo_url": "r", "cases": [{"id": "q", "question": "?", "expected_paths": ["a"], "expected_keywords": []}]}))
     assert [(r.id, r.expected_paths, r.optional_paths) for r in store.golden_cases(spark, str(tmp_path / "g.json")).collect()] == [("q", ["a"], None)]
-    assert store.health(spark)["vectors"]
+    assert store.health(spark)["vectors"] and store.health(spark)["stemming"]
