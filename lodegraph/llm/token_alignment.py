@@ -6,7 +6,7 @@ texts with np.unique; Spark deals these partial counts by ranges of the key, and
 (sorted_counts.py) are mapped and binary-searched when the texts are read a second time. What passes the driver is a row
 a file and the highest count of each B id, which the vocabulary bounds.
 
-Texts are read unit by unit where that is exact: " word" and, at a line's beginning, "\\nword". A space or line feed that
+Texts are read unit by unit where that is exact: a word with the space or line feed before it. A space or line feed that
 stands alone always ends a token of either side (a byte-level vocabulary splits there first, and no piece of the other
 has a space mark behind a letter, or a line feed), so a unit's tokens, groups and links are its own. Units are kept for
 later texts in two generations of at most HELD_BYTES each. A text with other white space or a literal space mark, or one
@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import sorted_counts
 
-HELD_BYTES, UNIT_BYTES, UNIT_CHARS, BLOCK_CHARS, ENCODED_CHARS = 80 << 20, 450, 200, 4 << 20, 1 << 20
+HELD_BYTES, UNIT_BYTES, UNIT_CHARS, RUN_UNITS, BLOCK_CHARS = 80 << 20, 400, 200, 2000, 4 << 20
 SPACE_MARK = "▁"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
-#: A unit or text: number of A ids, of B ids, link keys as int64 bytes, groups as text; None if its bytes differ.
-Aligned = tuple[int, int, bytes, str] | None
+#: A unit or text: number of A ids, of B ids, link keys as int64 bytes, groups as text if asked for.
+Aligned = tuple[int, int, bytes, str | None]
+NOTHING: Aligned = (0, 0, b"", "")
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,83 +70,109 @@ class Aligner:
         self.by_unit = not any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in pieces)
         self.young: dict[str, Aligned] = {}
         self.old: dict[str, Aligned] = {}
-
-    def _tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides of texts that begin with a space, or with a line feed that a space mark is taken from."""
-        at = 0
-        while at < len(texts):
-            to, chars = at, 0
-            while to < len(texts) and (to == at or chars < ENCODED_CHARS):
-                chars, to = chars + len(texts[to]), to + 1
-            part = texts[at:to]
-            a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            b = self.b.encode([t[1:] if t[0] == " " else t for t in part], num_threads=1)
-            yield from ((x, y if t[0] == " " else y[1:] if y[:1] == [self.mark] else []) for t, x, y in zip(part, a, b, strict=True))
-            at = to
-
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> Aligned:
-        raw = text.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+        self.with_groups = False
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides of a text that begins with a space, or with a line feed that a space mark is taken from."""
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text[1:] if text[0] == " " else text)
+        b = b if text[0] == " " else b[1:] if b[:1] == [self.mark] else []
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _run(self, units: list[str]) -> list[Aligned] | None:
+        """The alignment of units that are read end to end as one text; None if their bytes do not come back."""
+        raw = [u.encode("utf-8", "surrogatepass") for u in units]
+        whole = b"".join(raw)
+        x, y = self._ids(whole.decode("utf-8", "surrogatepass"))
+        if b"".join(map(self.a_bytes.__getitem__, x.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, y.tolist())) != whole:
             return None
-        if len(a) == 1 or len(b) == 1:  # most units: one group, linked by its last ids
-            return len(a), len(b), (a[-1] << 32 | b[-1]).to_bytes(8, "little"), f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        _, i, j = np.intersect1d(np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y]), assume_unique=True, return_indices=True)
-        left, right = list(map(str, a)), list(map(str, b))
-        ends = list(zip((i + 1).tolist(), (j + 1).tolist(), strict=True))
-        groups = [f"{','.join(left[p:s])}|{','.join(right[q:t])}" for (p, q), (s, t) in zip([(0, 0), *ends], ends)]
-        return len(a), len(b), (x[i] << 32 | y[j]).astype("<i8").tobytes(), ";".join(groups)
-
-    def align(self, texts: list[str]) -> list[Aligned]:
-        return [self._aligned(t, a, b) for t, (a, b) in zip(texts, self._tokens(texts), strict=True)]
-
-    def units(self, text: str | None) -> list[str]:
-        """The parts of space + text that are aligned each by itself; none of a null or empty text."""
-        if not text:
-            return []
+        ends = np.cumsum([len(r) for r in raw])
+        a_ends, b_ends = np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y])
+        both, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        last = np.searchsorted(both, ends)  # each unit's last link
+        if len(units) > 1 and not np.array_equal(both[np.minimum(last, len(both) - 1)], ends):
+            return None  # units that do not end tokens of both sides are not units
+        keys = (x[i] << 32 | y[j]).astype("<i8").tobytes()
+        n_a, n_b = np.diff(i[last] + 1, prepend=0).tolist(), np.diff(j[last] + 1, prepend=0).tolist()
+        cuts = [0, *(last + 1).tolist()]
+        groups = [None] * len(units)
+        if self.with_groups:
+            left, right, p, q, each = list(map(str, x.tolist())), list(map(str, y.tolist())), 0, 0, []
+            for s, t in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
+                each.append(f"{left[p] if s == p + 1 else ','.join(left[p:s])}|{right[q] if t == q + 1 else ','.join(right[q:t])}")
+                p, q = s, t
+            groups = [";".join(each[f:t]) for f, t in zip(cuts, cuts[1:], strict=False)]
+        return [(n, m, keys[8 * f : 8 * t], g) for n, m, f, t, g in zip(n_a, n_b, cuts, cuts[1:], groups, strict=False)]
+
+    def align(self, text: str) -> Aligned:
+        """A whole text behind a space; nothing if its bytes do not come back."""
+        found = self._run([" " + text])
+        return found[0] if found else NOTHING
+
+    def units(self, text: str) -> list[str] | None:
+        """The words of a text, those that begin a line but the first with their line feed; None if it is to be read whole."""
         words = text.replace("\n", " \n").split(" ")
         if not self.by_unit or SPACE_MARK in text or text.split() != text.replace("\n", " ").split(" "):
-            return [" " + text]
-        return [w if w[0] == "\n" else " " + w for w in words]
-
-    def known(self, wanted: list[str]) -> list[Aligned]:
-        """The alignment of each unit, from the kept ones as far as they go."""
-        found = {}
-        for u in wanted:
-            if (x := self.young.get(u, 0)) != 0:
-                found[u] = x
-            elif (x := self.old.get(u, 0)) != 0:
-                found[u] = self.young[u] = x
-        new = [u for u in wanted if u not in found]
-        for u, x in zip(new, self.align(new), strict=True):
-            found[u] = x
-            if len(u) <= UNIT_CHARS:
-                self.young[u] = x
-        if len(self.young) * UNIT_BYTES > HELD_BYTES:
-            self.old, self.young = self.young, {}
-        return [found[u] for u in wanted]
-
-    def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[str]], dict[str, Aligned]]]:
-        """Rows of about BLOCK_CHARS letters, the units of each, and all their alignments. A row with a unit that does not
-        give its bytes back is one unit, whole; if that does not either, it has none."""
+            return None
+        return words
+
+    def known(self, wanted: list[str]) -> list[Aligned | None]:
+        """The alignment of each unit, from the kept ones as far as they go; None if its bytes do not come back."""
+        young, old = self.young, self.old
+        out = list(map(young.get, wanted))
+        new = []
+        for k, x in enumerate(out):
+            if x is None:
+                u = wanted[k]
+                if (x := old.get(u)) is None:
+                    new.append(k)
+                else:
+                    out[k] = young[u] = x
+        for at in range(0, len(new), RUN_UNITS):
+            part = new[at : at + RUN_UNITS]
+            texts = [u if u[0] == "\n" else " " + u for u in map(wanted.__getitem__, part)]
+            done = self._run(texts)
+            if done is None:
+                done = [(self._run([t]) or [None])[0] for t in texts]
+            for k, x in zip(part, done, strict=True):
+                out[k] = x
+                if x is not None and len(wanted[k]) <= UNIT_CHARS:
+                    young[wanted[k]] = x
+            if len(young) * UNIT_BYTES > HELD_BYTES:
+                self.old, self.young = young, {}
+                young, old = self.young, self.old
+        return out
+
+    def blocks(self, batches: Iterator[pd.DataFrame], with_groups: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, list[Aligned]]]:
+        """Rows of about BLOCK_CHARS letters; how many units each has; the number of each unit, end to end; the alignment of
+        each number. A row that is read whole is one unit of its own, and has none if its bytes do not come back."""
+        if self.with_groups != with_groups:
+            self.young, self.old, self.with_groups = {}, {}, with_groups
         for pdf in batches:
             texts, at = pdf["text"].tolist(), 0
             while at < len(texts):
                 to, chars = at, 0
                 while to < len(texts) and (to == at or chars < BLOCK_CHARS):
                     chars, to = chars + len(texts[to] or ""), to + 1
-                rows = [self.units(t) for t in texts[at:to]]
-                distinct = list(dict.fromkeys(u for units in rows for u in units))
-                held = dict(zip(distinct, self.known(distinct), strict=True))
-                bad = {u for u, x in held.items() if x is None}
-                if bad:
-                    for k, units in enumerate(rows):
-                        if len(units) > 1 and not bad.isdisjoint(units):
-                            rows[k] = [" " + texts[at + k]]
-                    whole = [units[0] for units in rows if len(units) == 1 and units[0] not in held]
-                    held.update(zip(whole, self.align(whole), strict=True))
-                    rows = [units if len(units) != 1 or held[units[0]] is not None else [] for units in rows]
-                yield pdf.iloc[at:to], rows, held
+                rows = [self.units(t) if t else [] for t in texts[at:to]]
+                size = np.array([len(units or ()) for units in rows], np.int64)
+                numbers, distinct = pd.factorize(np.array(list(chain.from_iterable(filter(None, rows))), object))
+                held = self.known(distinct.tolist())
+                whole = np.array([units is None for units in rows])
+                bad = np.array([x is None for x in held], bool)
+                if bad.any():
+                    whole |= np.bincount(np.repeat(np.arange(len(rows)), size), bad[numbers], len(rows)) > 0
+                if whole.any():
+                    own = np.flatnonzero(whole)
+                    done = [self.align(texts[at + k]) for k in own.tolist()]
+                    stay, place = np.repeat(~whole, size), np.where(whole, 0, size)
+                    place[own] = [x[0] > 0 for x in done]
+                    into = np.zeros(int(place.sum()), np.int64)
+                    mine = np.repeat(whole, place)
+                    into[~mine] = numbers[stay]
+                    into[mine] = len(held) + np.flatnonzero([x[0] > 0 for x in done])
+                    held, numbers, size = [x or NOTHING for x in held] + done, into, place
+                yield pdf.iloc[at:to], size, numbers, held
                 at = to
 
 
@@ -165,13 +192,14 @@ def links(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, rows, aligned in aligner_of(a_path, b_path).blocks(batches):
-            times = Counter(u for units in rows for u in units)
-            if not times:
+        for _, _, numbers, aligned in aligner_of(a_path, b_path).blocks(batches, False):
+            if not len(numbers):
                 continue
-            keys, n = _keys([aligned[u] for u in times])
+            keys, n = _keys(aligned)
             distinct, at = np.unique(keys, return_inverse=True)
-            held.append((distinct, np.bincount(at, np.repeat(np.fromiter(times.values(), np.int64, len(times)), n), len(distinct)).astype(np.int64)))
+            times = np.zeros(len(distinct), np.int64)
+            np.add.at(times, at, np.repeat(np.bincount(numbers, minlength=len(aligned)), n))
+            held.append((distinct[times > 0], times[times > 0]))
             if len(held) > 8:
                 held = [_merged(held)]
         if held:
@@ -220,33 +248,26 @@ def token_alignment(documents: DataFrame, a_path: str, b_path: str, doc_id: str
     best = highest(counts, documents.sparkSession, SentencePieceProcessor(model_file=b_path).get_piece_size())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, rows, aligned in aligner_of(a_path, b_path).blocks(batches):
-            yield _rows(pdf["doc_id"], rows, aligned, counts, best, groups)
+        for pdf, *block in aligner_of(a_path, b_path).blocks(batches, True):
+            yield _rows(pdf["doc_id"], *block, counts, best, groups)
 
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return docs.mapInPandas(run, DIGEST + (", groups string" if groups else ""))
 
 
-def _rows(ids: pd.Series, rows: list[list[str]], aligned: dict[str, Aligned], counts: Callable[[np.ndarray], np.ndarray], best: np.ndarray, groups: bool) -> pd.DataFrame:
-    used = [u for u, x in aligned.items() if x is not None]
-    number = {u: i for i, u in enumerate(used)}
-    held = [aligned[u] for u in used]
-    keys, n = _keys(held)
+def _rows(ids: pd.Series, size: np.ndarray, numbers: np.ndarray, aligned: list[Aligned], counts: Callable[[np.ndarray], np.ndarray], best: np.ndarray, groups: bool) -> pd.DataFrame:
+    keys, n = _keys(aligned)
     distinct, at = np.unique(keys, return_inverse=True)
     count = counts(distinct)
     top = count == best[distinct & 0xFFFFFFFF]
-    of = np.repeat(np.arange(len(held)), n)
-    per = lambda w: np.bincount(of, w, len(held)).astype(np.int64)
-    # sums of counts may pass 2 ** 53, so they are not made of floats
-    sums = np.zeros(len(held), np.int64)
-    np.add.at(sums, of, count[at])
-    table = np.stack([np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), n, n, per(top[at].astype(float)), sums]) if held else np.zeros((6, 0), np.int64)
-    size = np.array([len(units) for units in rows], np.int64)
-    flat = np.fromiter((number[u] for units in rows for u in units), np.int64, int(size.sum()))
-    total = np.concatenate([np.zeros((6, 1), np.int64), np.cumsum(table[:, flat], axis=1)], axis=1)
-    ends = np.cumsum(size)
-    out = total[:, ends] - total[:, ends - size]
-    texts = [";".join([aligned[u][3] for u in units]) for units in rows]
-    columns = {c: out[k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))}
+    ends = np.concatenate(([0], np.cumsum(n)))
+    per = lambda w: np.diff(np.concatenate(([0], np.cumsum(w)))[ends])
+    table = [np.array([x[0] for x in aligned], np.int64), np.array([x[1] for x in aligned], np.int64), n, n, per(top[at].astype(np.int64)), per(count[at])]
+    to = np.cumsum(size)
+    total = lambda w: np.diff(np.concatenate(([0], np.cumsum(w[numbers])))[np.concatenate(([0], to))])
+    columns = {c: total(w) for c, w in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), table, strict=True)}
+    strings = [x[3] for x in aligned]
+    parts = list(map(strings.__getitem__, numbers.tolist()))
+    texts = [";".join(parts[f:t]) for f, t in zip((to - size).tolist(), to.tolist(), strict=True)]
     digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
     return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **columns, "groups_sha256": digests, **({"groups": texts} if groups else {})})
