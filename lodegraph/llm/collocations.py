@@ -1,6 +1,6 @@
 """Phrase collocations from word-id suffix arrays.
 
-Each task reads its texts as shards of about SHARD_BYTES: words become ids, prefix doubling in numpy sorts the suffixes
+Each task reads its texts as shards of about SHARD_CHARS letters: words become ids, prefix doubling in numpy sorts the suffixes
 of the id sequence, and the intervals of their longest common prefixes are its n-grams with their counts, which Spark
 sums by language and phrase. An n-gram can only reach min_count if its words and its pairs of words do, so there are three
 rounds: words; pairs of words that reached it; longer phrases within runs of such pairs. What reached it is looked up in
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm import sorted_counts
 from lodegraph.llm.common import written
 
-LONGEST, MIN_COUNT, TOP, SHARD_BYTES, SLICE_CHARS, PARTS = 5, 100, 2000, 8 << 20, 1 << 20, 64
+LONGEST, MIN_COUNT, TOP, SHARD_CHARS, SLICE_ROWS, PARTS = 5, 100, 2000, 6 << 20, 1 << 17, 64
 UNKNOWN = "und"
 
 _BREAK, _SPACE = 1, 2
@@ -98,13 +99,18 @@ class Shard:
         breaks = np.concatenate(([0], np.cumsum(kind == _BREAK)))
         last = np.flatnonzero(np.diff(breaks[starts], append=-1))  # words that end a piece
         self.seq = np.insert(same.astype(np.int64) + 1, last + 1, 0)
-        self._words: dict[int, str] = {}
 
-    def word(self, i: int) -> str:
-        """The word of an id, less one."""
-        if i not in self._words:
-            self._words[i] = self.buf[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "surrogatepass")
-        return self._words[i]
+    def phrases(self, ids: np.ndarray) -> pa.Array:
+        """Phrases by the ids (less one) of their words, a row a phrase, as UTF-8 with one space between words."""
+        n, k = ids.shape
+        begin, size = self.starts[ids].ravel(), (self.ends - self.starts)[ids].ravel()
+        inner = np.tile(np.arange(k) < k - 1, n)  # words with a space behind them
+        taken = size + inner
+        ends = np.cumsum(taken)
+        data = self.buf[np.arange(ends[-1] if n else 0) - np.repeat(ends - taken - begin, taken)]
+        data[(ends - 1)[inner]] = 32
+        offsets = np.concatenate(([0], ends[k - 1 :: k])).astype(np.int32)
+        return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
     def without(self, known: np.ndarray) -> np.ndarray:
         """The sequence with a 0 for each word of which known (by id less one) is false."""
@@ -155,17 +161,17 @@ def grams(seq: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndar
         yield k, order[begins[kept]], n[kept]
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], list[str]]]:
-    """Texts and languages of about SHARD_BYTES letters."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """Texts and languages of about SHARD_CHARS letters."""
     texts, langs, size = [], [], 0
-    for pdf in batches:
-        for t, lang in zip(pdf["text"], pdf["lang"], strict=True):
+    for batch in batches:
+        for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not t:
                 continue
             texts.append(t)
             langs.append(UNKNOWN if lang is None else lang)
             size += len(t)
-            if size >= SHARD_BYTES:
+            if size >= SHARD_CHARS:
                 yield texts, langs
                 texts, langs, size = [], [], 0
     if texts:
@@ -175,20 +181,19 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], list[s
 def _count(docs: DataFrame, least: int, most: int, words: sorted_counts.Counts | None, pairs: sorted_counts.Counts | None) -> DataFrame:
     """lang, k, phrase, n: counts of phrases of least to most words, summed; those made of known words and pairs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, langs in _slices(batches):
             shard = Shard(texts, langs)
             seq = shard.seq if words is None else shard.without(words(shard.keys) > 0)
             seq = seq if pairs is None else shard.cut(seq, pairs)
+            names = pa.array(shard.names, pa.string())
             for k, at, n in grams(seq, least, most):
-                for i in range(0, len(at), SLICE_CHARS):
-                    some = at[i : i + SLICE_CHARS]
-                    ids = [(seq[some + j] - 1).tolist() for j in range(k)]
-                    parts = [list(map(shard.word, x)) for x in ids]
-                    phrases = parts[0] if k == 1 else list(map(" ".join, zip(*parts, strict=True)))
-                    yield pd.DataFrame({"lang": np.array(shard.names, object)[shard.lang[ids[0]]], "k": np.full(len(some), k, np.int32), "phrase": phrases, "n": n[i : i + SLICE_CHARS]})
-
-    return docs.mapInPandas(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+                for i in range(0, len(at), SLICE_ROWS):
+                    ids = seq[at[i : i + SLICE_ROWS, None] + np.arange(k)] - 1
+                    columns = [names.take(pa.array(shard.lang[ids[:, 0]])), pa.array(np.full(len(ids), k, np.int32)), shard.phrases(ids), pa.array(n[i : i + SLICE_ROWS])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
+
+    return docs.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _known(found: DataFrame, k: int, what: str) -> sorted_counts.Counts:
