@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import sorted_counts
 
-HELD_BYTES, UNIT_BYTES, UNIT_CHARS, RUN_UNITS, BLOCK_CHARS = 80 << 20, 400, 200, 2000, 4 << 20
+HELD_BYTES, UNIT_BYTES, UNIT_CHARS, RUN_UNITS, BLOCK_CHARS = 160 << 20, 400, 200, 4000, 6 << 20
 SPACE_MARK = "▁"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
