@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +69,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-MIN_NODES, MAX_NODES = 10, 1500
+MIN_NODES, MAX_NODES, MEMBERS = 10, 1500, 1000
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 400) -> DataFrame:
@@ -134,36 +130,17 @@ def modularity(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return each.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("total") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def community_rows(labels: DataFrame) -> DataFrame:
-    """key c0, c1, ... largest first (ties: least member), node_ids and size."""
-    rows = labels.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("node_ids"), F.count(F.lit(1)).alias("size"))
-    return with_ids(rows, F.col("size").desc(), F.col("label")).select(F.concat(F.lit("c"), F.col("id") - 1).alias("key"), "node_ids", "size")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """id, other, distance, rank: the k nearest vectors of each query by cosine distance (6 decimals), ties by other.
-
-    vectors and queries: id, embedding. Queries are dealt into blocks of some block rows; each batch of vectors meets
-    each block as one matrix product and keeps the block's k best, which are then merged by query: exact, and what is
-    held at once is one batch and one block."""
-    n = queries.count()
-    dealt = queries.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, n // block))))
-    blocks = dealt.groupBy("block").agg(F.collect_list("id").alias("q_ids"), F.collect_list("embedding").alias("q_vectors"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, rows in pdf.groupby("block", sort=False):
-                q, v = np.stack(rows["q_vectors"].iloc[0]).astype(float), np.stack(rows["embedding"].to_list()).astype(float)
-                ids, other = np.asarray(rows["q_ids"].iloc[0], np.int64), rows["id"].to_numpy(np.int64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.round(1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]), 6)
-                d[~np.isfinite(d) | (ids[:, None] == other[None])] = np.inf
-                at = np.lexsort((np.broadcast_to(other, d.shape), d))[:, :k]
-                kept = np.take_along_axis(d, at, 1)
-                ok = np.isfinite(kept)
-                yield pd.DataFrame({"id": np.broadcast_to(ids[:, None], at.shape)[ok], "other": other[at][ok], "distance": kept[ok]})
-
-    # each row of vectors meets each block of queries, not each query
-    met = vectors.where("embedding is not null").select("id", "embedding").crossJoin(blocks)
-    found = met.mapInPandas(best, "id long, other long, distance double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+def membership(labels: DataFrame) -> DataFrame:
+    """id and key of each node: c0, c1, ... largest community first (ties: least member)."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    keys = with_ids(sizes, F.col("size").desc(), F.col("label")).select("label", F.concat(F.lit("c"), F.col("id") - 1).alias("key"), "size")
+    return labels.join(keys, "label").select("id", "key", "size")
+
+
+def community_rows(labels: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """key (as in membership), size, and node_ids: the least ids, `members` at most; membership has them all. A community
+    is picked down within hashed parts first, so a giant one is not one task's."""
+    parted = membership(labels).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    some = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    few = parted.withColumn("n", some(["key", "part"])).where(F.col("n") <= members).withColumn("n", some(["key"])).where(F.col("n") <= members)
+    return few.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("node_ids"), F.first("size").alias("size"))

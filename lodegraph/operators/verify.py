@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import collapsed
+from lodegraph.operators.spatial import meeting
 
 TOLERANCE = 5
 
@@ -17,13 +18,14 @@ def verify(citations: DataFrame, chunks: DataFrame, key: str = "cid", tolerance:
     are put together, in order, before the containment test. citations: key, path, start_line, end_line, quote.
     """
     c = citations.select(key, "path", F.col("start_line").alias("s"), F.col("end_line").alias("e"), "quote")
-    near = (F.col("start_line") <= F.col("e") + tolerance) & (F.col("end_line") >= F.col("s") - tolerance)
     over = (F.col("start_line") <= F.col("e")) & (F.col("end_line") >= F.col("s"))
     has_quote = collapsed(F.col("quote")) != ""
     parts = chunks.select("path", "start_line", "end_line", "text")
     in_path = parts.join(c.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n_path"))
-    # only chunks near the cited lines meet a citation, whatever else the path has
-    close = c.join(parts, "path").where(near).groupBy(key).agg(F.count_if(over).alias("n_overlap"), F.array_sort(F.collect_list(F.when(has_quote, F.struct("start_line", "end_line", "text")))).alias("near"))
+    # only chunks near the cited lines meet a citation, whatever else the path has, and a large file is spread over its lines
+    low, high = F.col("s") - tolerance, F.col("e") + tolerance
+    near = (F.col("start_line") <= high) & (F.col("end_line") >= low)
+    close = meeting(c, parts, "path", F.least(low, high), F.greatest(low, high), F.col("start_line"), F.col("end_line")).where(near).groupBy(key).agg(F.count_if(over).alias("n_overlap"), F.array_sort(F.collect_list(F.when(has_quote, F.struct("start_line", "end_line", "text")))).alias("near"))
     zero = F.lit(0).cast("long")
     found = c.join(in_path, "path", "left").join(close, key, "left").withColumns({"n_path": F.coalesce("n_path", zero), "n_overlap": F.coalesce("n_overlap", zero), "near": F.coalesce("near", F.array().cast("array<struct<start_line:int,end_line:int,text:string>>"))})
     hay = collapsed(F.array_join(F.transform("near", lambda x: x["text"]), "\n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lodegraph.operators import events as E
 from lodegraph.plans.registry import query
 from lodegraph.session import STATE_PROVIDER, shared_folder
 from lodegraph.sources.tables import table
-from lodegraph.streaming.fold import run_fold
+from lodegraph.streaming.fold import closed_sessions, run_fold
 
 SEQ = "s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"
 #: The events read as a run's log: agents and payloads follow from type and id.
@@ -117,14 +118,28 @@ def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, event_type AS type, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
 def stream_run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream, through keyed state, into a Parquet sink; the sink is what is read."""
+    plan = lambda log: run_fold(log.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), "value"))
+    return _streamed(spark, sf_dir, plan, "stream-run-fold").withColumn("total", F.round("total", 4))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What plan makes of the events as a stream, out of its Parquet sink."""
     schema = table(spark, sf_dir, "events").schema
-    out = f"{shared_folder(spark)}/stream-run-fold-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     try:
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
-        log = stream.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), "value")
-        run_fold(log).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+        plan(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(out).withColumn("total", F.round("total", 4))
+    return spark.read.parquet(out)
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o),
+s AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n FROM i GROUP BY user_id, k)
+SELECT * FROM s WHERE session_end <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that event-time timers have closed by the end of the stream."""
+    rows = _streamed(spark, sf_dir, lambda log: closed_sessions(log, "user_id", "ts"), "stream-sessions")
+    return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")

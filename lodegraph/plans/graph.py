@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import last_segment, parent_name
-from lodegraph.operators import communities, enrich, graph, views
+from lodegraph.operators import communities, enrich, graph, spatial, views
 from lodegraph.operators.build import build_graph
 from lodegraph.operators.tools import central, edges_by_kind
 from lodegraph.plans.registry import query
@@ -121,7 +121,7 @@ kn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return graph.nearest(e, e.where("id % 100 = 0"), 2)
+    return spatial.nearest(e, e.where("id % 100 = 0"), 2)
 
 
 @query(f"WITH {PAIRS} SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM kn")
@@ -133,6 +133,17 @@ def _knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("calls").alias("kind"), (1 - F.col("distance") / 2).alias("confidence"))
 
 
+CUTOFF = 0.05
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
+SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {CUTOFF}::DOUBLE * {CUTOFF}::DOUBLE""")
+def pairs_within_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the first two coordinates of embeddings that lie within the cutoff of each other."""
+    p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).alias("x"), F.element_at("embedding", 2).alias("y"))
+    return spatial.within(p, CUTOFF).select("a", "b", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
 COMPONENTS = f"""{PAIRS}, be AS (SELECT id AS a, other AS b FROM kn UNION SELECT other, id FROM kn), reach(a, b) AS (SELECT a, b FROM be UNION SELECT r.a, e.b FROM reach r JOIN be e ON r.b = e.a), co AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)"""
 
 
@@ -164,8 +175,7 @@ def community_summaries_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_community(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node's largest community, or null."""
     labels = graph.components(_knn_edges(spark, sf_dir)).select("id", F.col("component").alias("label"))
-    member = graph.community_rows(labels).select("key", "size", F.explode("node_ids").alias("id"))
-    first = member.groupBy("id").agg(F.min_by("key", F.struct(-F.col("size"), "key")).alias("key"))
+    first = graph.membership(labels).groupBy("id").agg(F.min_by("key", F.struct(-F.col("size"), "key")).alias("key"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).join(first, "id", "left")
 
 

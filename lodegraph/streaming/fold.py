@@ -1,8 +1,9 @@
-"""Streaming twins of the event operators: sequence and run counters by keyed state, tumbling counts by watermark."""
+"""Streaming twins of the event operators: sequence and run counters, run states and sessions by keyed state, tumbling
+counts by watermark. Events that come again are dropped in the JVM before keyed state sees them; a key's state is read and
+written once a batch."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,35 +13,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodegraph.operators.events import PHASES
 
-SEEN_MS = 24 * 3_600_000
-STATE = "seq long, total double, last_type string"
+SEEN = "24 hours"
+STATE = "seq long, total double"
+RUN_VALUE = "phase string, finished boolean, error string, findings long, accepted long, rejected long, last_seq long"
 RUN_STATE = "run_id string, phase string, finished boolean, error string, findings long, accepted long, rejected long, touched array<string>, verified array<string>, last_seq long"
 OUT = "run_id long, seq long, event_id long, type string, total double"
 
 
 class RunFold(StatefulProcessor):
     """Gives each event of a run its sequence number and the run's running total, in order of (ts, event_id) inside a
-    batch; the state of a run is one row, and the ids of events of the last SEEN_MS before its newest, so that an event
-    that comes again, in the same batch or a later one, is dropped."""
+    batch; the state of a run is one row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", STATE)
-        self.seen = handle.getMapState("seen", "event_id long", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(rows).drop_duplicates("event_id").sort_values(["ts", "event_id"])
-        pdf = pdf[[not self.seen.containsKey((int(x),)) for x in pdf["event_id"]]]
-        if pdf.empty:
-            return
-        at = pdf["ts"].astype("datetime64[ms]").astype("int64")
-        for x, ms in zip(pdf["event_id"], at, strict=True):
-            self.seen.updateValue((int(x),), (int(ms),))
-        for old in [k for k, v in self.seen.iterator() if v[0] < int(at.max()) - SEEN_MS]:
-            self.seen.removeKey(old)
-        seq, total, _ = self.state.get() if self.state.exists() else (0, 0.0, "")
-        out = pd.DataFrame({"run_id": key[0], "seq": range(seq + 1, seq + 1 + len(pdf)), "event_id": pdf["event_id"].to_numpy(), "type": pdf["type"].to_numpy(), "total": total + pdf["value"].cumsum().to_numpy()})
-        self.state.update((int(seq + len(pdf)), float(out["total"].iloc[-1]), str(out["type"].iloc[-1])))
-        yield out
+        pdf = pd.concat(rows).sort_values(["ts", "event_id"])
+        seq, total = self.state.get() or (0, 0.0)
+        sums = total + pdf["value"].cumsum().to_numpy()
+        self.state.update((int(seq + len(pdf)), float(sums[-1])))
+        yield pd.DataFrame({"run_id": key[0], "seq": range(seq + 1, seq + 1 + len(pdf)), "event_id": pdf["event_id"].to_numpy(), "type": pdf["type"].to_numpy(), "total": sums})
 
     def close(self) -> None:
         pass
@@ -48,51 +40,111 @@ class RunFold(StatefulProcessor):
 
 class RunState(StatefulProcessor):
     """The state of each run after each batch, as operators.events.fold gives it for the whole log: events at or before
-    the last sequence number are repeats and change nothing. A run's state is one row, and holds its targets."""
+    the last sequence number are repeats and change nothing. A run's counters are one row, its targets an entry each, of
+    which a batch writes only those that are new. With ttl_ms, a run that has been still for so long is forgotten."""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string")
+        self.state = handle.getValueState("state", RUN_VALUE, ttlDurationMs=self.ttl_ms)
+        self.targets = handle.getMapState("targets", "target string", "touched boolean, verified boolean", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(rows).drop_duplicates("seq").sort_values("seq").astype(object)
         pdf = pdf.where(pdf.notna(), None)
-        start = {"phase": None, "finished": False, "error": None, "findings": 0, "accepted": 0, "rejected": 0, "touched": [], "verified": [], "last_seq": 0}
-        now = json.loads(self.state.get()[0]) if self.state.exists() else start
-        touched, verified = set(now["touched"]), set(now["verified"])
-        for e in pdf[pdf["seq"] > now["last_seq"]].to_dict("records"):
-            kind, boss = e["type"], e["agent"] == "supervisor"
+        phase, finished, error, findings, accepted, rejected, last_seq = self.state.get() or (None, False, None, 0, 0, 0, 0)
+        held = {k[0]: (v[0], v[1]) for k, v in self.targets.iterator()}
+        marks = dict(held)
+        for e in pdf[pdf["seq"] > last_seq].to_dict("records"):
+            kind, boss, target = e["type"], e["agent"] == "supervisor", e["target"]
             if boss and kind in ("done", "error") and e["terminal"]:
-                now["finished"], now["phase"] = True, kind
+                finished, phase = True, kind
             elif kind == "phase" and e["phase"] in PHASES:
-                now["phase"] = e["phase"]
-            if boss and kind == "error" and now["error"] is None:
-                now["error"] = e["message"]
+                phase = e["phase"]
+            if boss and kind == "error" and error is None:
+                error = e["message"]
             hit = kind == "verdict" and e["verdict"] == "accepted"
-            now["findings"] += kind == "finding"
-            now["accepted"] += hit
-            now["rejected"] += kind == "verdict" and not hit
-            if e["target"] is not None and kind in ("tool_call", "finding"):
-                touched.add(e["target"])
-            if e["target"] is not None and hit:
-                verified.add(e["target"])
-            now["last_seq"] = int(e["seq"])
-        now["touched"], now["verified"] = sorted(touched), sorted(verified)
-        self.state.update((json.dumps(now),))
-        yield pd.DataFrame([{"run_id": key[0], **now}])
+            findings, accepted, rejected = findings + (kind == "finding"), accepted + hit, rejected + (kind == "verdict" and not hit)
+            if target is not None and (hit or kind in ("tool_call", "finding")):
+                touched, verified = marks.get(target, (False, False))
+                marks[target] = (touched or kind in ("tool_call", "finding"), verified or hit)
+            last_seq = int(e["seq"])
+        for target, mark in marks.items():
+            if held.get(target) != mark:
+                self.targets.updateValue((target,), mark)
+        now = (phase, finished, error, int(findings), int(accepted), int(rejected), last_seq)
+        self.state.update(now)
+        row = dict(zip(("phase", "finished", "error", "findings", "accepted", "rejected", "last_seq"), now, strict=True))
+        row |= {"touched": sorted(t for t, m in marks.items() if m[0]), "verified": sorted(t for t, m in marks.items() if m[1])}
+        yield pd.DataFrame([{"run_id": key[0], **row}])[[c.split()[0] for c in RUN_STATE.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
-def run_states(events: DataFrame) -> DataFrame:
+class Sessions(StatefulProcessor):
+    """A key's sessions, each given out once the watermark has passed its end, by a timer set at that end, and forgotten
+    then. State is one entry an open session: its first and last time and number of events, in microseconds."""
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "first long", "last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = pd.concat(rows)["ts"].astype("datetime64[us]").astype("int64").tolist()
+        held = {k[0]: (k[0], v[0], v[1]) for k, v in self.open.iterator()}
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted([*held.values(), *((t, t, 1) for t in times)]):
+            if merged and first <= merged[-1][1] + self.gap_us:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], last), merged[-1][2] + n)
+            else:
+                merged.append((first, last, n))
+        now = {s[0]: s for s in merged}
+        for first in held.keys() - now.keys():
+            self.open.removeKey((first,))
+        for first, session in now.items():
+            if held.get(first) != session:
+                self.open.updateValue((first,), session[1:])
+                self.handle.registerTimer(-(-(session[1] + self.gap_us) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        done = [(k[0], v[0] + self.gap_us, v[1]) for k, v in self.open.iterator() if v[0] + self.gap_us <= passed]
+        for first, _, _ in done:
+            self.open.removeKey((first,))
+        if done:
+            first, end, n = zip(*sorted(done), strict=True)
+            yield pd.DataFrame({"key": key[0], "first_us": first, "end_us": end, "n": n})
+
+    def close(self) -> None:
+        pass
+
+
+def run_states(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A stream of run states; the row with the greatest last_seq is a run's present one. events: run_id (string), seq,
     agent, type, phase, target, verdict, terminal, message. Needs the RocksDB state provider."""
-    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunState(), outputStructType=RUN_STATE, outputMode="Append", timeMode="None")
+    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunState(ttl_ms), outputStructType=RUN_STATE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+def run_fold(events: DataFrame, seen: str = SEEN) -> DataFrame:
+    """events: run_id, event_id, ts, type, value; a stream. An event that comes again within `seen` of the newest time is
+    dropped, one that is older than that too. Needs the RocksDB state provider."""
+    once = events.withWatermark("ts", seen).dropDuplicatesWithinWatermark(["run_id", "event_id"])
+    return once.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
-def run_fold(events: DataFrame) -> DataFrame:
-    """events: run_id, event_id, ts, type, value; a stream. Needs the RocksDB state provider."""
-    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=RunFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
+def closed_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = 3600, late: str = "0 seconds") -> DataFrame:
+    """A stream of the sessions of each key (a long) that the watermark has passed: key, session_start, session_end, n, as
+    operators.events.sessions gives them for the whole log. Events older than the watermark that the batch before left are dropped; sessions still
+    open when the stream ends are not given. Needs the RocksDB state provider."""
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    out = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Sessions(gap_seconds * 1_000_000), outputStructType="key long, first_us long, end_us long, n long", outputMode="Append", timeMode="EventTime")
+    return out.select(F.col("key").alias(key), F.timestamp_micros("first_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "n")
 
 
 def tumbling(events: DataFrame, ts: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import enrich, evals, events, questions, sessions, tools
 from lodegraph.operators.markdown import sections
-from lodegraph.streaming.fold import live, run_fold, run_states, tumbling
+from lodegraph.streaming.fold import closed_sessions, live, run_fold, run_states, tumbling
 
 
 @pytest.mark.parametrize(
@@ -179,3 +179,44 @@ def test_entry_registers_pairs():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 60
+
+
+def _minutes(spark, rows):
+    return spark.createDataFrame(rows, "user long, minute long").select("user", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60).alias("ts"))
+
+
+def test_sessions_close_by_timers_as_in_batch(spark, tmp_path):
+    first = [(u, m) for u in range(5) for m in (0, 10, 50, 200, 230 + u)]
+    second = [(u, m) for u in range(4) for m in (240, 285, 600, 601)] + [(9, 700), (9, 1000)]
+    got = _streamed(spark, [_minutes(spark, first), _minutes(spark, second), _minutes(spark, [(0, 2000), (1, 2000)])], tmp_path, lambda s: closed_sessions(s, "user", "ts"))
+    whole = events.sessions(_minutes(spark, first + second + [(0, 2000), (1, 2000)]), "user", "ts")
+    as_set = lambda df: {(r.user, r.session_start, r.session_end, r.n) for r in df.collect()}
+    passed = F.col("session_end") <= F.timestamp_seconds(F.lit(1_700_000_000 + 2000 * 60))
+    assert as_set(got) == as_set(whole.where(passed)) and got.count() > 12
+
+
+def test_late_events_are_dropped_and_open_sessions_merge(spark, tmp_path):
+    parts = [[(1, 0), (1, 100), (2, 500)], [(1, 450), (3, 900)], [(1, 50), (1, 505), (3, 1000)]]  # minute 50 comes after the watermark; 450 and 505 are one session
+    got = _streamed(spark, [_minutes(spark, p) for p in parts], tmp_path, lambda s: closed_sessions(s, "user", "ts"))
+    minute = lambda t: round((t.timestamp() - 1_700_000_000) / 60)
+    rows = [(r.user, minute(r.session_start), minute(r.session_end), r.n) for r in got.collect()]
+    assert sorted(rows) == [(1, 0, 60, 1), (1, 100, 160, 1), (1, 450, 565, 2), (2, 500, 560, 1), (3, 900, 960, 1)]
+
+
+def test_run_states_forget_with_a_ttl(spark, tmp_path):
+    schema = "run_id string, seq long, agent string, type string, label string, phase string, target string, verdict string, terminal boolean, message string"
+    for i, target in enumerate("xy"):
+        spark.createDataFrame([("r", i + 1, "explorer", "finding", "a", None, target, None, None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    # a stream with timers of the clock goes on without data, so it is stopped once both batches are out
+    running = run_states(stream, ttl_ms=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).start(str(tmp_path / "out"))
+    try:
+        for _ in range(120):
+            if running.awaitTermination(0.5):
+                break
+            if (tmp_path / "out" / "_spark_metadata" / "1").exists():
+                break
+    finally:
+        running.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.last_seq, r.findings, tuple(r.touched)) for r in got} == {(1, 1, ("x",)), (2, 1, ("y",))}  # the second starts anew
