@@ -68,3 +68,25 @@ def fnv1a(text: Column) -> Column:
     none = F.array().cast("array<long>")
     octets = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), byte)).otherwise(none)
     return F.when(text.isNotNull(), F.aggregate(octets, F.lit(2166136261), lambda h, b: F.pmod(h.bitwiseXOR(b) * 16777619, F.lit(1 << 32))))
+
+
+def _low_product(a: Column, b: Column) -> Column:
+    """The lower 32 bits of a product of unsigned 32-bit numbers, without passing 64 bits."""
+    return F.pmod(F.pmod(F.shiftright(a, 16) * b, F.lit(1 << 16)) * (1 << 16) + a.bitwiseAND(F.lit(0xFFFF)) * b, F.lit(1 << 32))
+
+
+def mulberry32(seed: Column, n: Column | int) -> Column:
+    """The n-th number (from 1) in [0, 1) of the Mulberry32 generator with a seed; the seed counts modulo 2^32."""
+    n = F.lit(n).cast("long") if isinstance(n, int) else n.cast("long")
+    start = F.pmod(F.pmod(seed.cast("long"), F.lit(1 << 32)) + F.pmod(n * 0x6D2B79F5, F.lit(1 << 32)), F.lit(1 << 32))
+
+    def drawn(a: Column) -> Column:
+        t = _low_product(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+
+        def mixed(t: Column) -> Column:
+            u = F.pmod(t + _low_product(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61))), F.lit(1 << 32)).bitwiseXOR(t)
+            return F.transform(F.array(u), lambda x: x.bitwiseXOR(F.shiftright(x, 14)) / F.lit(float(1 << 32)))[0]
+
+        return F.transform(F.array(t), mixed)[0]
+
+    return F.transform(F.array(start), drawn)[0]

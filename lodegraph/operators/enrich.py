@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-MAX_CHILDREN, MAX_LINES, MAX_COMMUNITIES = 30, 20, 12
+from lodegraph.session import checkpointed
+
+MAX_CHILDREN, MAX_LINES, MAX_COMMUNITIES, DOCSTRING_CHARS = 30, 20, 12, 500
 
 
 def shown(annotations: Column) -> Column:
@@ -42,10 +46,13 @@ def write_back(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
     return both.withColumn("annotations", F.when(F.col("new").isNull(), F.col("annotations")).otherwise(F.concat(F.coalesce("annotations", F.array().cast(nodes.schema["annotations"].dataType)), "new"))).drop("target", "new")
 
 
-def summary_waves(nodes: DataFrame, waves: int, summarize: Callable[[Column, Column], Column]) -> DataFrame:
-    """id, fqname, wave, summary from the leaves (wave 0) up. nodes: id, fqname, parent, wave. A node's summary is made of
-    itself and the first MAX_CHILDREN child summaries by name; summarize makes a column of them."""
+def summary_waves(nodes: DataFrame, waves: int, summarize: Callable[..., Column]) -> DataFrame:
+    """id, fqname, wave, summary from the leaves (wave 0) up. nodes: id, fqname, parent, wave, and docstring if there are
+    any. A node's summary is made of its name, the first MAX_CHILDREN child summaries by name, and, if nodes have them, the
+    first DOCSTRING_CHARS of its docstring; summarize makes a column of these. A null summary is that of a node that
+    failed: it is skipped, and its parents are summarised without it. Each wave is written, so the next one reads it."""
     done = None
+    documented = "docstring" in nodes.columns
     for wave in range(waves):
         own = nodes.where(F.col("wave") == wave)
         if done is None:
@@ -54,11 +61,29 @@ def summary_waves(nodes: DataFrame, waves: int, summarize: Callable[[Column, Col
             children = done.join(nodes.select(F.col("id"), F.col("parent").alias("of")), "id").withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("fqname")))
             kids = children.where(F.col("n") <= MAX_CHILDREN).groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "summary"))), lambda x: x["summary"]).alias("children"))
             rows = own.join(kids, own.fqname == kids.of, "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>"))).drop("of")
-        part = rows.select("id", "fqname", "wave", summarize(F.col("fqname"), F.col("children")).alias("summary"))
+        doc = [F.left(F.coalesce("docstring", F.lit("")), F.lit(DOCSTRING_CHARS))] if documented else []
+        part = rows.select("id", "fqname", "wave", summarize(F.col("fqname"), F.col("children"), *doc).alias("summary"))
+        part = checkpointed(part.where("summary is not null"))
         done = part if done is None else done.unionByName(part)
     return done
 
 
+def failing_to_null(summarize: Callable[..., str]) -> Callable[..., Column]:
+    """A function of one node's values as a column of summaries, null where it raises: one node's failure ends no wave."""
+
+    def safe(*values) -> str | None:
+        try:
+            return summarize(*values)
+        except Exception:
+            return None
+
+    @F.pandas_udf(StringType())
+    def column(*columns: pd.Series) -> pd.Series:
+        return pd.Series([safe(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return lambda *columns: column(*columns)
+
+
 def community_lines(communities: DataFrame, limit: int = MAX_COMMUNITIES) -> DataFrame:
     top = communities.where(F.col("summary").isNotNull()).orderBy(F.col("size").desc(), "key").limit(limit)
     return top.select("key", "size", F.format_string("- %s (%d): %s", "key", "size", "summary").alias("line"))

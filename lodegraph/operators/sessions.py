@@ -49,3 +49,11 @@ def latest(rows: DataFrame, at: str, *ties: str, limit: int = LATEST) -> DataFra
 def belonging(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     """Rows whose key one of the owners has."""
     return rows.join(owners.select(key), key, "left_semi")
+
+
+def questions_of(rows: DataFrame, repo: object, user: str | None = None, session: object = None, limit: int = LATEST) -> DataFrame:
+    """The latest questions of a repository that a user may see; of one session only if a session is given. rows: repo_id,
+    user_id, session_id, created_at, id."""
+    shown = visible(rows.where(F.col("repo_id") == repo), "user_id", user)
+    shown = shown if session is None else shown.where(F.col("session_id") == session)
+    return latest(shown, "created_at", "id", limit=limit)

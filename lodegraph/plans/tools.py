@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import fnv1a, iso, latency_ms
+from lodegraph.functions.text import fnv1a, iso, latency_ms, mulberry32
 from lodegraph.operators import evals, sessions, tools
 from lodegraph.operators.graph import with_ids
+from lodegraph.operators.views import walkthrough
 from lodegraph.plans.registry import query
+from lodegraph.session import shared_folder
 from lodegraph.sources.files import capped
+from lodegraph.sources.manifest import ManifestTable
 from lodegraph.sources.tables import doc_chunks, doc_lines, table
 
 
@@ -168,3 +173,56 @@ def repo_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")).join(n, "p_partkey", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
     docs = files.join(kinds.where("kind = 'doc'"), "doc_id")
     return tools.skeleton(files.select(F.col("path").alias("name"), "n"), symbols, docs.select(F.col("path").alias("name"), "n"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS source, lang, n_chars + CASE WHEN source = 'src1' AND lang = 'en' THEN 1000000 ELSE 0 END AS n_chars FROM documents)
+SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT doc_id) AS ids, CAST(count_if(lang = 'broken') AS BIGINT) AS broken FROM d GROUP BY source""")
+def store_after_failed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is written, updated by key, and written again by a run that fails half way, of which nothing is seen."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.coalesce("source", F.lit("none")).alias("source"))
+    kept = ManifestTable(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "source")
+    kept.replace(rows)
+    kept.replace(rows)  # as good as once
+    kept.update(rows.where("source = 'src1' and lang = 'en'").select("doc_id", (F.col("n_chars") + 1_000_000).alias("n_chars")), "doc_id")
+    fails = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(7)) == 0, F.raise_error(F.lit("lost half way")).cast("string")).otherwise("broken")
+    try:
+        kept.replace(rows.withColumn("lang", fails))
+    except Exception as error:
+        if "lost half way" not in str(error):
+            raise
+    return kept.read().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("lang") == "broken").alias("broken"))
+
+
+LOW = "(({a} // 65536 * ({b})) % 65536 * 65536 + {a} % 65536 * ({b})) % 4294967296"
+
+
+@query(f"""WITH a AS (SELECT c_custkey, n, (c_custkey * 2654435761 + CAST(n AS BIGINT) * 1831565813) % 4294967296 AS a FROM customer, (VALUES (1), (2)) v(n)),
+t AS (SELECT *, {LOW.format(a="xor(a, a >> 15)", b="a | 1")} AS t FROM a),
+u AS (SELECT *, xor((t + {LOW.format(a="xor(t, t >> 7)", b="t | 61")}) % 4294967296, t) AS u FROM t)
+SELECT c_custkey, n, CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296 AS draw FROM u""")
+def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two draws of a generator seeded by each customer's key."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    return c.select("c_custkey", "n", mulberry32(F.col("c_custkey") * 2654435761, F.col("n")).alias("draw"))
+
+
+@query("""SELECT doc_id, turn, text FROM (SELECT conv_id AS doc_id, turn, text, row_number() OVER (ORDER BY turn DESC, conv_id * 1000 + turn) AS r FROM conversations WHERE role = 'user' AND conv_id = 3 AND (conv_id % 4 = 0 OR conv_id % 4 = 3)) WHERE r <= 50""")
+def session_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of one session that a user may see: the filter on the session is there because one is given."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'")
+    owner = F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("u"), (F.col("conv_id") % 4).cast("string")))
+    rows = q.select(F.lit("r").alias("repo_id"), owner.alias("user_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return sessions.questions_of(rows, "r", "u3", 3).select(F.col("session_id").alias("doc_id"), F.col("created_at").alias("turn"), "text")
+
+
+@query("""WITH t AS (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS step FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(step AS INTEGER) AS step, 'See ' || n_name AS title, lower(r_name) || '.' || lower(replace(n_name, ' ', '_')) AS fqname, CASE WHEN step <> 2 THEN lower(r_name) || '/' || lower(n_name) END AS path, n_name || ' of ' || r_name AS text FROM t WHERE r_name = 'ASIA'""")
+def walkthrough_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tour of a region's nations, the third of which is not among the known nodes."""
+    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name = 'ASIA'")
+    name = F.concat_ws(".", F.lower("r_name"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    stop = F.struct("n_nationkey", F.concat(F.lit("See "), "n_name").alias("title"), name.alias("fqname"), F.concat("n_name", F.lit(" of "), "r_name").alias("text"))
+    tour = n.agg(F.array_sort(F.collect_list(stop)).alias("t")).select(F.transform("t", lambda x: F.struct(x["title"].alias("title"), x["fqname"].alias("fqname"), x["text"].alias("text"))).alias("tour"))
+    third = n.agg(F.element_at(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), 3)["n_name"].alias("third"))  # of five nations
+    nodes = n.join(F.broadcast(third), n.n_name != F.col("third")).select(name.alias("fqname"), F.concat_ws("/", F.lower("r_name"), F.lower("n_name")).alias("path"))
+    return walkthrough(tour, nodes)

@@ -12,6 +12,7 @@ from lodegraph.schemas import FILE_EXTRACT
 from lodegraph.sources.extract_js import extract_js
 from lodegraph.sources.extract_markdown import extract_markdown
 from lodegraph.sources.extract_python import extract_python
+from lodegraph.sources.tree import tree
 
 # Folders and endings that are never indexed, caps, hosts, and what a remote says of a private repository.
 SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages", ".next", ".turbo", "coverage", "vendor"]
@@ -38,26 +39,9 @@ def wanted(path: Column, suffixes: list[str] | None = None) -> Column:
     return ok & suffix.isin(suffixes or list(EXTRACTORS))
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, length of all files under root. Spark's reader leaves out files of no bytes, which still are
-    modules, so the file system is asked for those."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content", "length")
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
-    empty = []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            empty.append((f.getPath().toString(), bytearray(), 0))
-    return read.unionByName(spark.createDataFrame(empty, "path string, content binary, length long"))
-
-
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content, size of each wanted file under root."""
-    at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    relative = F.when(at.startswith(base), F.substring(at, len(base) + 1, 1 << 30)).otherwise(at)
-    return _files(spark, root).select(relative.alias("path"), "content", F.col("length").alias("size")).where(wanted(F.col("path")))
+    """path (relative), content, size of each wanted file under root; skipped folders are not entered, other files not opened."""
+    return tree(spark, root, SKIPPED_FOLDERS, SKIPPED_ENDINGS, list(EXTRACTORS)).select("path", "content", "size")
 
 
 def capped(files: DataFrame, keys: list[str], max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -68,7 +52,7 @@ def capped(files: DataFrame, keys: list[str], max_files: int = MAX_FILES, max_by
 
 def measure(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """n_files, n_bytes, fits: of all files but those of .git."""
-    return capped(_files(spark, root).where(~F.col("path").contains("/.git/")), [], max_files, max_bytes)
+    return capped(tree(spark, root, [".git"], content=False).withColumnRenamed("size", "length"), [], max_files, max_bytes)
 
 
 def extract(files: DataFrame) -> DataFrame:

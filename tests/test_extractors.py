@@ -6,7 +6,8 @@ from lodegraph.sources.extract_js import extract_js, module_name, specifier
 from lodegraph.sources.extract_markdown import extract_markdown
 from lodegraph.sources.extract_python import extract_python
 from lodegraph.sources.extract_python import module_name as py_module
-from lodegraph.sources.files import extract, measure, scan
+from lodegraph.sources.files import SKIPPED_ENDINGS, SKIPPED_FOLDERS, extract, measure, scan
+from lodegraph.sources.tree import tree
 
 PY = b'''import json, gzip as gz
 from collections import Counter as Bag
@@ -165,3 +166,18 @@ def test_scan_and_extract(spark, tmp_path):
     assert [s.fqname for s in rows["app/base.py"].symbols] == ["app.base", "app.base.Base", "app.base.Base.describe"]
     caps = measure(spark, str(tmp_path), max_files=3).first()
     assert caps.n_files == 6 and not caps.fits
+
+
+def test_tree_source_prunes_before_it_reads(spark, tmp_path):
+    files = {"a.py": "x", "empty.py": "", "README.md": "# t", "big.bin": "b", "node_modules/dep/i.js": "no", "src/deep/er/still/b.ts": "y", "src/a.min.js": "no", "src/node_modules/z.js": "no", "src/.git/config.py": "no", "src/Upper.PY": "z"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "node_modules" / "dep").chmod(0)  # cannot be listed: would raise if it were entered by another user
+    want = {"a.py": "x", "empty.py": "", "README.md": "# t", "src/deep/er/still/b.ts": "y", "src/Upper.PY": "z"}
+    for folders in (1, 3, 64):
+        rows = tree(spark, str(tmp_path), SKIPPED_FOLDERS, SKIPPED_ENDINGS, [".py", ".md", ".ts", ".js"], folders=folders).collect()
+        assert {r.path: r.content.decode() for r in rows} == want and len(rows) == len(want)
+    sizes = tree(spark, str(tmp_path), ["node_modules"], content=False).collect()
+    assert {r.path: r.size for r in sizes} == {k: len(v) for k, v in files.items() if "node_modules" not in k} and all(r.content is None for r in sizes)
+    assert {r.path for r in scan(spark, str(tmp_path)).collect()} == set(want)

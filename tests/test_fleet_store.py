@@ -22,7 +22,7 @@ def steps():
         if material["subsystem"] == "c1":
             raise RuntimeError("no")
         if not seen:
-            return {"tool": "core.add"}
+            return {"tool": "source", "arg": "core.add"}
         return {"findings": [{"target": "core.add", "kind": "role", "text": f"read {seen[0]}"}, {"target": "missing", "text": "x"}, {"target": "core.mul", "text": "bad"}]}
 
     return step  # made here, so that workers get it by value
@@ -37,6 +37,30 @@ def test_fleet(spark):
     assert fleet.supervise(*graph(spark), steps(), lambda t, s: True, "r", token_budget=1, spent=lambda: 2)[2] == ["planning"]
 
 
+def test_explorers_use_every_tool(spark):
+    nodes = spark.createDataFrame([(1, "core.add", "function", "core.py", 1), (2, "core.mul", "function", "core.py", 4), (3, "api.handle", "function", "api.py", 1), (4, "lone.x", "class", None, None)], "id long, fqname string, kind string, path string, start_line int")
+    chunks = spark.createDataFrame([(1, "core.py", 1, "def add(a, b):\n    return a + b"), (2, "core.py", 4, "def mul(a, b):\n    # adding many times\n    return a * b"), (3, "api.py", 1, "def handle(): add(1, 2)")], "node_id long, path string, start_line int, text string")
+    edges = spark.createDataFrame([(3, 1, "calls"), (3, 2, "calls"), (1, 2, "imports")], "src long, dst long, kind string")
+    subsystems = spark.createDataFrame([("c0", [1, 2]), ("c1", [3, 4])], "subsystem string, node_ids array<long>")
+    calls = [("read_file", "core.py"), ("get_node", "core.mul"), ("get_neighbors", "core.add"), ("search_graph", "time"), ("grep", r"return a \*"), ("read_file", "nowhere"), ("fly", "x"), ("grep", "(")]
+
+    def step(material, seen):
+        if material["subsystem"] == "c1" or len(seen) == len(calls):
+            return {"findings": [{"target": material["names"][0], "text": text} for text in seen or ["nothing"]]}
+        return dict(zip(("tool", "arg"), calls[len(seen)]))
+
+    rows = fleet.explore(fleet.bundle(subsystems, nodes, chunks, edges), step, max_steps=20).collect()
+    got = [r.text for r in rows if r.subsystem == "c0"]
+    assert got[0] == "def add(a, b):\n    return a + b\ndef mul(a, b):\n    # adding many times\n    return a * b"
+    assert got[1] == str({"name": "core.mul", "kind": "function", "path": "core.py", "line": 4})
+    assert got[2] == str({"in:calls": ["api.handle"], "out:imports": ["core.mul"]})
+    assert got[3] == str(["core.mul"]) and got[4] == str(["core.py:6: return a * b"])
+    assert all(x.startswith("error") for x in got[5:]) and len(got) == 8
+    assert [r.text for r in rows if r.subsystem == "c1"] == ["nothing"]
+    assert fleet.explore(fleet.bundle(subsystems, nodes, chunks, edges), step, max_steps=3).where("subsystem = 'c0'").count() == 0
+    assert fleet.explore(fleet.bundle(subsystems, nodes, chunks), step, seconds=-1).count() == 0
+
+
 def test_fleet_with_synthesis_and_limits(spark):
     communities, nodes, chunks = graph(spark)
     nodes = nodes.withColumn("kind", F.lit("function")).unionByName(spark.createDataFrame([(9, "repo", None, "repo")], f"id long, fqname string, annotations {ANN}, kind string"))
