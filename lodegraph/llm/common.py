@@ -25,12 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lodegraph-")
         shared_dir.own = path
+    if not re.match(r"\w+:", path) and spark.sparkContext.master.split("[")[0] != "local":
+        # without a scheme Spark means its default file system: name it, so that Python workers mean the same one
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return path.rstrip("/")
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The store that a URI names, and the path in it."""
-    return fs.FileSystem.from_uri(uri) if re.match(r"\w+:", uri) else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri)) if re.match(r"\w+:", uri) else (fs.LocalFileSystem(), uri)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

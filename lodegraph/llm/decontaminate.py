@@ -103,4 +103,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of documents, with all their columns, that are not contaminated."""
     gone = decontaminate(documents, benchmark, doc_id, text, item_id, item_text).where("contaminated").select(F.col("key").alias("_gone")).distinct()
-    return documents.join(gone, row_key(F.col(doc_id), F.col(text)) == F.col("_gone"), "left_anti")
+    # the row as one column, so that no name of documents meets one of these
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    return rows.join(gone, rows._key == gone._gone, "left_anti").select("row.*")

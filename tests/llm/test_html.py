@@ -105,3 +105,17 @@ def test_pages_labelled_by_hand(weights):
         right += sum(bool(k) == t.startswith("+") for k, (_, t) in zip(kept, marked))
         total += len(marked)
     assert total > 25 and right / total >= 0.9
+
+
+def test_forms_and_controls_are_left_out_wherever_they_stand(weights):
+    body = "<p>The first paragraph of the article says a good deal about it.</p>{}<p>The second paragraph goes on and ends the article.</p>"
+    want = "The first paragraph of the article says a good deal about it.\nThe second paragraph goes on and ends the article."
+    inside = [
+        "<form><p>Enter your email to subscribe</p><select><option>One</option><option>Two</select><button>Go</button></form>",
+        "<select><option>One<option>Two</select>",
+        '<form class="x"><label>Your name</label><textarea>text here</textarea><p>Send it to us now.</p></form>',
+    ]
+    for form in inside:
+        assert H.extract(weights, [f"<html><body><article>{body.format(form)}</article></body></html>"]) == [want]
+    wrapped = f'<html><body><form action="/p.aspx"><article>{body.format("<button>Go</button>")}</article></form></body></html>'
+    assert H.extract(weights, [wrapped]) == [want]

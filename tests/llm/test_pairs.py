@@ -182,3 +182,13 @@ def test_copies_keep_one_text(spark):
     rows = [(i, LONG + "\nmore words that are on a second line") for i in range(1, 40)]
     out = line_dedup(docs(spark, rows)).where(F.col("text") != "").collect()
     assert [r.doc_id for r in out] == [1]
+
+
+def test_stages_take_documents_with_names_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long, "a", "b", "c", "d"), (2, "clean text of its own", "a", "b", "c", "d"), (3, None, None, None, None, None), (2, "clean text of its own", "e", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _key string, _kept string, `row` string")
+    items = spark.createDataFrame([(7, long)], "item_id long, text string")
+    left = without_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted((r.doc_id, r._gone or "") for r in left.collect()) == [(2, "a"), (2, "e"), (3, "")]
+    assert without_near_duplicates(docs).columns == docs.columns and without_near_duplicates(docs).count() == 3

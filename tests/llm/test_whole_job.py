@@ -1,10 +1,14 @@
 """Operators where a cut once stood: the whole input counts."""
 
+import zlib
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from lodegraph.llm import packing, telephony, toxicity
+from lodegraph.llm.common import filesystem
 from lodegraph.llm.line_dedup import line_dedup
 
 
@@ -260,3 +264,30 @@ def test_line_dedup_of_a_very_long_text(spark):
     d = spark.range(2).select(F.col("id").alias("doc_id"), text.alias("text"))
     got = {r.doc_id: (r.n, r.lines_dropped) for r in line_dedup(d, counts=True).select("doc_id", F.size(F.split("text", "\n")).alias("n"), "lines_dropped").collect()}
     assert got == {0: (2 * n, 0), 1: (n, n)}
+
+
+def test_a_lost_shard_of_evidence_raises(spark):
+    texts = spark.createDataFrame([("the cat", 0), ("the dog", 1), ("a bird", None)], "text string, part int")
+    made = toxicity._sharded(toxicity.evidence(toxicity.counted(texts, 3)))
+    look = toxicity.Lookup(*made, "final")
+    gram = np.array([1, 2, 3])
+    look(gram)
+    name = f"{made[0]}/0.evidence"
+    _, file = filesystem(name)
+    toxicity.Lookup.opened.clear()
+    Path(file).write_bytes(Path(file).read_bytes()[:-8])
+    with pytest.raises(OSError):
+        look(gram)
+    Path(file).unlink()
+    with pytest.raises(OSError):
+        look(gram)
+
+
+def test_fit_rows_bounds_rows_and_not_marks(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda x, y, ridge=1.0: fitted.append(len(x)) or np.zeros(x.shape[1] + 1))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 3][:8]
+    docs = spark.createDataFrame([(i, f"word{i} {k}") for i in ids for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    toxicity.scorer(docs, labels, fit_rows=6)
+    assert fitted == [6]
