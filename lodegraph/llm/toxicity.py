@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import filesystem, shared_dir, written
 
-ORDER, DISCOUNT, FIT_ROWS, CHUNK, HELD_GRAMS, SHARD_GRAMS = 6, 0.75, 20_000, 1 << 19, 1 << 20, 1 << 20
+ORDER, DISCOUNT, FIT_ROWS, CHUNK, HELD_GRAMS, SHARD_GRAMS, HELD_BYTES = 6, 0.75, 20_000, 1 << 19, 1 << 20, 1 << 20, 128 << 20
 BROADCAST_BYTES, UNIT = 64 << 20, 1 << 32  # evidence is held in whole parts of 1 / UNIT
 COUNTS = ("n_all", "n_0", "n_1", "n_2", "n_3")  # all documents; labels 0 and 1 of fold 0, then of fold 1, which the curve is fitted to
 GRAM = "gram long, context long, pair long"
@@ -191,25 +192,35 @@ def evidence(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
 
 class Lookup:
-    """Evidence by gram from sorted shards in a folder that all executors read."""
+    """Evidence by gram from sorted shards in a folder that all executors read. sizes: the grams of each shard that was
+    written; one that is missing or short raises, so a lost file never reads as no evidence. Local files are mapped;
+    of others, HELD_BYTES at most are kept."""
 
-    opened: dict[str, np.ndarray] = {}
+    opened: OrderedDict[str, np.ndarray] = OrderedDict()
 
-    def __init__(self, path: str, shards: int, column: str) -> None:
-        self.path, self.shards, self.column = path, shards, column
+    def __init__(self, path: str, sizes: dict[int, int], shards: int, column: str) -> None:
+        self.path, self.sizes, self.shards, self.column = path, sizes, shards, column
 
     def _shard(self, shard: int) -> np.ndarray:
-        name = f"{self.path}/{shard}.evidence"
-        if name not in self.opened:
-            disk, file = filesystem(name)
-            if not disk.get_file_info(file).is_file:
-                self.opened[name] = np.zeros((3, 0), np.int64)
-            elif disk.type_name == "local":
-                self.opened[name] = np.memmap(file, np.int64, "r").reshape(3, -1)
-            else:
-                with disk.open_input_file(file) as f:
-                    self.opened[name] = np.frombuffer(f.read(), np.int64).reshape(3, -1)
-        return self.opened[name]
+        name, grams = f"{self.path}/{shard}.evidence", self.sizes.get(shard, 0)
+        if not grams:
+            return np.zeros((3, 0), np.int64)
+        if name in self.opened:
+            self.opened.move_to_end(name)
+            return self.opened[name]
+        disk, file = filesystem(name)
+        held = disk.get_file_info(file).size
+        if held != 24 * grams:
+            raise OSError(f"{name} should hold {24 * grams} bytes and has {held}")
+        if disk.type_name == "local":
+            data = np.memmap(file, np.int64, "r").reshape(3, -1)
+        else:
+            with disk.open_input_file(file) as f:
+                data = np.frombuffer(f.read(), np.int64).reshape(3, -1)
+        self.opened[name] = data
+        while len(self.opened) > 1 and sum(x.nbytes for x in self.opened.values() if not isinstance(x, np.memmap)) > HELD_BYTES:
+            self.opened.popitem(last=False)
+        return data
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         out, of = np.zeros(len(grams)), grams & (self.shards - 1)
@@ -222,8 +233,9 @@ class Lookup:
         return out
 
 
-def _sharded(found: DataFrame) -> tuple[str, int]:
-    """Folder and number (a power of two) of the shards of found, each of about SHARD_GRAMS grams."""
+def _sharded(found: DataFrame) -> tuple[str, dict[int, int], int]:
+    """Folder, grams by shard and number (a power of two) of the shards of found, each of about SHARD_GRAMS grams; one row
+    a shard passes the driver."""
     found = written(found, "toxicity-evidence")
     shards = 1 << max(0, (found.count() - 1) // SHARD_GRAMS).bit_length()
     path = f"{shared_dir(found.sparkSession)}/toxicity-shards-{uuid.uuid4().hex}"
@@ -236,10 +248,10 @@ def _sharded(found: DataFrame) -> tuple[str, int]:
         with disk.open_output_stream(part) as out:
             out.write(rows[["gram", "first", "final"]].to_numpy(np.int64).T.tobytes())
         disk.move(part, f"{folder}/{shard}.evidence")
-        return pd.DataFrame({"n": [len(rows)]})
+        return pd.DataFrame({"shard": [shard], "n": [len(rows)]})
 
-    found.withColumn("shard", F.col("gram").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(write, "n long").agg(F.sum("n")).first()
-    return path, shards
+    made = found.withColumn("shard", F.col("gram").bitwiseAND(F.lit(shards - 1))).groupBy("shard").applyInPandas(write, "shard long, n long").collect()
+    return path, {r.shard: r.n for r in made}, shards
 
 
 def features(texts: list[str | None], look: Callable[[np.ndarray], np.ndarray], order: int = ORDER) -> np.ndarray:
@@ -297,17 +309,19 @@ def scorer(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     n_marks = marks.agg(F.count(F.lit(1)).alias("n")).first().n
     marks = marks.select("doc_id", (F.col("toxic") + 2 * fold).cast("byte").alias("part"))
     train = docs.join(F.broadcast(marks) if n_marks * 24 <= broadcast_bytes else marks, "doc_id", "left")
-    path, shards = _sharded(evidence(counted(train, order)))
-    first, final = Lookup(path, shards, "first"), Lookup(path, shards, "final")
+    shards = _sharded(evidence(counted(train, order)))
+    first, final = Lookup(*shards, "first"), Lookup(*shards, "final")
 
     def score_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = features(pdf["text"].tolist(), first, order)
-            yield pd.DataFrame({"toxic": pdf["toxic"], **{f: x[:, i] for i, f in enumerate(FEATURES)}})
+            yield pd.DataFrame({**{c: pdf[c] for c in ("h", "h_text", "toxic")}, **{f: x[:, i] for i, f in enumerate(FEATURES)}})
 
     chosen = marks.where("part >= 2").orderBy(F.xxhash64("doc_id"), "doc_id", "part").limit(fit_rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", (F.col("part") - 2).cast("int").alias("toxic"))
-    rows = sample.mapInPandas(score_features, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    sample = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("h_text"), "text", (F.col("part") - 2).cast("int").alias("toxic"))
+    measured = sample.mapInPandas(score_features, "h long, h_text long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+    # ids may be repeated in documents: the bound is one of rows, so it is set behind the join
+    rows = measured.orderBy("h", "toxic", "h_text").limit(fit_rows).drop("h", "h_text").toPandas()
     rows = rows.sort_values(["toxic", *FEATURES])  # sums in one order, however the rows came
     weights = fit(rows[list(FEATURES)].to_numpy(float), rows["toxic"].to_numpy(float))
 
