@@ -39,7 +39,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page. Those of the first kind hold no mark-up either, so an unclosed one takes
 #: the rest of the page; of the second kind, a self-closing or unclosed tag takes nothing but itself.
-RAW, SKIPPED = frozenset(("script", "style")), frozenset(("noscript", "template", "iframe", "svg"))
+RAW, SKIPPED = frozenset(("script", "style")), frozenset(("noscript", "template", "iframe", "svg", "button", "select", "textarea", "datalist"))
 #: A tag that is opened inside one of these closes it first, back to the nearest of the second kind.
 CLOSES = {"p": (BLOCKS - {"body", "html"}, frozenset()), "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "tr": (frozenset(["tr"]), frozenset(["table"]))}
 DEPTH = 100  # elements nested deeper stand beside one another in paths; their text is read all the same
@@ -369,8 +369,17 @@ def label(w: dict[str, np.ndarray], pages: list[list[tuple[tuple[str, ...], str]
 
 
 def extract(w: dict[str, np.ndarray], pages: list[str | None]) -> list[str]:
-    cut = [blocks(p) for p in pages]
-    return ["\n".join(t for (_, t), keep in zip(page, kept, strict=True) if keep) for page, kept in zip(cut, label(w, cut), strict=True)]
+    cut = [unwrapped(blocks(p)) for p in pages]
+    return ["\n".join(t for (path, t), keep in zip(page, kept, strict=True) if keep and "form" not in path) for page, kept in zip(cut, label(w, cut), strict=True)]
+
+
+def unwrapped(page: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
+    """A page's blocks; a form around more than half of its text is the page's own wrapper and goes from the paths, all
+    others are left out of the main text wherever they stand."""
+    inside = sum(len(t) for path, t in page if "form" in path)
+    if 2 * inside <= sum(len(t) for _, t in page):
+        return page
+    return [(tuple(name for name in path if name != "form"), t) for path, t in page]
 
 
 def html_extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
