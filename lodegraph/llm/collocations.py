@@ -3,9 +3,9 @@
 Each task reads its texts as shards of about SHARD_CHARS letters: words become ids, prefix doubling in numpy sorts the suffixes
 of the id sequence, and the intervals of their longest common prefixes are its n-grams with their counts, which Spark
 sums by language and phrase. An n-gram can only reach min_count if its words and its pairs of words do, so there are three
-rounds: words; pairs of words that reached it; longer phrases within runs of such pairs. What reached it is looked up in
-sorted files of 64-bit hashes (sorted_counts.py): a chance equality there only lets an n-gram be counted in vain, as
-counts themselves are summed by the phrase. Nothing is pruned otherwise, so every count that is used is exact.
+rounds: words; keys of pairs of words that reached it; phrases within runs of such pairs. What reached it is looked up in
+sorted files of 64-bit keys (sorted_counts.py): a chance equality there only lets an n-gram be counted in vain, as the
+counts that are used are summed by the phrase itself. Nothing is pruned otherwise, so every one of them is exact.
 
 A candidate's score is that of its weakest cut, floor(1000 * a * n / (l * r)), in whole decimals of 38 digits. Candidates
 within a longer one that is as common go. The best `top` of a language are found by hashed parts of it first, so that no
@@ -116,12 +116,13 @@ class Shard:
         """The sequence with a 0 for each word of which known (by id less one) is false."""
         return np.where(np.concatenate(([False], known))[self.seq], self.seq, 0)
 
+    def pair_keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _joined(self.lang_hash[self.lang[a]], self.hashes[a], self.hashes[b])
+
     def cut(self, seq: np.ndarray, pairs: sorted_counts.Counts) -> np.ndarray:
         """seq with a 0 put in between words that are not a known pair."""
         at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-        a, b = seq[at] - 1, seq[at + 1] - 1
-        keys = _joined(self.lang_hash[self.lang[a]], self.hashes[a], self.hashes[b])
-        distinct, same = np.unique(keys, return_inverse=True)
+        distinct, same = np.unique(self.pair_keys(seq[at] - 1, seq[at + 1] - 1), return_inverse=True)
         return np.insert(seq, at[(pairs(distinct) == 0)[same]] + 1, 0)
 
 
@@ -196,16 +197,32 @@ def _count(docs: DataFrame, least: int, most: int, words: sorted_counts.Counts |
     return docs.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _known(found: DataFrame, k: int, what: str) -> sorted_counts.Counts:
-    """Phrases of k words as sorted hashes that tasks look up."""
+def _known_words(words: DataFrame) -> sorted_counts.Counts:
+    """Words as sorted keys that tasks look up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lang = np.array([text_hash(x) for x in pdf["lang"]], np.uint64)
-            words = [np.array([text_hash(x) for x in column], np.uint64) for column in zip(*[p.split(" ") for p in pdf["phrase"]], strict=True)] or [np.zeros(0, np.uint64)] * k
-            yield pd.DataFrame({"key": _joined(lang, *words), "n": pdf["n"]})
+            lang, word = (np.array([text_hash(x) for x in pdf[c]], np.uint64) for c in ("lang", "phrase"))
+            yield pd.DataFrame({"key": _joined(lang, word), "n": pdf["n"]})
+
+    return sorted_counts.write(words.select("lang", "phrase", "n").mapInPandas(run, "key long, n long"), "collocation-known-words")
+
+
+def _known_pairs(docs: DataFrame, words: sorted_counts.Counts, min_count: int) -> sorted_counts.Counts:
+    """The keys of pairs of known words that are found min_count times, summed by key alone: of two pairs with one key the
+    counts are added up, so no pair is missed; those let through in vain fall out when phrases are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in _slices(batches):
+            shard = Shard(texts, langs)
+            seq = shard.without(words(shard.keys) > 0)
+            for _, at, n in grams(seq, 2, 2):
+                keys = shard.pair_keys(seq[at] - 1, seq[at + 1] - 1)
+                for i in range(0, len(at), SLICE_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + SLICE_ROWS]), pa.array(n[i : i + SLICE_ROWS])], ["key", "n"])
 
-    return sorted_counts.write(found.where(F.col("k") == k).select("lang", "phrase", "n").mapInPandas(run, "key long, n long"), what)
+    sums = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return sorted_counts.write(sums.where(F.col("n") >= min_count), "collocation-known-pairs")
 
 
 def frequent(documents: DataFrame, lang: str = "lang", text: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -215,13 +232,9 @@ def frequent(documents: DataFrame, lang: str = "lang", text: str = "text", min_c
     every = written(_count(docs, 1, 1, None, None), "collocation-words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     words = every.where(often)
-    known_words = _known(words, 1, "collocation-known-words")
-    pairs = written(_count(docs, 2, 2, known_words, None).where(often), "collocation-pairs")
-    known_pairs = _known(pairs, 2, "collocation-known-pairs")
-    found = words.unionByName(pairs)
-    if longest > 2:
-        found = found.unionByName(written(_count(docs, 3, longest, known_words, known_pairs).where(often), "collocation-phrases"))
-    return found, totals
+    known = _known_words(words)
+    pairs = _known_pairs(docs, known, min_count)
+    return words.unionByName(written(_count(docs, 2, longest, known, pairs).where(often), "collocation-phrases")), totals
 
 
 def _part(first: Column | int, n: Column | int) -> Column:
