@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.verify import verify
+from lodegraph.session import checkpointed
+
+CITED = "array<struct<path:string,start_line:int,end_line:int,quote:string>>"
+CHECKED = "array<struct<path:string,start_line:int,end_line:int,quote:string,verified:boolean,reason:string>>"
+
 # How many items each type of question retrieves.
 TOP_K = {"architecture": 15, "onboarding": 15, "specific_symbol": 8, "how_to": 10, "comparison": 12, "general": 10}
 GLOBAL = ("architecture", "onboarding")
@@ -51,3 +58,45 @@ def answer(question: str, retrieve: Callable[[str], list], synthesize: Callable[
         text, citations = synthesize(question, items, [why for ok, why in verdicts if not ok])
         verdicts = check(citations)
     return {"text": text, "answerable": True, "citations": [{"citation": c, "verified": ok, "reason": why} for c, (ok, why) in zip(citations, verdicts, strict=True)], "fully_verified": all(ok for ok, _ in verdicts)}
+
+
+def answer_all(questions: DataFrame, items: DataFrame, chunks: DataFrame, synthesize: Callable[[str, list[dict], list[str]], tuple[str, list[tuple]]]) -> DataFrame:
+    """answer() for all questions at once: question, answer, answerable, citations (with verified and reason) and
+    fully_verified. Every question is synthesized in a task, all citations of all drafts are verified by one join, and
+    only questions with a failed citation are synthesized and verified again, with the reasons.
+
+    questions: question (an id), text; items: question, rank0 and what was retrieved for it (a bounded top-k); chunks: as
+    verify takes them; synthesize gives a text and citations (path, start_line, end_line, quote)."""
+    kind = questions.schema["question"].dataType.simpleString()
+    found = [c for c in items.columns if c not in ("question", "rank0")]
+    each = items.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank0", F.struct(*found).alias("item")))).alias("items"))
+    asked = checkpointed(questions.select("question", "text").join(each, "question", "left"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for question, text, held, reasons in zip(pdf["question"], pdf["text"], pdf["items"], pdf["reasons"], strict=True):
+                answer, citations = synthesize(text, [x["item"] for x in held], list(reasons))
+                rows.append((question, answer, [dict(zip(("path", "start_line", "end_line", "quote"), c, strict=True)) for c in citations]))
+            yield pd.DataFrame(rows, columns=["question", "answer", "citations"])
+
+    def written(rows: DataFrame) -> DataFrame:
+        return checkpointed(rows.select("question", "text", "items", "reasons").mapInPandas(run, f"question {kind}, answer string, citations {CITED}"))
+
+    first = _checked(written(asked.where("items is not null").withColumn("reasons", F.array().cast("array<string>"))), chunks)
+    failed = first.where("not fully_verified").select("question", F.transform(F.filter("citations", lambda c: ~c["verified"]), lambda c: c["reason"]).alias("reasons"))
+    again = _checked(written(asked.join(failed, "question")), chunks)
+    none = asked.where("items is null").select("question", F.lit("").alias("answer"), F.array().cast(CHECKED).alias("citations"), F.lit(True).alias("fully_verified"), F.lit(False).alias("answerable"))
+    done = first.where("fully_verified").unionByName(again).withColumn("answerable", F.lit(True))
+    return done.unionByName(none).select("question", "answer", "answerable", "citations", "fully_verified")
+
+
+def _checked(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Drafts with each citation's verdict, in the order given."""
+    each = drafts.select("question", F.posexplode("citations").alias("at", "c")).select(F.struct("question", "at").alias("cid"), "c.*")
+    verdicts = verify(each, chunks).select("cid", "verified", "reason")
+    held = each.join(verdicts, "cid").select("cid.question", F.struct("cid.at", "path", "start_line", "end_line", "quote", "verified", "reason").alias("c"))
+    per = held.groupBy("question").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.dropFields("at")).alias("checked"))
+    out = drafts.select("question", "answer").join(per, "question", "left")
+    cited = F.coalesce("checked", F.array().cast(CHECKED))
+    return checkpointed(out.select("question", "answer", cited.alias("citations"), F.forall(cited, lambda c: c["verified"]).alias("fully_verified")))

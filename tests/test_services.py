@@ -260,6 +260,36 @@ def test_run_states_forget_with_a_ttl(spark, tmp_path):
     assert {(r.last_seq, r.findings, tuple(r.touched)) for r in got} == {(1, 1, ("x",)), (2, 1, ("y",))}  # the second starts anew
 
 
+def test_all_answers_at_once_equal_one_by_one(spark):
+    chunks = spark.createDataFrame([("a.py", 1, 5, "def add(x):\n    return x"), ("b.py", 1, 5, "def mul(x):\n    return x * 2")], "path string, start_line int, end_line int, text string")
+    items = [("q1", 0, "a.py"), ("q1", 1, "b.py"), ("q2", 0, "b.py"), ("q3", 0, "a.py"), ("q5", 0, "a.py")]
+    asked = [("q1", "add and mul"), ("q2", "mul"), ("q3", "always wrong"), ("q4", "nothing found"), ("q5", "cites nothing")]
+
+    def synthesize(question, found, reasons):
+        if question == "cites nothing":
+            return "none", []
+        if question == "always wrong":
+            return f"wrong {len(reasons)}", [("gone.py", 1, 2, None)]
+        good = [(x["path"], 1, 2, "return x") for x in found]
+        return (f"again: {reasons[0]}", good[:1]) if reasons else ("draft", [*good, ("a.py", 900, 901, None)] if question == "add and mul" else good)
+
+    from lodegraph.operators.verify import verify
+
+    def one_by_one(qid, text):
+        def check(citations):
+            rows = spark.createDataFrame([(i, *c) for i, c in enumerate(citations)], "cid int, path string, start_line int, end_line int, quote string")
+            return [(r.verified, r.reason) for r in verify(rows, chunks).orderBy("cid").collect()]
+
+        return questions.answer(text, lambda _: [{"path": p} for q, _, p in items if q == qid], synthesize, check)
+
+    got = {r.question: r for r in questions.answer_all(spark.createDataFrame(asked, "question string, text string"), spark.createDataFrame(items, "question string, rank0 int, path string"), chunks, synthesize).collect()}
+    for qid, text in asked:
+        want, r = one_by_one(qid, text), got[qid]
+        assert (r.answer, r.answerable, r.fully_verified) == (want["text"], want["answerable"], want["fully_verified"])
+        assert [((c.path, c.start_line, c.end_line, c.quote), c.verified, c.reason) for c in r.citations] == [(c["citation"], c["verified"], c["reason"]) for c in want["citations"]]
+    assert got["q1"].fully_verified and not got["q3"].fully_verified and len(got) == 5
+
+
 def test_entry_leaves_out_operators_that_cannot_be_imported():
     code = """
 import sys, warnings
