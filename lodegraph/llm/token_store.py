@@ -1,7 +1,9 @@
 """Token-ID output: shards of raw ids with a minimal perfect hash index from document keys to offsets.
 
-A shard file is a header, the ids of its documents end to end (little-endian, 2 or 4 bytes each), the keys in file
-order, the levels of the hash, and per hash slot a fingerprint, an offset, a length and how many rows have that key.
+A shard file is a header, the ids of its documents end to end (little-endian, 2 or 4 bytes each), of each document in file
+order its key, offset and length, of each hash slot a fingerprint, a row and how many rows have that key, and the levels
+of the hash with samples of their ranks. get() finds a key's rows by reads of fixed size: the store's bounds name its
+part, the part's index its shard, and the hash its row.
 Texts are encoded where they are read, and their ids, not they, are shuffled: dealt by ranges of doc_id, whose bounds are
 quantiles; the rows of an id, or of null, that fills several ranges spread over them by a hash of their ids. The files, in order of their names, hold ascending
 doc_ids; a file is written under an attempt's own name and then renamed, so a task may run again. Each task closes a
@@ -14,7 +16,7 @@ or with an added token's string, is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and has a key of its own; rows with
 the same doc_id stand side by side, in order of a hash of their ids, and lookups give them all; rows repeated are written each;
-very long texts and lines without spaces are encoded whole; other columns are ignored.
+very long texts and lines without spaces are encoded whole; doc_ids have to be whole numbers, others raise; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ from pyspark.sql import functions as F
 from lodegraph.llm import perfect_hash
 from lodegraph.llm.common import filesystem, shared_dir, written
 
-MAGIC, HEADER = b"LGIDS001", struct.Struct("<8sIIQQI")
+MAGIC, HEADER = b"LGIDS002", struct.Struct("<8sIIQQQQ")
+ROW, ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u4")]), np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 SHARD_BYTES, CACHE_BYTES, PIECE_CHARS, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 128 << 20, 100, 1 << 20, 0, 0x5EED0F0A11
 PIECE_COST = 190  # bytes that a piece takes in a table besides its own and its ids
 
@@ -55,7 +58,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         form = json.loads(self.tokenizer.to_str())
         before = form["pre_tokenizer"] or {}
-        self.bytewise = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and form["normalizer"] is None
+        # cut at lone spaces only where the file says no more than that: truncation counts over the whole text
+        self.bytewise = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and form["normalizer"] is None and form["truncation"] is None
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for piece, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(piece)  # one letter stands for one byte
@@ -135,42 +139,45 @@ def pack(ids: list[int | None], parts: list[bytes], width: int) -> bytes:
     keys = perfect_hash.mixed(_keys(ids), 7) ^ null.astype(np.uint64)
     new = np.concatenate(([True], (keys[1:] != keys[:-1]))) if len(ids) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    levels = perfect_hash.build(keys[at])
-    slot = perfect_hash.lookup(levels, keys[at])
-    table = np.zeros(len(at), [("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
+    ranked = perfect_hash.Ranked.of(perfect_hash.build(keys[at]))
+    slot = ranked.find(keys[at])
+    table = np.zeros(len(at), ENTRY)
     table["print"][slot], table["row"][slot] = perfect_hash.fingerprints(keys[at]), at
     table["rows"][slot] = np.diff(np.concatenate((at, [len(ids)])))
-    rows = np.zeros(len(ids), [("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u4")])
+    rows = np.zeros(len(ids), ROW)
     rows["id"], rows["null"], rows["offset"], rows["n"] = [x or 0 for x in ids], null, offset, n
     payload = b"".join(parts)
-    head = HEADER.pack(MAGIC, width, len(levels), len(rows), len(payload), len(table))
-    return b"".join([head, payload, rows.tobytes(), table.tobytes(), *[struct.pack("<I", len(x)) + x.tobytes() for x in levels]])
+    head = HEADER.pack(MAGIC, width, len(ranked.directory), len(rows), len(payload), len(table), len(ranked.samples))
+    return b"".join([head, payload, *[x.tobytes() for x in (rows, table, ranked.directory, ranked.samples, ranked.bits)]])
+
+
+def _hashed(doc_id: int | None) -> np.ndarray:
+    return perfect_hash.mixed(_keys([doc_id]), 7) ^ np.uint64(doc_id is None)
 
 
 class Shard:
     """An open shard: rows() in file order, and get(doc_id) by the index."""
 
     def __init__(self, data: bytes) -> None:
-        magic, self.width, n_levels, n_rows, n_bytes, n_keys = HEADER.unpack_from(data)
+        magic, self.width, n_levels, n_rows, n_bytes, n_keys, n_blocks = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at = HEADER.size
         self.ids = np.frombuffer(data, f"<u{self.width}", n_bytes // self.width, at)
         at += n_bytes
-        self.docs = np.frombuffer(data, [("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u4")], n_rows, at)
+        self.docs = np.frombuffer(data, ROW, n_rows, at)
         at += self.docs.nbytes
-        self.table = np.frombuffer(data, [("print", "<u4"), ("row", "<u4"), ("rows", "<u4")], n_keys, at)
+        self.table = np.frombuffer(data, ENTRY, n_keys, at)
         at += self.table.nbytes
-        self.levels = []
-        for _ in range(n_levels):
-            (size,) = struct.unpack_from("<I", data, at)
-            self.levels.append(np.frombuffer(data, np.uint8, size, at + 4))
-            at += 4 + size
+        directory = np.frombuffer(data, "<u8", 2 * n_levels, at).reshape(-1, 2)
+        at += directory.nbytes
+        samples = np.frombuffer(data, "<u4", n_blocks, at)
+        self.ranked = perfect_hash.Ranked(directory, samples, np.frombuffer(data, np.uint8, -1, at + samples.nbytes))
 
     def _slots(self, doc_ids: list[int | None]) -> np.ndarray:
         null = np.array([x is None for x in doc_ids], bool)
         keys = perfect_hash.mixed(_keys(doc_ids), 7) ^ null.astype(np.uint64)
-        slot = perfect_hash.lookup(self.levels, keys)
+        slot = self.ranked.find(keys)
         held = slot >= 0
         held[held] = self.table["print"][slot[held]] == perfect_hash.fingerprints(keys[held])
         return np.where(held, slot, -1)
@@ -193,6 +200,70 @@ class Shard:
         return [self.row(i) for i in range(first, first + int(self.table["rows"][slot]))]
 
 
+class OpenShard:
+    """Keyed access to a shard file without reading it: its header and the directory of its levels once, then a sample and a
+    block of bits a level, one entry of the table, and the rows and ids of the key. None of these grows with the file."""
+
+    def __init__(self, file) -> None:
+        self.file = file
+        magic, self.width, levels, self.n_rows, n_bytes, n_keys, blocks = HEADER.unpack(self._read(0, HEADER.size))
+        if magic != MAGIC:
+            raise ValueError("not a shard of token ids")
+        self.rows = HEADER.size + n_bytes
+        self.table = self.rows + self.n_rows * ROW.itemsize
+        self.samples = self.table + n_keys * ENTRY.itemsize + 16 * levels
+        self.bits = self.samples + 4 * blocks
+        self.directory = np.frombuffer(self._read(self.samples - 16 * levels, 16 * levels), "<u8").reshape(-1, 2).tolist()
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of each row of a key; no rows if the shard does not hold it."""
+        key, block = _hashed(doc_id), perfect_hash.BLOCK
+        for level, (begin, size) in enumerate(self.directory):
+            at = begin + int(perfect_hash.mixed(key, level)[0]) % size
+            bits = np.frombuffer(self._read(self.bits + at // block * (block // 8), block // 8), np.uint8)[None]
+            if bits[0, at % block >> 3] >> (7 - at % 8) & 1:
+                ahead = np.frombuffer(self._read(self.samples + 4 * (at // block), 4), "<u4")[0]
+                slot = int(ahead) + int(perfect_hash._ahead(bits, np.array([at % block]))[0])
+                return self._rows(np.frombuffer(self._read(self.table + slot * ENTRY.itemsize, ENTRY.itemsize), ENTRY)[0], key, doc_id)
+        return []
+
+    def _rows(self, entry: np.void, key: np.ndarray, doc_id: int | None) -> list[np.ndarray]:
+        if entry["print"] != perfect_hash.fingerprints(key)[0]:
+            return []
+        first, n = int(entry["row"]), int(entry["rows"])
+        rows = np.frombuffer(self._read(self.rows + first * ROW.itemsize, n * ROW.itemsize), ROW)
+        if (None if rows["null"][0] else int(rows["id"][0])) != doc_id:  # a strange key with the fingerprint of another
+            return []
+        return [np.frombuffer(self._read(HEADER.size + int(r["offset"]) * self.width, int(r["n"]) * self.width), f"<u{self.width}") for r in rows]
+
+
+def get(path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row of a key in a store: its bounds lead to the key's parts (one, but for ids with very many rows),
+    a part's index to its shards, and a shard's hash to the rows."""
+    disk, folder = filesystem(path)
+
+    def numbers(name: str) -> np.ndarray:
+        with disk.open_input_file(f"{folder}/{name}") as f:
+            return np.frombuffer(f.read(), "<i8")
+
+    null_parts, *bounds = numbers("bounds.index").tolist()
+    low, high = (0, null_parts - 1) if doc_id is None else (null_parts + int(np.searchsorted(bounds, doc_id, side)) for side in ("left", "right"))
+    out = []
+    for part in range(low, high + 1):
+        name = f"part-{part:06d}.index"
+        if not disk.get_file_info(f"{folder}/{name}").is_file:  # a part without rows
+            continue
+        ranges = numbers(name).reshape(-1, 3)  # of each shard: whether it ends with rows without an id, first and last id
+        for k in np.flatnonzero(ranges[:, 0] == 1 if doc_id is None else (ranges[:, 1] <= doc_id) & (ranges[:, 2] >= doc_id)).tolist():
+            with disk.open_input_file(f"{folder}/shard-{part:06d}-{k:06d}.ids") as f:
+                out += OpenShard(f).get(doc_id)
+    return out
+
+
 def encoded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", also: Callable[[pd.DataFrame], pd.DataFrame] | None = None, columns: str = "") -> DataFrame:
     """doc_id and ids (bytes, the end id last) of each row, and what also adds to a batch of them (columns: its schema)."""
 
@@ -222,7 +293,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt, width = TaskContext.get().taskAttemptId(), encoder_of(tokenizer).width
-        made, ids, parts, size, now, k = [], [], [], 0, None, 0
+        made, ids, parts, size, now, k, ranges = [], [], [], 0, None, 0, []
         disk, folder = filesystem(path)
         disk.create_dir(folder, recursive=True)
 
@@ -233,11 +304,22 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                 out.write(pack(ids, parts, width))
             disk.move(own, f"{folder}/{name}")
             made.append((now, name, len(ids), sum(map(len, parts)) // width))
+            known = [x for x in ids if x is not None]
+            ranges.append((int(len(known) < len(ids)), *((known[0], known[-1]) if known else (1, 0))))
+
+        def index() -> None:
+            own = f"{folder}/_attempt-{attempt}-part-{now:06d}.index"
+            with disk.open_output_stream(own) as out:
+                out.write(np.array(ranges, "<i8").tobytes())
+            disk.move(own, f"{folder}/part-{now:06d}.index")
+            ranges.clear()
 
         for pdf in batches:
             for part, key, data in zip(pdf["part"], pdf["doc_id"], pdf["ids"], strict=True):
                 if ids and (size >= shard_bytes or part != now):
                     close()
+                    if part != now:
+                        index()
                     ids, parts, size, k = [], [], 0, k + 1 if part == now else 0
                 now = int(part)
                 ids.append(None if pd.isna(key) else int(key))
@@ -245,6 +327,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                 size += len(data)
         if ids:
             close()
+            index()
         yield pd.DataFrame(made, columns=["part", "shard", "n_docs", "n_tokens"])
 
     spark = documents.sparkSession
@@ -253,6 +336,10 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
     probe = documents.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"), F.percentile_approx(key, [i / n_parts for i in range(1, n_parts)] or [1.0]).alias("bounds")).first()
     bounds = np.array(probe.bounds or [], np.int64)
     null_parts = -(-n_parts * (probe.n - probe.known) // max(probe.n, 1))
+    disk, folder = filesystem(path)
+    disk.create_dir(folder, recursive=True)
+    with disk.open_output_stream(f"{folder}/bounds.index") as out:  # one number a part
+        out.write(np.concatenate(([null_parts], bounds)).astype("<i8").tobytes())
     dealt = encoded(documents, tokenizer, doc_id, text, deal, ", part int, h long")
     ordered = dealt.repartitionById(null_parts + len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "h")
     return ordered.select("part", "doc_id", "ids").mapInPandas(run, "part int, shard string, n_docs long, n_tokens long")

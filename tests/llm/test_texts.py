@@ -1,14 +1,18 @@
 """Secrets, licences, toxicity, HTML, telephony, packing, token store and pipeline on small and odd inputs."""
 
 import hashlib
+import json
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import lodegraph.llm.html_extract as H
 from lodegraph.llm import packing, perfect_hash, telephony, token_store, toxicity
@@ -334,3 +338,80 @@ def test_pipeline(spark, tmp_path):
     assert sum(not r["text"] for r in seen["simhash"].values()) == 1 and seen["simhash"][100]["text"] == copies
     assert 300 not in seen["decontaminate"] and set(seen["packing"]) == set(seen["decontaminate"])
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == set(seen["packing"]) and P.ORACLE_SQL is None
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.steps, self.bytes = data, 0, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, size):
+        self.steps, self.bytes = self.steps + 1, self.bytes + size
+        return self.data[self.at : self.at + size]
+
+
+def test_keyed_access_reads_as_little_of_a_large_shard():
+    cost = []
+    for n in (10_000, 1_000_000):
+        file = Counted(token_store.pack(list(range(7, 7 + 3 * n, 3)), [b"\1\0\2\0"] * n, 2))
+        shard = token_store.OpenShard(file)
+        opened = file.bytes
+        steps = []
+        for key in range(7, 7 + 3 * n, 3 * n // 400):
+            before = file.steps, file.bytes
+            assert [x.tolist() for x in shard.get(key)] == [[1, 2]]
+            steps.append((file.steps - before[0], file.bytes - before[1]))
+            assert shard.get(key + 1) == []
+        cost.append((opened, max(s for s, _ in steps), sum(s for s, _ in steps) / len(steps), max(b for _, b in steps)))
+    assert cost[1][0] < 500 and cost[1][2] < 1.2 * cost[0][2] < 12 and cost[1][3] < 1000, cost
+
+
+def test_ranks_by_blocks_are_the_ranks():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000)).astype(np.uint64)
+    levels = perfect_hash.build(keys)
+    ranked = perfect_hash.Ranked.of(levels)
+    ones, want = 0, {}
+    for level, packed in enumerate(levels):
+        bits = np.unpackbits(packed)
+        for k in keys:
+            slot = int(perfect_hash.mixed(np.array([k]), level)[0]) % len(bits)
+            if int(k) not in want and bits[slot]:
+                want[int(k)] = ones + int(bits[:slot].sum())
+        ones += int(bits.sum())
+        if level == 2:
+            break
+    got = dict(zip(keys.tolist(), ranked.find(keys).tolist()))
+    assert all(got[k] == v for k, v in want.items()) and sorted(got.values()) == list(range(len(keys)))
+
+
+def test_a_store_gives_the_rows_of_any_key(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i * 7 - 300, f"text {i} of the store") for i in range(200)] + [(5, f"many {i}") for i in range(150)] + [(None, "no id"), (None, None), (1 << 62, "")]
+    token_store.write(docs(spark, rows).repartition(5), f"file://{tmp_path}/store", path, shard_bytes=300).collect()
+    plain = token_store.Encoder(path)
+    want = {}
+    for key, text in rows:
+        want.setdefault(key, []).append([*plain.tokenizer.encode(text or "", add_special_tokens=False).ids, 0])
+    for key in [None, 5, -300, 1 << 62, *[r[0] for r in rows[:200:17]]]:
+        assert sorted(x.tolist() for x in token_store.get(f"file://{tmp_path}/store", key)) == sorted(want[key])
+    assert token_store.get(f"file://{tmp_path}/store", 6) == [] and token_store.get(f"file://{tmp_path}/store", -(1 << 60)) == []
+
+
+def test_encoder_follows_the_file(tmp_path):
+    base = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    base["pre_tokenizer"]["use_regex"] = False
+    loose = tmp_path / "loose.json"
+    loose.write_text(json.dumps(base))
+    cut = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cut.enable_truncation(4)
+    cut.save(str(tmp_path / "cut.json"))
+    texts = ["some words in a line, and more of them", "one\ntwo three four five six"]
+    for name in ("loose.json", "cut.json"):
+        own = Tokenizer.from_file(str(tmp_path / name))
+        ids = [np.frombuffer(x, f"<u{2}").tolist() for x in token_store.Encoder(str(tmp_path / name)).encode(texts)]
+        assert ids == [own.encode(t, add_special_tokens=False).ids for t in texts]
