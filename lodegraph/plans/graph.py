@@ -10,7 +10,7 @@ from lodegraph.operators import communities, enrich, graph, spatial, views
 from lodegraph.operators.build import build_graph
 from lodegraph.operators.tools import central, edges_by_kind
 from lodegraph.plans.registry import query
-from lodegraph.plans.text import sample_files
+from lodegraph.plans.text import SYMBOLS, source_files
 from lodegraph.session import checkpointed
 from lodegraph.sources.files import extract
 from lodegraph.sources.tables import dimension_nodes, order_edges, table
@@ -59,11 +59,21 @@ def edges_inherits_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolved(bases, index, "base", dotted=False).select("child", "base", "target", "confidence")
 
 
-@query("""SELECT * FROM (VALUES ('app.service', 'app.base'), ('app.service', 'app.base'), ('app.main', 'app.util.io'), ('app.main', 'app')) v(importer, dst)""")
+@query("""WITH n AS (SELECT n_nationkey, r_regionkey, lower(r_name) AS r, lower(replace(n_name, ' ', '_')) AS n FROM nation JOIN region ON n_regionkey = r_regionkey),
+i AS (SELECT s_name AS importer, r_regionkey, s_suppkey, r, n FROM supplier JOIN n ON s_nationkey = n_nationkey)
+SELECT importer, CASE WHEN s_suppkey % 3 = 1 OR r_regionkey % 2 = 1 THEN r || '.' || n ELSE r END AS dst FROM i WHERE s_suppkey % 3 <> 2""")
 def import_edges_exact_or_deeper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("app.service", "app.base", "Base"), ("app.service", "app.base", None), ("app.main", "app.util", "io"), ("app.main", "os", "path"), ("app.main", "app", "nothing"), ("app.main", "nowhere", "*")]
-    modules = spark.createDataFrame([("app",), ("app.base",), ("app.service",), ("app.util.io",)], "module string")
-    return graph.import_edges(spark.createDataFrame(rows, "importer string, module string, imported string"), modules)
+    """Suppliers import their nation out of its region, the nation itself, or what nobody knows; only every other region is
+    a module, so imports out of the others are of the nation below."""
+    t = lambda n: table(spark, sf_dir, n)
+    region = t("region").select("r_regionkey", F.lower("r_name").alias("r"))
+    nation = t("nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_regionkey", "r", F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("n"))
+    full = F.concat_ws(".", "r", "n")
+    modules = nation.select(full.alias("module")).unionByName(region.where("r_regionkey % 2 = 0").select(F.col("r").alias("module")))
+    rows = t("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey") % 3
+    imports = rows.select(F.col("s_name").alias("importer"), F.when(k == 0, F.col("r")).when(k == 1, full).otherwise("os").alias("module"), F.when(k == 0, F.col("n")).when(k == 2, "path").alias("imported"))
+    return graph.import_edges(imports, modules)
 
 
 @query(f"WITH {CALLS}, e AS (SELECT dst AS id, 1 AS i, 0 AS o FROM ce UNION ALL SELECT src, 0, 1 FROM ce) SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM e GROUP BY id")
@@ -272,13 +282,14 @@ def enrichment_block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.enrichment_block(model).select("r_regionkey", "block")
 
 
-@query("""SELECT * FROM (VALUES ('app.base', 'file', 4, 0, 0), ('app.base.Base', 'class', 3, 0, 0), ('app.base.Base.describe', 'method', 2, 0, 0), ('app.service', 'file', 11, 0, 0), ('app.service.Service', 'class', 3, 0, 0), ('app.service.Service.run', 'method', 2, 0, 1), ('app.service.compute', 'function', 2, 1, 0)) v(fqname, kind, loc, fan_in, fan_out)""")
+@query(f"WITH {SYMBOLS} SELECT fqname, kind, CAST(end_line - start_line + 1 AS INTEGER) AS loc, CAST(fan_in AS INTEGER) AS fan_in, CAST(fan_out AS INTEGER) AS fan_out FROM sy")
 def build_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole build over two Python files: nodes with their metrics."""
-    python = sample_files(spark).where("path like '%.py'")
-    return build_graph(extract(python)).nodes.select("fqname", "kind", "metrics.loc", "metrics.fan_in", "metrics.fan_out")
+    """The whole build over Python files of nations and suppliers: nodes with their metrics."""
+    return build_graph(extract(source_files(spark, sf_dir, python_only=True))).nodes.select("fqname", "kind", "metrics.loc", "metrics.fan_in", "metrics.fan_out")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS n_files, CAST(7 AS BIGINT) AS n_nodes, CAST(8 AS BIGINT) AS n_edges, CAST(7 AS BIGINT) AS n_chunks")
+@query("""WITH c AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM supplier) AS s)
+SELECT n + s AS n_files, 3 * n + 4 * s AS n_nodes, 2 * n + 6 * s AS n_edges, 3 * n + 4 * s AS n_chunks FROM c""")
 def build_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_graph(extract(sample_files(spark).where("path like '%.py'"))).stats
+    """Each supplier's file has three contained symbols, one base, one import and one call; each nation's two contained ones."""
+    return build_graph(extract(source_files(spark, sf_dir, python_only=True))).stats

@@ -1,8 +1,8 @@
-"""Extraction queries over documents, pages and inline sources."""
+"""Extraction queries over documents, pages and sources made of the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions import paths, text
@@ -67,18 +67,30 @@ def first_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.first_paragraph(doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "line", "text"))
 
 
-@query("""SELECT * FROM (VALUES ('src/a/b.ts', './c', 'src.a.c', 'src.a.b'), ('src/a/b.ts', '../c', 'src.c', 'src.a.b'), ('src/a/b.ts', './d/index.ts', 'src.a.d', 'src.a.b'), ('src/a/b.ts', './c.js', 'src.a.c', 'src.a.b'),
-('src/a/b.ts', 'react', NULL, 'src.a.b'), ('src/a/b.ts', '@/lib/x', NULL, 'src.a.b'), ('index.ts', '../../x', 'x', 'index'), ('lib/index.tsx', './y', 'lib.y', 'lib')) v(importer, spec, target, module)""")
+SPECIFIERS = ["./c", "../c", "./d/index.ts", "./c.js", "react", "@/lib/x", "../../x", "../../../../y.mjs", "./index"]
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'index.ts' WHEN 1 THEN 'lib/index.tsx' ELSE 'src/p' || page_id || '/b.ts' END AS importer, ['./c', '../c', './d/index.ts', './c.js', 'react', '@/lib/x', '../../x', '../../../../y.mjs', './index'][page_id % 9 + 1] AS spec FROM pages),
+x AS (SELECT *, string_split(regexp_replace(importer, '\.tsx?$', ''), '/') AS own, string_split(regexp_replace(regexp_replace(spec, '\.(ts|js|mjs)$', ''), '/index$', ''), '/') AS parts FROM p),
+y AS (SELECT *, own[1 : greatest(len(own) - 1 - len(list_filter(parts, lambda q: q = '..')), 0)] || list_filter(parts, lambda q: q NOT IN ('.', '..')) AS target FROM x)
+SELECT page_id, importer, spec, CASE WHEN spec LIKE '.%' THEN array_to_string(target, '.') END AS target, array_to_string(CASE WHEN len(own) > 1 AND own[-1] = 'index' THEN own[1 : len(own) - 1] ELSE own END, '.') AS module FROM y""".replace("\\\\", "\\"))
 def js_specifier_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("src/a/b.ts", s) for s in ("./c", "../c", "./d/index.ts", "./c.js", "react", "@/lib/x")] + [("index.ts", "../../x"), ("lib/index.tsx", "./y")]
-    df = spark.createDataFrame(rows, "importer string, spec string")
-    return df.select("importer", "spec", paths.js_specifier(F.col("importer"), F.col("spec")).alias("target"), paths.js_module(F.col("importer")).alias("module"))
+    """Each page as a module that imports another by one of several specifiers."""
+    i = F.col("page_id")
+    importer = F.when(i % 4 == 0, "index.ts").when(i % 4 == 1, "lib/index.tsx").otherwise(F.concat(F.lit("src/p"), i.cast("string"), F.lit("/b.ts")))
+    spec = F.element_at(F.array(*[F.lit(x) for x in SPECIFIERS]), (i % len(SPECIFIERS)).cast("int") + 1)
+    df = table(spark, sf_dir, "pages").select("page_id", importer.alias("importer"), spec.alias("spec"))
+    return df.select("page_id", "importer", "spec", paths.js_specifier(F.col("importer"), F.col("spec")).alias("target"), paths.js_module(F.col("importer")).alias("module"))
 
 
-@query("""SELECT * FROM (VALUES ('app.auth.jwt', 'sibling', 1, 'app.auth.sibling'), ('app.auth.jwt', 'pkg', 2, 'app.pkg'), ('app.auth.jwt', '', 1, 'app.auth'), ('app.auth.jwt', 'x', 9, 'x'), ('run', 'y', 1, 'y')) v(importer, module, level, target)""")
+@query("""WITH c AS (SELECT c_custkey, 'n' || c_nationkey || '.' || lower(c_mktsegment) || '.c' || c_custkey AS importer, ['', 'pkg', 'pkg.deep'][c_custkey % 3 + 1] AS module, CAST(c_custkey % 5 + 1 AS INTEGER) AS level FROM customer)
+SELECT c_custkey, importer, module, level, array_to_string(string_split(importer, '.')[1 : greatest(3 - level, 0)] || CASE WHEN module = '' THEN [] ELSE [module] END, '.') AS target FROM c""")
 def relative_import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("app.auth.jwt", "sibling", 1), ("app.auth.jwt", "pkg", 2), ("app.auth.jwt", "", 1), ("app.auth.jwt", "x", 9), ("run", "y", 1)]
-    df = spark.createDataFrame(rows, "importer string, module string, level int")
+    """Each customer as a module three names deep with a relative import of one to five levels."""
+    k = F.col("c_custkey")
+    importer = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("."), F.lower("c_mktsegment"), F.lit(".c"), k.cast("string"))
+    module = F.element_at(F.array(F.lit(""), F.lit("pkg"), F.lit("pkg.deep")), (k % 3).cast("int") + 1)
+    df = table(spark, sf_dir, "customer").select("c_custkey", importer.alias("importer"), module.alias("module"), (k % 5 + 1).cast("int").alias("level"))
     return df.withColumn("target", paths.relative_module(F.col("importer"), F.col("module"), F.col("level")))
 
 
@@ -89,34 +101,59 @@ def source_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", allowed_url(F.col("url")).alias("allowed"), wanted(path).alias("indexed"))
 
 
-@query("""SELECT * FROM (VALUES ('fatal: Authentication failed for x', 'private'), ('remote: Repository not found.', 'private'), ('fatal: unable to access: timed out', 'generic')) v(stderr, outcome)""")
+SAID = ["fatal: Authentication failed for ", "remote: Repository not found. ", "fatal: unable to access: timed out ", "The requested URL returned error: 403 ", "error: RPC failed "]
+
+
+@query("""WITH s AS (SELECT conv_id, turn, ['fatal: Authentication failed for ', 'remote: Repository not found. ', 'fatal: unable to access: timed out ', 'The requested URL returned error: 403 ', 'error: RPC failed '][(conv_id + turn) % 5 + 1] || text AS stderr FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(stderr), 'authentication failed|could not read username|terminal prompts disabled|repository not found|fatal: could not read|403|404') THEN 'private' ELSE 'generic' END AS outcome FROM s""")
 def clone_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([("fatal: Authentication failed for x",), ("remote: Repository not found.",), ("fatal: unable to access: timed out",)], "stderr string")
-    return df.withColumn("outcome", clone_error(F.col("stderr")))
+    """Each turn of a conversation behind one of the things that a clone says when it fails."""
+    head = F.element_at(F.array(*[F.lit(x) for x in SAID]), ((F.col("conv_id") + F.col("turn")) % len(SAID)).cast("int") + 1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", clone_error(F.concat(head, "text")).alias("outcome"))
+
+
+BASE = "class Base{n}:\n    def describe(self):\n        return '{n}'\n"
+PYTHON = "from .base import Base{n}\n\n\nclass S{k}(Base{n}):\n    def run(self):\n        return ship{k}(1)\n\n\ndef ship{k}(x):\n    return x\n"
+SCRIPT = "import {{ Base as B }} from './base'\n\nexport class View{k} extends B {{\n  show(id) {{\n    return draw{k}(id)\n  }}\n}}\n\nexport function draw{k}(x) {{\n  return x\n}}\n"
+
+
+def _filled(form: str) -> Column:
+    """A source text with a nation's and a supplier's key put in."""
+    text = F.replace(F.lit(form.replace("{{", "{").replace("}}", "}")), F.lit("{n}"), F.col("n").cast("string"))
+    return (F.replace(text, F.lit("{k}"), F.col("k").cast("string")) if "{k}" in form else text).cast("binary")
 
 
-SOURCES = {
-    "app/service.py": "from app.base import Base\n\n\nclass Service(Base):\n    def run(self):\n        return compute(1)\n\n\ndef compute(x):\n    return x\n",
-    "app/base.py": "class Base:\n    def describe(self):\n        return 'base'\n",
-    "web/api.ts": "import { a as b } from './lib'\n\nexport class Repo extends Base {\n  find(id: string) {\n    return b(id)\n  }\n}\n\nexport const load = async () => {\n  return new Repo().find('x')\n}\n",
-    "README.md": "# Title\n\nSome text.\n\n## Use\n\nMore.\n",
-}
+def source_files(spark: SparkSession, sf_dir: str, python_only: bool = False) -> DataFrame:
+    """path and content: of each nation a Python file with a base class, of each supplier one with a class of that base and
+    a function, and one in JavaScript."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("k"))
+    files = nation.select(F.concat(F.lit("n"), "n", F.lit("/base.py")).alias("path"), _filled(BASE).alias("content"))
+    files = files.unionByName(supplier.select(F.concat(F.lit("n"), "n", F.lit("/s"), "k", F.lit(".py")).alias("path"), _filled(PYTHON).alias("content")))
+    return files if python_only else files.unionByName(supplier.select(F.concat(F.lit("web/s"), "k", F.lit(".js")).alias("path"), _filled(SCRIPT).alias("content")))
 
 
-def sample_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, bytearray(s.encode())) for p, s in SOURCES.items()], "path string, content binary")
+#: What the extractors find in these files, by the files' form.
+SYMBOLS = """sy AS (SELECT 'n' || n_nationkey || '/base.py' AS path, 'n' || n_nationkey || '.base' || x AS fqname, replace(kind, '#', '') AS kind, s AS start_line, e AS end_line, 0 AS fan_in, 0 AS fan_out, CASE WHEN x <> '' THEN 'n' || n_nationkey || '.base' || p END AS parent
+ FROM nation, (VALUES ('', 'file', 1, 4, ''), ('.Base#', 'class', 1, 3, ''), ('.Base#.describe', 'method', 2, 3, '.Base#')) v(x0, kind, s, e, p0), LATERAL (SELECT replace(x0, '#', n_nationkey::VARCHAR) AS x, replace(p0, '#', n_nationkey::VARCHAR) AS p)
+ UNION ALL SELECT 'n' || s_nationkey || '/s' || s_suppkey || '.py', 'n' || s_nationkey || '.s' || s_suppkey || x, kind, s, e, i, o, CASE WHEN x <> '' THEN 'n' || s_nationkey || '.s' || s_suppkey || p END
+ FROM supplier, (VALUES ('', 'file', 1, 11, 0, 0, ''), ('.S#', 'class', 4, 6, 0, 0, ''), ('.S#.run', 'method', 5, 6, 0, 1, '.S#'), ('.ship#', 'function', 9, 10, 1, 0, '')) v(x0, kind, s, e, i, o, p0), LATERAL (SELECT replace(x0, '#', s_suppkey::VARCHAR) AS x, replace(p0, '#', s_suppkey::VARCHAR) AS p))"""
 
 
-@query()
+@query(f"""WITH {SYMBOLS} SELECT path, kind, fqname, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, parent FROM sy
+UNION ALL SELECT 'web/s' || s_suppkey || '.js', kind, 'web.s' || s_suppkey || x, s, e, CASE WHEN x <> '' THEN 'web.s' || s_suppkey || p END
+FROM supplier, (VALUES ('', 'file', 1, 12, ''), ('.View#', 'class', 3, 7, ''), ('.View#.show', 'method', 4, 6, '.View#'), ('.draw#', 'function', 9, 11, '')) v(x0, kind, s, e, p0), LATERAL (SELECT replace(x0, '#', s_suppkey::VARCHAR) AS x, replace(p0, '#', s_suppkey::VARCHAR) AS p)""")
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(sample_files(spark)).selectExpr("path", "language", "inline(symbols)")
+    return extract(source_files(spark, sf_dir)).selectExpr("path", "inline(symbols)").select("path", "kind", "fqname", "start_line", "end_line", "parent")
 
 
-@query()
+@query("""SELECT 'n' || s_nationkey || '/s' || s_suppkey || '.py' AS path, 'n' || s_nationkey || '.s' || s_suppkey || '.S' || s_suppkey || '.run' AS caller, 'ship' || s_suppkey AS callee, CAST(6 AS INTEGER) AS line FROM supplier
+UNION ALL SELECT 'web/s' || s_suppkey || '.js', 'web.s' || s_suppkey || '.View' || s_suppkey || '.show', 'draw' || s_suppkey, 5 FROM supplier""")
 def source_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(sample_files(spark)).selectExpr("path", "inline(calls)")
+    return extract(source_files(spark, sf_dir)).selectExpr("path", "inline(calls)")
 
 
-@query()
+@query("""SELECT 'n' || s_nationkey || '/s' || s_suppkey || '.py' AS path, 'base' AS module, 'Base' || s_nationkey AS imported, NULL AS alias, CAST(1 AS INTEGER) AS line, true AS relative, CAST(1 AS INTEGER) AS level FROM supplier
+UNION ALL SELECT 'web/s' || s_suppkey || '.js', 'web.base', 'Base', 'B', 1, false, 0 FROM supplier""")
 def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(sample_files(spark)).selectExpr("path", "inline(imports)")
+    return extract(source_files(spark, sf_dir)).selectExpr("path", "inline(imports)")
