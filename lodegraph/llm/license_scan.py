@@ -1,6 +1,7 @@
 """License scans by canonical digest lookup.
 
-Texts are made canonical (letter case, punctuation and white space, copyright lines, equivalent spellings), hashed, and
+Texts are made canonical (letter case, punctuation and white space, copyright lines, holders' names in the clause on
+endorsement, equivalent spellings), hashed, and
 hash-joined to the digests of known licence texts and notices, which go through the same steps. A document is looked up
 as a whole, and so is each of its lines, since notices often stand as lines of other texts.
 
@@ -52,18 +53,30 @@ _BOOST = """Permission is hereby granted, free of charge, to any person or organ
 The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-KNOWN = [
-    ("MIT", f"MIT License\n\n{_GRANT_MIT}\n\n{_MIT_REST}"),
+# Headings that stand over a licence's text.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license", "The zlib/libpng License"],
+}
+_BODIES = [
     ("MIT", f"{_GRANT_MIT}\n\n{_MIT_REST}"),
     ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_REST}"),
     ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_REST}"),
     ("BSD-2-Clause", f"{_BSD_GRANT}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n{_BSD_REST}"),
-    ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD_GRANT}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n{_BSD_REST}"),
+    ("BSD-2-Clause", f"{_BSD_GRANT}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n{_BSD_REST}"),
     ("BSD-3-Clause", f"{_BSD_GRANT}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n3. {_BSD_3}\n\n{_BSD_REST}"),
-    ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD_GRANT}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n* {_BSD_3}\n\n{_BSD_REST}"),
-    ("Unlicense", f"{_UNLICENSE}\n\n{_UNLICENSE_LINK}"),
+    ("BSD-3-Clause", f"{_BSD_GRANT}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n* {_BSD_3}\n\n{_BSD_REST}"),
     ("Zlib", _ZLIB),
-    ("Zlib", f"zlib License\n\n{_ZLIB}"),
+]
+KNOWN = [
+    # a body with or without a heading, and with or without a line of reserved rights behind the copyright lines
+    *[(name, "\n\n".join([*title, *rights, body])) for name, body in _BODIES for title in ([], *[[t] for t in _TITLES[name]]) for rights in ([], ["All rights reserved."])],
+    ("Unlicense", f"{_UNLICENSE}\n\n{_UNLICENSE_LINK}"),
+    ("BSL-1.0", _BOOST),
     ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BOOST}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -81,14 +94,18 @@ KNOWN = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
+#: A holder's own name in the clause on endorsement, and what stands there in the text as published.
+HOLDER = r"neither\s+the\s+names?\s+of\s+[^.]{1,300}?\s+nor\s+the\s+names\s+of\s+(?:its|their|any|the)\s+contributors"
+PUBLISHED = "neither the name of the copyright holder nor the names of its contributors"
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 
 
 def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with the sha-256 of the canonical text (its words, spelled alike, without copyright lines, one space between
-    them) instead of the text; null if it has no words. In steps, so that no step is worked out twice."""
+    """rows with the sha-256 of the canonical text (its words, spelled alike, without copyright lines and holders'
+    names, one space between them) instead of the text; null if it has no words. In steps, so that no step is worked out twice."""
     rows = rows.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(text, ascii_lower(F.col(text)))
     low = F.col(text)
+    rows = rows.withColumn(text, F.when(low.contains("neither"), F.regexp_replace(low, HOLDER, PUBLISHED)).otherwise(low))
     signed = low.contains("copyright") | low.contains("(c)") | low.contains("©")  # few texts need the slower pass
     rows = rows.withColumn(text, F.when(signed, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low))
     rows = rows.withColumn(text, F.concat(F.lit(" "), F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", " "), F.lit(" ")))

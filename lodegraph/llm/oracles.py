@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from lodegraph.llm.license_scan import KNOWN, SPELLINGS
+from lodegraph.llm.license_scan import HOLDER, KNOWN, PUBLISHED, SPELLINGS
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -97,6 +97,7 @@ FROM b LEFT JOIN h ON b.lang = h.lang AND b.phrase = h.phrase WHERE longer IS NU
 def op2() -> str:
     def canonical(text: str) -> str:
         low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        low = rf"regexp_replace({low}, '{HOLDER}', '{PUBLISHED}', 'g')"
         bare = rf"regexp_replace({low}, '(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$', '', 'g')"
         words = rf"' ' || regexp_replace({bare}, '[\x00-\x2F\x3A-\x60\x7B-\x7F©]+', '  ', 'g') || ' '"
         for old, new in SPELLINGS:

@@ -415,3 +415,16 @@ def test_encoder_follows_the_file(tmp_path):
         own = Tokenizer.from_file(str(tmp_path / name))
         ids = [np.frombuffer(x, f"<u{2}").tolist() for x in token_store.Encoder(str(tmp_path / name)).encode(texts)]
         assert ids == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_licence_texts_with_other_heads_holders_and_rights(spark):
+    body = {name: text for name, text in reversed(KNOWN) if len(text) > 400}
+    mit, bsd = body["MIT"][body["MIT"].index("Permission is") :], body["BSD-3-Clause"][body["BSD-3-Clause"].index("Redistribution") :]
+    rows = [
+        (1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n{mit}", "MIT"), (2, f"The MIT License\n\nCopyright 2020 Some Body\nAll rights reserved.\n\n{mit}", "MIT"),
+        (3, f"Copyright (c) 2011, Some Company\nAll rights reserved.\n\n{bsd}", "BSD-3-Clause"),
+        (4, bsd.replace("the copyright holder nor", "Some Company, Inc nor"), "BSD-3-Clause"), (5, bsd.replace("Neither the name of the copyright holder", "Neither the names of the\nauthors"), "BSD-3-Clause"),
+        (6, mit.replace("free of charge", "for a fee"), None), (7, "neither the name of it", None),
+    ]
+    got = {r.doc_id: r.license for r in license_scan(docs(spark, [(i, t) for i, t, _ in rows])).collect()}
+    assert got == {i: name for i, _, name in rows}
