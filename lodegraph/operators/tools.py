@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import lines
+from lodegraph.session import checkpointed
+from lodegraph.sources.tables import TASK_ROWS
 
 MAX_CHARS, MAX_HITS = 16_000, 40
 
@@ -43,12 +45,16 @@ def search_names(nodes: DataFrame, name: str, query: str, degree: str, limit: in
 
 
 def edges_by_kind(edges: DataFrame, nodes: DataFrame, limit: int = MAX_HITS) -> DataFrame:
-    """id, direction, kind and the names at the other ends, at most limit a direction, in order of kind and name."""
+    """id, direction, kind and the names at the other ends, at most limit a direction, in order of kind and name. Tasks grow in
+    number with the edges, so that none sorts more than about TASK_ROWS rows."""
+    edges = checkpointed(edges.select("src", "dst", "kind"))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * edges.count() // TASK_ROWS))
     names = nodes.select(F.col("id").alias("other"), F.col("fqname"))
     out = edges.select(F.col("src").alias("id"), F.lit("out").alias("direction"), "kind", F.col("dst").alias("other"))
     into = edges.select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "kind", F.col("src").alias("other"))
     w = Window.partitionBy("id", "direction").orderBy("kind", "fqname")
-    rows = out.unionByName(into).join(names, "other").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+    named = out.unionByName(into).repartition(parts, "other").join(names, "other").repartition(parts, "id", "direction")
+    rows = named.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
     return rows.groupBy("id", "direction", "kind").agg(F.array_sort(F.collect_list("fqname")).alias("names"))
 
 

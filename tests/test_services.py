@@ -3,6 +3,7 @@
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,57 @@ def test_sessions_close_by_timers_as_in_batch(spark, tmp_path):
     assert as_set(got) == as_set(whole.where(passed)) and got.count() > 12
 
 
+def test_sessions_are_one_value_and_one_timer_a_key():
+    """What a key costs does not grow with its open sessions: a read, a write and a timer a batch, one more of each a closing."""
+    import pandas as pd
+
+    from lodegraph.streaming.fold import Sessions
+
+    class State:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.held = None
+
+    state, timers = State(), []
+    handle = SimpleNamespace(getValueState=lambda *a, **k: state, registerTimer=timers.append)
+    sessions = Sessions(60_000_000)
+    sessions.init(handle)
+    at = lambda *minutes: pd.DataFrame({"ts": pd.to_datetime([m * 60 for m in minutes], unit="s")})
+    assert list(sessions.handleInputRows((7,), iter([at(*range(0, 900, 3)), at(1000, 1001, 1)]), None)) == []
+    assert state.calls == ["get", "update"] and timers == [120_000]  # minutes 0 and 1 are one session
+    watermark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    (out,) = sessions.handleExpiredTimer((7,), watermark(600_000), None)
+    assert out["first_us"].tolist() == [0, 180_000_000, 360_000_000, 540_000_000] and out["n"].tolist() == [2, 1, 1, 1]
+    assert timers == [120_000, 780_000] and list(sessions.handleExpiredTimer((7,), watermark(600_000), None)) == []
+    (out,) = sessions.handleExpiredTimer((7,), watermark(10**9), None)
+    assert len(out) == 297 and out["n"].iloc[-1] == 2 and state.held is None and out["key"].eq(7).all()
+
+
+def test_neighbour_lists_are_dealt_into_more_tasks_as_edges_grow(spark, monkeypatch):
+    from lodegraph.operators import tools
+
+    monkeypatch.setattr(tools, "TASK_ROWS", 100, raising=False)
+    edges = spark.createDataFrame([(i % 70, 1000 + i % 90, "calls") for i in range(630)], "src long, dst long, kind string")
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in [*range(70), *range(1000, 1090)]], "id long, fqname string")
+    got = tools.edges_by_kind(edges, nodes, 5)
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString() and got.rdd.getNumPartitions() == 13
+    want = {}
+    for s, d in [(i % 70, 1000 + i % 90) for i in range(630)]:
+        want.setdefault((s, "out"), []).append(f"n{d}")
+        want.setdefault((d, "in"), []).append(f"n{s}")
+    assert {(r.id, r.direction): r.names for r in got.collect()} == {k: sorted(v)[:5] for k, v in want.items()}
+
+
 def test_late_events_are_dropped_and_open_sessions_merge(spark, tmp_path):
     parts = [[(1, 0), (1, 100), (2, 500)], [(1, 450), (3, 900)], [(1, 50), (1, 505), (3, 1000)]]  # minute 50 comes after the watermark; 450 and 505 are one session
     got = _streamed(spark, [_minutes(spark, p) for p in parts], tmp_path, lambda s: closed_sessions(s, "user", "ts"))
