@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,42 +85,47 @@ class RunState(StatefulProcessor):
 
 
 class Sessions(StatefulProcessor):
-    """A key's sessions, each given out once the watermark has passed its end, by a timer set at that end, and forgotten
-    then. State is one entry an open session: its first and last time and number of events, in microseconds."""
+    """A key's sessions, each given out once the watermark has passed its end, and forgotten then. State is one value a key,
+    the first and last times (in microseconds) and numbers of events of its open sessions, read and written once a call; a
+    timer stands at the end of the earliest of them alone."""
 
     def __init__(self, gap_us: int) -> None:
         self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first long", "last long, n long")
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _held(self) -> np.ndarray:
+        """Three rows, first, last and n, in order of time."""
+        held = self.open.get()
+        return np.frombuffer(held[0], np.int64).reshape(3, -1) if held else np.zeros((3, 0), np.int64)
+
+    def _keep(self, sessions: np.ndarray, timer: bool) -> None:
+        self.open.update((sessions.tobytes(),))
+        if timer:
+            self.handle.registerTimer(-(-(int(sessions[1, 0]) + self.gap_us) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        times = pd.concat(rows)["ts"].astype("datetime64[us]").astype("int64").tolist()
-        held = {k[0]: (k[0], v[0], v[1]) for k, v in self.open.iterator()}
-        merged: list[tuple[int, int, int]] = []
-        for first, last, n in sorted([*held.values(), *((t, t, 1) for t in times)]):
-            if merged and first <= merged[-1][1] + self.gap_us:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], last), merged[-1][2] + n)
-            else:
-                merged.append((first, last, n))
-        now = {s[0]: s for s in merged}
-        for first in held.keys() - now.keys():
-            self.open.removeKey((first,))
-        for first, session in now.items():
-            if held.get(first) != session:
-                self.open.updateValue((first,), session[1:])
-                self.handle.registerTimer(-(-(session[1] + self.gap_us) // 1000))
+        times = np.concatenate([pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy() for pdf in rows])
+        held = self._held()
+        first, last, n = np.concatenate([held, [times, times, np.ones_like(times)]], axis=1)
+        order = np.argsort(first, kind="stable")
+        first, reach, n = first[order], np.maximum.accumulate(last[order]), n[order]
+        begins = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1] + self.gap_us)))
+        now = np.stack([first[begins], reach[np.append(begins[1:], len(first)) - 1], np.add.reduceat(n, begins)])
+        self._keep(now, not held.size or held[1, 0] != now[1, 0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        done = [(k[0], v[0] + self.gap_us, v[1]) for k, v in self.open.iterator() if v[0] + self.gap_us <= passed]
-        for first, _, _ in done:
-            self.open.removeKey((first,))
+        held, passed = self._held(), timerValues.getCurrentWatermarkInMs() * 1000
+        done = int(np.searchsorted(held[1], passed - self.gap_us, "right"))  # ends go up with begins
         if done:
-            first, end, n = zip(*sorted(done), strict=True)
-            yield pd.DataFrame({"key": key[0], "first_us": first, "end_us": end, "n": n})
+            if done < held.shape[1]:
+                self._keep(held[:, done:], True)
+            else:
+                self.open.clear()
+            yield pd.DataFrame({"key": key[0], "first_us": held[0, :done], "end_us": held[1, :done] + self.gap_us, "n": held[2, :done]})
 
     def close(self) -> None:
         pass
