@@ -10,9 +10,10 @@ doc_ids; a file is written under an attempt's own name and then renamed, so a ta
 shard at SHARD_BYTES, so no file or read grows with the table; a key may have rows in several shards.
 
 Texts are encoded piece by piece where that is exact: a lone space or line feed between two characters that are not
-white space always ends a pre-token of a byte-level vocabulary, so pieces between them have ids of their own, which are
-kept for later texts, up to CACHE_BYTES a worker; pieces over PIECE_CHARS are not kept. Any text with other white space,
-or with an added token's string, is encoded whole.
+white space always ends a pre-token of a byte-level vocabulary, and so does a letter or digit before punctuation, so
+pieces between them have ids of their own, which are kept for later texts, up to CACHE_BYTES a worker; pieces over
+PIECE_CHARS are not kept. A batch looks each of its distinct pieces up once. Any text with other white space, or with an
+added token's string, is encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and has a key of its own; rows with
 the same doc_id stand side by side, in order of a hash of their ids, and lookups give them all; rows repeated are written each;
@@ -28,10 +29,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,6 +46,13 @@ MAGIC, HEADER = b"LGIDS002", struct.Struct("<8sIIQQQQ")
 ROW, ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u4")]), np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 SHARD_BYTES, CACHE_BYTES, PIECE_CHARS, BATCH_CHARS, END_ID, NULL_KEY = 16 << 20, 128 << 20, 100, 1 << 20, 0, 0x5EED0F0A11
 PIECE_COST = 190  # bytes that a piece takes in a table besides its own and its ids
+RUN_PIECES = 2000
+#: What stands before a piece that is at its text's start or continues a word, and what before any that follows no space.
+JOIN, MARKS = "\r", "\r\n"
+#: White space that bars cutting a text behind its JOIN: other than space and line feed, or not alone, or at an end.
+UNCUT = r"[ \n]{2}|\A\r[ \n]|[ \n]\z|(?s:.)\r|[\t\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A letter or digit (those of Latin and Cyrillic, which every version of Unicode takes as such) before ASCII punctuation.
+TAIL = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}\x{400}-\x{481}\x{48a}-\x{52f}])([!-/:-@\[-`{-~])"
 
 
 class Encoder:
@@ -70,20 +79,24 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], mark: str, own: bool) -> None:
-        """Encodes the new pieces in runs, a mark before each; the bytes that each id stands for tell the piece it is of.
-        own: the mark is part of the piece, else it is an id by itself."""
-        new = [p for p in pieces if p not in known]
-        for at in range(0, len(new), 2000):
-            run = new[at : at + 2000]
-            ids = np.frombuffer(self._ids([mark + mark.join(run)])[0], f"<u{self.width}")
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([1 + len(p.encode()) for p in run]), "right")
-            begins = np.concatenate(([0], cuts[:-1])) + (not own)
-            data, w = ids.tobytes(), self.width
+    def _learn(self, known: dict[str, bytes], new: list[str], sizes: np.ndarray, marked: bool) -> None:
+        """Encodes new pieces (sizes: their bytes) in runs; the bytes that each id stands for tell the piece it is of. A piece that
+        has no mark follows a space, which is part of it; JOIN stands for nothing, but a line feed keeps its place in a run."""
+        w = self.width
+        for at in range(0, len(new), RUN_PIECES):
+            run = new[at : at + RUN_PIECES]
+            text = "".join(run).replace(JOIN, "\n") if marked else " " + " ".join(run)
+            ids = np.frombuffer(self._ids([text])[0], f"<u{w}")
+            size = sizes[at : at + RUN_PIECES] + (not marked)
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size), "right")
+            begins = np.concatenate(([0], cuts[:-1]))
+            if marked:
+                begins += [p[0] == JOIN for p in run]
+            data = ids.tobytes()
             known.update(zip(run, [data[i:j] for i, j in zip((begins * w).tolist(), (cuts * w).tolist(), strict=True)], strict=True))
-            self.held += len(data) + sum(map(len, run)) + PIECE_COST * len(run)
+            self.held += len(data) + int(size.sum()) + PIECE_COST * len(run)
 
-    def _forget(self, long: set[str]) -> None:
+    def _forget(self, long: list[str]) -> None:
         """Drops long pieces, and all once the tables are full."""
         if self.held > CACHE_BYTES:
             self.first.clear()
@@ -93,31 +106,40 @@ class Encoder:
             self.first.pop(p, None)
             self.later.pop(p, None)
 
-    def _pieces(self, text: str | None) -> list[list[str]] | None:
-        """Words by line, or None if the text has to be encoded whole."""
-        if not text or not self.bytewise or any(a in text for a in self.added):
-            return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        return lines if text.split() == list(chain.from_iterable(lines)) else None  # else there is other white space
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [self._pieces(t) for t in texts]
-        first, later = set(), set()
-        for parts in lines:
-            for ws in parts or ():
-                first.add(ws[0])
-                later.update(ws[1:])
-        self._learn(self.first, first, "\n", False)
-        self._learn(self.later, later, " ", True)
-        whole = [t for t, parts in zip(texts, lines, strict=True) if parts is None and t]
-        rest = iter(self._ids(whole) if whole else [])
-        feed = self._ids(["\n"])[0]
-        head, tail = self.first.__getitem__, self.later.__getitem__
-        out = [
-            (next(rest) if t else b"") if parts is None else feed.join([head(ws[0]) + b"".join(map(tail, ws[1:])) for ws in parts])
-            for t, parts in zip(texts, lines, strict=True)
-        ]
-        self._forget({p for p in chain(first, later) if len(p) > PIECE_CHARS})
+    def _by_pieces(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut, a JOIN before each: each piece that they have is looked up once."""
+        cut = pc.replace_substring_regex(texts, TAIL, r"\1 " + JOIN + r"\2")
+        words = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
+        coded = words.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        sizes = pc.binary_length(coded.dictionary).to_numpy()
+        ids = list(map(self.later.get, pieces))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for known, marked in ((self.first, True), (self.later, False)):
+            learn = [i for i in new if (pieces[i][0] in MARKS) == marked and (not marked or pieces[i] not in known)]
+            self._learn(known, [pieces[i] for i in learn], sizes[np.array(learn, np.int64)], marked)
+        for i in new:
+            ids[i] = (self.first if pieces[i][0] in MARKS else self.later)[pieces[i]]
+        at = words.offsets.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[coded.indices.to_numpy()])))[at]
+        data = memoryview(pa.array(ids, pa.large_binary()).take(coded.indices).buffers()[2])
+        self._forget([p for p in pieces if len(p) > PIECE_CHARS])
+        return [bytes(data[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        whole, pieced = some, []
+        if self.bytewise and some:
+            joined = pa.array([JOIN + texts[i] for i in some], pa.large_string())  # of copies: Arrow leaves its UTF-8 with a str
+            odd = [x or any(a in texts[i] for a in self.added) for i, x in zip(some, pc.match_substring_regex(joined, UNCUT).to_pylist(), strict=True)]
+            whole, pieced = [i for i, x in zip(some, odd, strict=True) if x], [i for i, x in zip(some, odd, strict=True) if not x]
+        if whole:
+            for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = x
+        if pieced:
+            for i, x in zip(pieced, self._by_pieces(joined.filter(pa.array([not x for x in odd]))), strict=True):
+                out[i] = x
         return out
 
 

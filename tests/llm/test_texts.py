@@ -308,6 +308,31 @@ def test_encoder_holds_bounded_tables(monkeypatch):
         assert encoder.held < 200_000 + 4 * len(line) and max(map(len, [*encoder.first, *encoder.later]), default=0) <= token_store.PIECE_CHARS
 
 
+def test_encoder_learns_a_word_once_whatever_follows_it(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder, given = Tokenizer.from_file(path), token_store.Encoder(path), []
+    words = [f"mor{chr(97 + i % 26)}{chr(97 + i // 26)}vel" for i in range(500)]
+    texts = [" ".join(w + tail for w in words) for tail in ("", ",", ".", "&&&", "!", "***", "')", ";")]
+    monkeypatch.setattr(encoder, "_ids", lambda new, ids=encoder._ids: given.append(sum(map(len, new))) or ids(new))
+    for text in texts:
+        (ids,) = encoder.encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(given) < 1.2 * len(texts[0])
+
+
+def test_encoder_cuts_only_where_tokens_end():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder, rng = Tokenizer.from_file(path), token_store.Encoder(path), np.random.default_rng(6)
+    kinds = ["don't", "I'LL", "'re", "'", "''", "x's,", "a", "Z", "ß", "ñ", "Ж", "漢", "é", "e\u0301", "²", "½", "7", "42", "٣", "a1", "1a", "x.y", "-", "_", "!?", "«", "…", "—", "🙂", "\x00", "\x01", "\u200b", "\ufeff", "\u180e", "~", "`", "]", "/", "\\", " ", " ", " ", "\n", "\n", "  ", "\r", "\t", "\u3000"]
+    weights = np.array([1.0] * (len(kinds) - 9) + [8, 8, 8, 5, 5, 0.1, 0.1, 0.1, 0.1])
+    texts = ["".join(rng.choice(kinds, rng.integers(1, 30), p=weights / weights.sum())) for _ in range(3000)]
+    letters = [chr(c) for c in range(0x21, 0x600) if not chr(c).isspace()]
+    texts += [f"{c}{p}{c} {c}{p} {p}{c}\n{c}{p}" for c in letters for p in ("'", ",", "'s", "~")]
+    assert any(r.startswith("\r") for r in texts) and sum("\n" in t for t in texts) > 1000
+    got = [np.frombuffer(x, "<u2").tolist() for at in range(0, len(texts), 500) for x in encoder.encode(texts[at : at + 500])]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
