@@ -94,9 +94,12 @@ def answer_all(questions: DataFrame, items: DataFrame, chunks: DataFrame, synthe
 def _checked(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Drafts with each citation's verdict, in the order given."""
     each = drafts.select("question", F.posexplode("citations").alias("at", "c")).select(F.struct("question", "at").alias("cid"), "c.*")
-    verdicts = verify(each, chunks).select("cid", "verified", "reason")
+    quotes = not each.where(F.trim("quote") != "").isEmpty()
+    # the chunks of cited paths, cut once for all steps of the verification
+    cited = checkpointed(chunks.select("path", "start_line", "end_line", *["text"] * quotes).join(each.select("path").distinct(), "path", "left_semi"))
+    verdicts = verify(each, cited, quotes=quotes).select("cid", "verified", "reason")
     held = each.join(verdicts, "cid").select("cid.question", F.struct("cid.at", "path", "start_line", "end_line", "quote", "verified", "reason").alias("c"))
     per = held.groupBy("question").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.dropFields("at")).alias("checked"))
     out = drafts.select("question", "answer").join(per, "question", "left")
-    cited = F.coalesce("checked", F.array().cast(CHECKED))
-    return checkpointed(out.select("question", "answer", cited.alias("citations"), F.forall(cited, lambda c: c["verified"]).alias("fully_verified")))
+    checked = F.coalesce("checked", F.array().cast(CHECKED))
+    return checkpointed(out.select("question", "answer", checked.alias("citations"), F.forall(checked, lambda c: c["verified"]).alias("fully_verified")))

@@ -11,16 +11,17 @@ from lodegraph.operators.spatial import meeting
 TOLERANCE = 5
 
 
-def verify(citations: DataFrame, chunks: DataFrame, key: str = "cid", tolerance: int = TOLERANCE) -> DataFrame:
+def verify(citations: DataFrame, chunks: DataFrame, key: str = "cid", tolerance: int = TOLERANCE, quotes: bool = True) -> DataFrame:
     """All citations in one plan: key, n_path, n_overlap, verified, reason.
 
     Chunks of cited paths alone are joined. A quotation may run over two chunks, so the chunk texts near the cited lines
-    are put together, in order, before the containment test. citations: key, path, start_line, end_line, quote.
+    are put together, in order, before the containment test. citations: key, path, start_line, end_line, quote. quotes:
+    False if no citation has a quote, so that chunks need no text.
     """
     c = citations.select(key, "path", F.col("start_line").alias("s"), F.col("end_line").alias("e"), "quote")
     over = (F.col("start_line") <= F.col("e")) & (F.col("end_line") >= F.col("s"))
-    has_quote = collapsed(F.col("quote")) != ""
-    parts = chunks.select("path", "start_line", "end_line", "text")
+    has_quote = collapsed(F.col("quote")) != "" if quotes else F.lit(False)
+    parts = chunks.select("path", "start_line", "end_line", (F.col("text") if quotes else F.lit("")).alias("text"))
     in_path = parts.join(c.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n_path"))
     # only chunks near the cited lines meet a citation, whatever else the path has, and a large file is spread over its lines
     low, high = F.col("s") - tolerance, F.col("e") + tolerance
